@@ -51,11 +51,25 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from .common import shared_dir
+    from .token_files import read_token_files, with_crc32, write_token_files
+
+    path = f"{shared_dir(spark)}/tidemill-tokens-{uuid.uuid4().hex}"
+    write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return with_crc32(read_token_files(spark, path)).withColumnRenamed("doc", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
+        "op6_token_files": op6_token_files,
     }
 
 
