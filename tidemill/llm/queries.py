@@ -64,12 +64,20 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(read_token_files(spark, path)).withColumnRenamed("doc", "doc_id")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
         "op6_token_files": op6_token_files,
+        "op7_simhash": op7_simhash,
     }
 
 
