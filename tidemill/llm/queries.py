@@ -51,6 +51,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import quality_rules
+
+    found = quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -76,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scan": op1_secret_scan,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
+        "op5_quality_rules": op5_quality_rules,
         "op6_token_files": op6_token_files,
         "op7_simhash": op7_simhash,
     }
