@@ -98,6 +98,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, responses
+
+    found = derivatives(responses(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\r\n")
+    return found.select(F.col("key").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest", "content_length", headers.alias("headers"), F.col("block").cast("string").alias("content"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -109,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_simhash": op7_simhash,
         "op8_line_dedup": op8_line_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
+        "op10_warc": op10_warc,
     }
 
 
