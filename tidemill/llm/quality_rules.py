@@ -18,10 +18,10 @@ from .common import durable
 
 #: Common words of the languages that references are built for.
 COMMON_WORDS = {
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als"),
-    "en": ("the", "of", "and", "to", "a", "in", "is", "that", "it", "was", "for", "on", "are", "as", "with", "be", "by", "this", "from", "or"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au"),
+    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "des"),
+    "en": ("the", "of", "and", "to", "a", "in", "is", "that", "it", "for"),
+    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del"),
+    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "que"),
 }
 VOCABULARY = tuple(sorted({w for words in COMMON_WORDS.values() for w in words}))
 #: Character classes: what remains of a text when all else is removed. Other ASCII letters and controls follow by subtraction.
@@ -35,7 +35,7 @@ class Limits:
 
     chars: float = 0.28
     least_chars: int = 200
-    words: float = 0.32
+    words: float = 0.275
     least_judged_words: int = 50
     least_words: int = 10
     repeat_percent: int = 20
@@ -63,10 +63,12 @@ def _counted(rows: DataFrame) -> DataFrame:
     )
     hashes = F.transform("words", lambda w: F.xxhash64(w))
     counts = counts.select("*", F.size("words").cast("long").alias("n_words"), hashes.alias("h"), F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(*VOCABULARY)).alias("known"))
-    # windows of five words as (hash, place), sorted: equal windows become neighbours
-    at = F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW)
-    window = F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)]).alias("h"), i.alias("i")))
-    counts = counts.select("*", F.when(F.col("n_words") >= WINDOW + 1, F.sort_array(window)).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("w"))
+    at = F.when(F.col("n_words") > WINDOW, F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW)).otherwise(F.array().cast("array<int>"))
+    counts = counts.select("*", F.transform(at, lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)])).alias("windows"))
+    # where a window repeats, windows as (hash, place) are sorted, so that equal ones become neighbours
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    counts = counts.select("*", F.when(repeats, placed).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")).alias("w"))
     twin = F.filter("w", lambda x, k: F.get("w", k - 1)["h"].eqNullSafe(x["h"]) | F.get("w", k + 1)["h"].eqNullSafe(x["h"]))
     counts = counts.select("*", F.sort_array(F.transform(twin, lambda x: x["i"])).alias("twins"))
     covered = F.aggregate(
