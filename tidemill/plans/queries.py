@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import preparation  # noqa: F401  modules register their queries when imported
+from .registry import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql() -> dict:
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
