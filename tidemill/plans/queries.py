@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analysis, backtesting, preparation  # noqa: F401  modules register their queries when imported
+from . import analysis, backtesting, forecasting, preparation  # noqa: F401  modules register their queries when imported
 from .registry import ORACLES, QUERIES, Query
 
 
