@@ -117,3 +117,30 @@ def check_metadata(spark, sf):
     """One series' runs of one model lack a window, so its models must not be compared."""
     some = cv(spark, sf).where(~((F.col("unique_id") == "error") & (F.col("model") == "Mean24h") & (F.col("cutoff") == B.timestamp(FIRST))))
     return A.check_metadata(A.run_metadata(some, 24)).select("unique_id")
+
+
+_HOURLY = "SELECT unique_id, ds, round(y, 6) AS y FROM hourly"
+
+
+@query(_HOURLY, "hourly")
+def read_panel_csv(spark, sf):
+    """The hourly panel written as one semicolon-separated folder a series, and read back with ids from the path."""
+    path = A.scratch_path(spark, "csv")
+    A.write_panel(fx.hourly(spark, sf), path, "csv")
+    return rounded(A.read_panel_csv(spark, f"{path}/*/*.csv", ["y"], "unique_id=([A-Za-z0-9]+)"))
+
+
+@query(_HOURLY, "hourly")
+def write_panel(spark, sf):
+    path = A.scratch_path(spark, "panel")
+    A.write_panel(fx.hourly(spark, sf), path)
+    return rounded(spark.read.parquet(path).select("unique_id", "ds", "y"))
+
+
+@query("SELECT unique_id, cutoff, ds, round(y, 6) AS y, model, round(yhat, 6) AS yhat FROM cv_long WHERE model = 'Naive168h'", "cv_long")
+def read_cv_results(spark, sf):
+    """Stored forecasts of one model: the partition filter reads its folder only."""
+    path = A.scratch_path(spark, "cv")
+    A.write_cv_results(cv(spark, sf), path)
+    one = A.read_cv_results(spark, path).where("model = 'Naive168h'")
+    return rounded(one.select("unique_id", "cutoff", "ds", "y", "model", "yhat"))

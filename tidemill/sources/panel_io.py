@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.panel import DS, ID
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share; local sessions without a shared folder get a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tidemill-")
+    return f"{base.rstrip('/')}/tidemill-{name}-{uuid.uuid4().hex}"
+
+
 def read_panel_csv(spark: SparkSession, path: str, columns: list[str], id_pattern: str = r"(F[0-9]+)") -> DataFrame:
     """Semicolon-separated files, one a series: the first column is the time, the series' id comes from the path.
 
