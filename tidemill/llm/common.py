@@ -65,7 +65,7 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Texts]:
     offsets = np.frombuffer(column.buffers()[1], column_offsets(column), column.offset + len(column) + 1)[column.offset :]
     first = 0
     while first < len(column):
-        stop = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1)
+        stop = max(first + 1, int(np.searchsorted(offsets, np.int64(offsets[first]) + limit, "right")) - 1)
         stop = min(stop, len(column))
         yield Texts(column, first, stop)
         first = stop
