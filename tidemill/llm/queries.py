@@ -72,11 +72,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from .common import shared_dir
-    from .token_files import read_token_files, with_crc32, write_token_files
+    from .token_files import read_token_files, write_token_files
 
     path = f"{shared_dir(spark)}/tidemill-tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
-    return with_crc32(read_token_files(spark, path)).withColumnRenamed("doc", "doc_id")
+    return read_token_files(spark, path).select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

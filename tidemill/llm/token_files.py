@@ -25,23 +25,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .tokens import encoder, ids_crc32
+from .tokens import encoder
 
 END_ID = 0
 SHARD_BYTES = 1 << 20
 LEVEL = 3
 #: The dictionary is trained on at most so many documents (least hashes first) of at most so many characters.
-SAMPLE_DOCS = 2000
-SAMPLE_CHARS = 20_000
-DICT_BYTES = 112_640
+SAMPLE_DOCS = 600
+SAMPLE_CHARS = 8000
+DICT_BYTES = 65_536
 _SHARDS = "part int, shard int, dict_hash string, docs array<{id}>, offsets array<int>, starts array<bigint>, n_tokens bigint, frames binary"
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A zstandard dictionary from the serialized ids of a bounded sample; empty if the sample is too small."""
-    pick = docs.select(F.col(text_col).alias("text")).where(F.length("text").between(1, SAMPLE_CHARS))
-    texts = [r["text"] for r in pick.orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).collect()]
-    samples = [x.astype("<u4").tobytes() for x in encoder(tokenizer, "kept").encode(texts)]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # ids are chosen first, so that only the sample's texts move
+    chosen = rows.select("id", F.xxhash64("id").alias("rank")).orderBy("rank").limit(SAMPLE_DOCS).select("id").distinct()
+    picked = rows.where(F.length("text").between(1, SAMPLE_CHARS)).join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"))
+    texts = [r["text"] for r in picked.orderBy(F.xxhash64("id")).collect()]
+    samples = [x.astype("<u4").tobytes() for x in encoder(tokenizer, "kept").encode(pa.array(texts, pa.string()))]
     if sum(map(len, samples)) < 8 * DICT_BYTES:
         return b""  # too few bytes to train on: frames stand on their own
     return zstandard.train_dictionary(DICT_BYTES, samples, level=LEVEL, threads=0).as_bytes()
@@ -77,9 +80,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str, id_col: str =
             return pa.record_batch([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["part", "shard", "dict_hash", "docs", "offsets", "starts", "n_tokens", "frames"])
 
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                piece = batch.slice(first, 500)
-                for name, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1).fill_null("").to_pylist()), strict=True):
+            for first in range(0, batch.num_rows, 1000):
+                piece = batch.slice(first, 1000)
+                for name, ids in zip(piece.column(0).to_pylist(), encode(piece.column(1)), strict=True):
                     frame = press.compress(np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes())
                     if frames and size + len(frame) > SHARD_BYTES:
                         yield row()
@@ -103,6 +106,8 @@ def _dictionary(spark: SparkSession, path: str) -> dict[str, bytes]:
 def read_token_files(spark: SparkSession, path: str, first=None, last=None) -> DataFrame:
     """One row per document, read back from the files: id, ``start`` (ids of all documents before), ``ids``.
 
+    ``ids`` is binary: little-endian unsigned 32-bit ids; ``n_tokens`` counts them.
+
     ``first`` and ``last`` bound the document ids wanted; only the frames of those are decompressed.
     """
     shards = spark.read.parquet(f"{path}/shards")
@@ -126,24 +131,10 @@ def read_token_files(spark: SparkSession, path: str, first=None, last=None) -> D
                 wanted = [i for i, x in enumerate(names.to_pylist()) if (first is None or x is not None and x >= first) and (last is None or x is not None and x <= last)]
                 for a in range(0, len(wanted), 200):
                     some = wanted[a : a + 200]
-                    ids = [np.frombuffer(press[digest].decompress(frames[offsets[i] : offsets[i + 1]]), "<u4").astype(np.int64) for i in some]
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32()), pa.array(np.concatenate(ids)))
-                    yield pa.record_batch([names.take(pa.array(some, pa.int32())), pa.array(starts[some]), lists], names=["doc", "start", "ids"])
+                    ids = [press[digest].decompress(frames[offsets[i] : offsets[i + 1]]) for i in some]
+                    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                    yield pa.record_batch([names.take(pa.array(some, pa.int32())), pa.array(starts[some]), pa.array(sizes), pa.array(ids, pa.binary())], names=["doc", "start", "n_tokens", "ids"])
 
     rows = shards.select("part", "dict_hash", "docs", "offsets", "starts", "frames")
-    return rows.mapInArrow(read, f"doc {kind}, start bigint, ids array<bigint>")
-
-
-def with_crc32(tokens: DataFrame) -> DataFrame:
-    """Replaces ``ids`` by ``n_tokens`` and ``ids_crc32``."""
-    kind = tokens.schema["doc"].dataType.simpleString()
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(2)
-            flat = np.array(lists.flatten()).astype("<u4")
-            ends = np.cumsum(np.array(lists.value_lengths(), np.int64))
-            crc = [ids_crc32(flat[a:b]) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1), lists.value_lengths().cast(pa.int64()), pa.array(crc, pa.int64())], names=["doc", "start", "n_tokens", "ids_crc32"])
+    return rows.mapInArrow(read, f"doc {kind}, start bigint, n_tokens bigint, ids binary")
 
-    return tokens.mapInArrow(digest, f"doc {kind}, start bigint, n_tokens bigint, ids_crc32 bigint")
