@@ -122,4 +122,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .oracles import OP3, OP8, op5
+
+    return {"op3_decontamination": OP3, "op5_quality_rules": op5(), "op8_line_dedup": OP8}
