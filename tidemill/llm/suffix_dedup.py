@@ -151,24 +151,27 @@ def repeated_passages(docs: DataFrame, span: int = SPAN, gap: int = GAP, id_col:
     ordered = pairs.where(~one.eqNullSafe(two)).select(F.when(one < two, one).otherwise(two).alias("a"), F.when(one < two, two).otherwise(one).alias("b"))
     # a pair of documents on one diagonal is one row, however many suffixes it shares
     runs = ordered.groupBy(F.col("a.id").alias("a_id"), F.col("a.tie").alias("a_tie"), F.col("b.id").alias("b_id"), F.col("b.tie").alias("b_tie"), (F.col("b.pos") - F.col("a.pos")).alias("shift")).agg(F.sort_array(F.collect_set("b.pos")).alias("places"))
+    # and a pair of documents one row, whose texts then move once
+    runs = runs.groupBy("a_id", "a_tie", "b_id", "b_tie").agg(F.collect_list(F.struct("shift", "places")).alias("diagonals"))
     runs = durable(runs, "diagonals")
     held = runs.select(F.col("a_id").alias("id"), F.col("a_tie").alias("tie")).unionByName(runs.select(F.col("b_id").alias("id"), F.col("b_tie").alias("tie"))).distinct().toDF("id2", "tie2")
     texts = durable(rows.join(held, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tie") == F.col("tie2")), "left_semi").dropDuplicates(["id", "tie"]), "texts")
     left, right = texts.toDF("l_id", "l_tie", "l_text"), texts.toDF("r_id", "r_tie", "r_text")
     both = runs.join(left, F.col("a_id").eqNullSafe(F.col("l_id")) & (F.col("a_tie") == F.col("l_tie"))).select(*runs.columns, "l_text")
-    both = both.join(right, F.col("b_id").eqNullSafe(F.col("r_id")) & (F.col("b_tie") == F.col("r_tie"))).select("a_id", "b_id", "shift", "places", "l_text", "r_text")
+    both = both.join(right, F.col("b_id").eqNullSafe(F.col("r_id")) & (F.col("b_tie") == F.col("r_tie"))).select("a_id", "b_id", "diagonals", "l_text", "r_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, start, stop, source = [], [], [], []
             for r in range(batch.num_rows):
-                left_words, right_words = (batch.column(c)[r].as_py().encode().split() for c in (4, 5))
-                shift = batch.column(2)[r].as_py()
-                for a, b in match(left_words, right_words, shift, batch.column(3)[r].as_py(), span, span + gap - 1):
-                    row.append(r)
-                    start.append(a)
-                    stop.append(b)
-                    source.append(a - shift)
+                left_words, right_words = (batch.column(c)[r].as_py().encode().split() for c in (3, 4))
+                for diagonal in batch.column(2)[r].as_py():
+                    shift = diagonal["shift"]
+                    for a, b in match(left_words, right_words, shift, diagonal["places"], span, span + gap - 1):
+                        row.append(r)
+                        start.append(a)
+                        stop.append(b)
+                        source.append(a - shift)
             take = pa.array(row, pa.int32())
             yield pa.record_batch([batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, stop)), batch.column(0).take(take), pa.array(source, pa.int32())], names=["id", "start", "stop", "source", "source_start"])
 
