@@ -287,9 +287,10 @@ def best_so_far(spark, sf):
     return rounded(L.best_so_far(fx.trials(spark, sf)), 4)
 
 
-@query(f"WITH {_BEST}, l AS (SELECT number, val_loss AS last_loss FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY epoch DESC) AS rn FROM intermediate) WHERE rn = 1) SELECT b.number, b.best_epoch, round(l.last_loss, 9) AS last_loss, round(avg(i.val_loss), 9) AS near_best FROM b JOIN l ON l.number = b.number JOIN intermediate i ON i.number = b.number AND abs(i.epoch - b.best_epoch) <= 1 GROUP BY ALL", "intermediate")
+@query(f"WITH {_BEST}, l AS (SELECT number, val_loss AS last_loss FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY epoch DESC) AS rn FROM intermediate) WHERE rn = 1) SELECT b.number, b.best_epoch, round(l.last_loss + 1e-9, 4) AS last_loss, round(avg(i.val_loss) + 1e-9, 4) AS near_best FROM b JOIN l ON l.number = b.number JOIN intermediate i ON i.number = b.number AND abs(i.epoch - b.best_epoch) <= 1 GROUP BY ALL", "intermediate")
 def near_best_average(spark, sf):
-    return rounded(L.near_best_average(fx.intermediate(spark, sf)), 9)
+    out = L.near_best_average(fx.intermediate(spark, sf))
+    return rounded(out.withColumns({c: F.col(c) + 1e-9 for c in ("last_loss", "near_best")}), 4)  # halves round up in both engines
 
 
 @query(

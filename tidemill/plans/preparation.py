@@ -102,9 +102,10 @@ def add_lags(spark, sf):
     return rounded(C.add_lags(fx.hourly(spark, sf), ["y"], [1, 24, 168]))
 
 
-@query("SELECT unique_id, ds, round(avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS 95 PRECEDING), 9) AS y_4days_avg, round(avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS 5 PRECEDING), 9) AS y_6hours_avg FROM hourly", "hourly")
+@query("SELECT unique_id, ds, round(avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS 95 PRECEDING) + 1e-9, 6) AS y_4days_avg, round(avg(y) OVER (PARTITION BY unique_id ORDER BY ds ROWS 5 PRECEDING) + 1e-9, 6) AS y_6hours_avg FROM hourly", "hourly")
 def rolling_mean_rows(spark, sf):
-    return rounded(C.rolling_mean_rows(fx.hourly(spark, sf), ["y"], [4], [6]).drop("y"), 9)
+    out = C.rolling_mean_rows(fx.hourly(spark, sf), ["y"], [4], [6]).drop("y")
+    return rounded(out.withColumns({c: F.col(c) + 1e-9 for c in ("y_4days_avg", "y_6hours_avg")}))  # halves round up in both engines
 
 
 @query("SELECT unique_id, ds, round(avg(y) OVER (PARTITION BY unique_id ORDER BY ds RANGE BETWEEN INTERVAL 5 HOUR PRECEDING AND CURRENT ROW), 6) AS y_avg6h, round(avg(y) OVER (PARTITION BY unique_id ORDER BY ds RANGE BETWEEN INTERVAL 29 HOUR PRECEDING AND CURRENT ROW), 6) AS y_avg1d6h FROM hourly_raw", "hourly_raw")
