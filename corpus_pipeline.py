@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import durable, table
 from tidemill.llm.decontaminate import find_contamination
 from tidemill.llm.line_dedup import dedup_lines
+from tidemill.llm.near_copies import near_copies
 from tidemill.llm.packing import pack_documents
 from tidemill.llm.quality_rules import quality_rules
-from tidemill.llm.simhash import near_duplicates
 
 ORACLE_SQL = None
 #: Near-duplicates are judged on shingles of five words.
@@ -52,8 +52,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the least id, then the least text hash."""
-    found = near_duplicates(_keyed(docs), id_col="key", shingle=SHINGLE)
+    """One document of each group with like SimHash or a Jaccard similarity of 0.8 or more: the least id, then the least text hash."""
+    found = near_copies(_keyed(docs), id_col="key", shingle=SHINGLE)
     return _filtered(docs, found.where(F.col("key").eqNullSafe(F.col("component_id"))).select("key.doc_id", "key.tie"))
 
 

@@ -16,7 +16,7 @@ import __spark_entry__
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from tidemill.llm import decontaminate, line_dedup, packing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, token_files, warc  # noqa: E402
+from tidemill.llm import decontaminate, line_dedup, near_copies, packing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, token_files, warc  # noqa: E402
 from tidemill.llm.components import components  # noqa: E402
 from tidemill.llm.tokens import Encoder  # noqa: E402
 
@@ -382,3 +382,32 @@ def test_components_of_chains_and_repeats(spark):
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 100}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_copies_find_all_pairs_at_four_fifths(spark, edge, empty, block):
+    """Copies with edited words, at more than four bits, in bands that fit a task and in bands that are cut into blocks."""
+    rng, rows = np.random.default_rng(4), []
+    for group in range(8):
+        base = [f"w{rng.integers(3000)}" for _ in range(int(rng.integers(40, 300)))]
+        for copy in range(9):
+            words = list(base)
+            for at in rng.integers(0, len(words), int(rng.integers(0, 2 + len(words) // 40))).tolist():
+                words[at] = f"new{copy}x{at}"
+            rows.append((10 * group + copy, " ".join(words)))
+    rows.append((99, rows[0][1]))
+    sets, fps = {}, {}
+    for d, t in rows:
+        w = t.split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        fps[d] = simhash.fingerprint(t.encode(), 5)
+    want = {d: d for d in sets}
+    linked = [(a, b) for a in sets for b in sets if a < b and ((fps[a] ^ fps[b]).bit_count() <= 4 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 4 for a, b in linked) > 5
+    for _ in rows:
+        for a, b in linked:
+            want[a] = want[b] = min(want[a], want[b])
+    assert groups_of(fps, 4) != want
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, block=block).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == want and len(found) == len(rows)
+    assert near_copies.near_copies(edge).count() == len(EDGE) and near_copies.near_copies(empty).count() == 0

@@ -1,0 +1,155 @@
+"""Near copies: SimHash links, and all pairs whose sets of shingles have a Jaccard similarity of 0.8 or more.
+
+Texts with the same set of shingles are one node. Links of fingerprints (``simhash.links``) join nodes first.
+Candidates for the others are nodes that share a band of ``ROWS`` minima of hashed shingles; a pair of
+similarity 0.8 shares none of ``BANDS`` bands with probability (1 - 0.8**4)**24 = 3e-6. Each candidate that
+could join two components is judged by its whole sets: first each node against the least of its band, then,
+in bands that still hold several components, all nodes against each other. Large bands are cut into blocks
+that meet pairwise, and each task emits a spanning forest, never all pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import _mixed, durable
+from .components import components
+from .simhash import MAX_BITS, SEED, SHINGLE, links, majority, shingles
+
+BANDS, ROWS = 24, 4
+#: Least Jaccard similarity, in fifths.
+FIFTHS = 4
+#: Nodes of one band that meet in one task at most; larger bands are cut into blocks of so many.
+BLOCK = 256
+_SALTS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)[:, None]
+
+
+def bands(members: np.ndarray) -> np.ndarray:
+    """Hash of each band of minima of a set of shingle hashes; none of an empty set."""
+    if not len(members):
+        return np.empty(0, np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for first in range(0, len(members), 4096):
+        least = np.minimum(least, _mixed(members[None, first : first + 4096] ^ _SALTS).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key
+
+
+def alike(left: np.ndarray, right: np.ndarray) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of FIFTHS / 5 or more."""
+    small, large = sorted((len(left), len(right)))
+    if 5 * small < FIFTHS * large:
+        return False
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 5 * both >= FIFTHS * (small + large - both)
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """``id``, ``fp``, ``node`` (hash of the set of shingles), ``bands`` and ``members`` (the set) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).fill_null(b"")
+            for first in range(0, len(texts), 1000):
+                fps, nodes, keys, sets = [], [], [], []
+                for t in texts[first : first + 1000]:
+                    hashes = shingles(t.as_py(), shingle)
+                    members = np.unique(hashes.astype(np.uint64))
+                    fps.append(majority(hashes))
+                    sets.append(members.tobytes())
+                    nodes.append(xxhash.xxh64_intdigest(sets[-1], SEED))
+                    keys.append(bands(members).view(np.int64))
+                signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)]
+                yield pa.record_batch([batch.column(0)[first : first + 1000], *signed, pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["id", "fp", "node", "bands", "members"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, fp bigint, node bigint, bands array<bigint>, members binary")
+
+
+def _open(keyed: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of bands that hold several components: ``key``, ``node``, ``comp``, the least ``lead`` of the band, its size ``n``."""
+    roots = components(edges).toDF("node", "root")
+    named = keyed.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("comp"))
+    groups = named.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "comp")).alias("lead"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "n", "lead")
+    return durable(named.join(groups, "key"), "bands")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs ``u``, ``v`` whose sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [alike(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)) for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(sets.toDF("u", "left"), "u").join(sets.toDF("v", "right"), "v").select("u", "v", "left", "right")
+    return both.mapInArrow(run, "u bigint, v bigint")
+
+
+def _forest(rows: DataFrame, sets: DataFrame, block: int) -> DataFrame:
+    """Links that join the components of each band of ``rows``, as far as nodes are alike."""
+    dealt = rows.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "comp").join(sets, "node")
+    cells = cells.select("key", "a", "b", "own", "node", "comp", "members")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for (_, a, b), cell in groupby(each, key=lambda r: r[:3]):
+            _, _, _, own, nodes, comps, members = zip(*cell, strict=True)
+            label, owns = np.array(comps), np.array(own)
+            members = [np.frombuffer(m, np.uint64) for m in members]
+            size, found = np.array([len(m) for m in members]), []
+            for i in range(len(nodes)):
+                fits = (5 * np.minimum(size, size[i]) >= FIFTHS * np.maximum(size, size[i])) & (np.arange(len(nodes)) > i)
+                if a != b:
+                    fits &= owns != owns[i]
+                for j in np.flatnonzero(fits & (label != label[i])).tolist():
+                    if label[j] != label[i] and alike(members[i], members[j]):
+                        found.append((nodes[i], nodes[j]))
+                        label[label == label[j]] = label[i]
+            if found:
+                u, v = zip(*found, strict=True)
+                yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    ordered = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return ordered.mapInArrow(run, "u bigint, v bigint")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """One row per row of ``docs``: id, ``fp`` and ``component_id``, the least id reachable by links.
+
+    Rows are linked if their fingerprints differ in ``max_bits`` bits at most or their sets of shingles have a
+    Jaccard similarity of 0.8 or more. Texts without words are linked; ids are treated as in ``near_duplicates``.
+    """
+    prints = durable(sketches(docs, id_col, text_col, shingle), "sketches")
+    nodes = durable(prints.groupBy("fp", "node").agg(F.min("id").alias("least")), "nodes")
+    faces = durable(nodes.groupBy("fp").agg(F.min("node").alias("face")), "faces")
+    near = links(faces.select("fp"), max_bits).join(faces.toDF("u", "face_u"), "u").join(faces.toDF("v", "face_v"), "v")
+    own = nodes.join(faces, "fp").select(F.col("node").alias("u"), F.col("face").alias("v"))
+    edges = durable(own.unionByName(near.select(F.col("face_u").alias("u"), F.col("face_v").alias("v"))), "links")
+    # a band of a single node has no candidates
+    keyed = prints.select("node", F.explode("bands").alias("key")).distinct()
+    keyed = durable(keyed.join(keyed.groupBy("key").count().where("count > 1").select("key"), "key").select("key", "node"), "keys")
+    rows = _open(keyed, edges)
+    sets = prints.select("node", "members").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = durable(sets, "sets")
+    leads = rows.where("comp != lead.comp").select(F.col("lead.node").alias("u"), F.col("node").alias("v")).distinct()
+    edges = durable(edges.unionByName(_judged(leads, sets)), "links")
+    edges = edges.unionByName(durable(_forest(_open(keyed, edges), sets, block), "links"))
+    roots = components(edges).toDF("node", "root")
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.select("fp", "node", "root").join(least, "root").select("fp", "node", "component_id")
+    return prints.join(named, ["fp", "node"]).select(F.col("id").alias(id_col), "fp", "component_id")

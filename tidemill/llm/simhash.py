@@ -32,18 +32,22 @@ BLOCK = 1024
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of UTF-8 ``text``: words between white space, A-Z lower-cased, XXH64 of each shingle; 0 without words."""
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle of UTF-8 ``text``: words between white space, A-Z lower-cased; a shorter text is one shingle."""
     words = text.translate(_LOWER).split()
     if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.empty(0, ">u8")
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], ">u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - shingle + 1]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), ">u8", len(starts))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=True)), ">u8", len(starts))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes; 0 without any."""
     counts = np.zeros(BITS, np.int64)
     for first in range(0, len(hashes), 4096):
         part = hashes[first : first + 4096]
@@ -51,6 +55,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """SimHash of UTF-8 ``text``; 0 without words."""
+    return majority(shingles(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """``id`` and ``fp`` (signed 64 bits) of every row; null texts have no words."""
 
