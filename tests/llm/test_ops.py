@@ -411,3 +411,33 @@ def test_near_copies_find_all_pairs_at_four_fifths(spark, edge, empty, block):
     found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, block=block).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == want and len(found) == len(rows)
     assert near_copies.near_copies(edge).count() == len(EDGE) and near_copies.near_copies(empty).count() == 0
+
+
+def test_op8_runs_of_every_length(spark):
+    """Lines of one to twelve words, in repeated runs of every length, against brute force over all lengths."""
+    three = "one two three four five six\nseven\na b c d e f g"
+    rows = [(1, f"start\n{three}\nend"), (2, f"begin\n{three}\nstop")]
+    rng = np.random.default_rng(8)
+    pool = [" ".join(f"v{k}x{i}" for i in range(int(rng.integers(1, 13 if k % 5 == 0 else 4)))) for k in range(40)]
+    for d in range(3, 60):
+        parts = []
+        for _ in range(4):
+            a = int(rng.integers(0, 40))
+            parts += [f"own {d} {rng.integers(1000)}", *pool[a : a + int(rng.integers(1, 20))]]
+        rows.append((d, "\n".join(parts)))
+    lines = {d: t.split("\n") for d, t in rows}
+    gone, short = defaultdict(set), defaultdict(set)
+    for n in range(1, 40):
+        seen = set()
+        for d in sorted(lines):
+            for a in range(len(lines[d]) - n + 1):
+                key = tuple(lines[d][a : a + n])
+                if key not in seen:
+                    seen.add(key)
+                elif sum(len(x.split()) for x in key) >= 10:
+                    gone[d].update(range(a, a + n))
+                    if n in (1, 2, 4, 8, 16):
+                        short[d].update(range(a, a + n))
+    assert gone[2] == {1, 2, 3} and not short[2]
+    out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {d: "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d in lines}

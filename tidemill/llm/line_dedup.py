@@ -3,13 +3,16 @@
 The lines of a document that hold a word form a sequence of line ids. Suffixes of all sequences are ranked by
 their first line, then by their first 2, 4, 8, ... lines: the rank of 2k lines is that of the pair (rank of k
 lines here, rank of k lines k places on). Ranks are row numbers of the sorted distinct pairs, so they order
-suffixes as a suffix array does. Suffixes of equal rank after a round form an interval of the array whose
-longest common prefix is at least that many lines: a repeated run. The least place in the interval is its
-first copy; the run is deleted at every other place if it has ``min_words`` words. Overlapping and adjacent
-deletions make up the maximal repeated runs.
+suffixes as a suffix array does, and suffixes of equal rank share that many lines. By binary lifting, L lines
+are alike where the ranks of their first and of their last k lines are, k being the greatest power of two in L.
 
-Only repeated suffixes go on to the next round, and after log2(min_words) + 1 rounds every run has enough
-words, so rounds are few. All steps are joins and aggregates of Spark SQL; hot lines are counted before they move.
+A run of ``min_words`` words or more that occurs at an earlier place is deleted. All its lines lie in least
+runs, which fall below ``min_words`` without their first or without their last line: a line before the last
+``min_words`` words begins one, and one ends with the run. So least runs, of at most ``min_words`` lines, are
+compared for every length, and their later copies make up the later copies of all maximal repeated runs.
+
+Only repeated suffixes go on to the next round, and log2(min_words) + 1 rounds are enough. All steps are joins
+and aggregates of Spark SQL; hot lines are counted before they move.
 """
 
 from __future__ import annotations
@@ -32,32 +35,52 @@ def _ranked(pairs: DataFrame) -> DataFrame:
     return durable(pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id()), "ranks")
 
 
+def _least_runs(ahead: Column, min_words: int) -> Column:
+    """Lengths of the runs from a line on that have ``min_words`` words, but not without their last or first line."""
+    total = lambda n: F.aggregate(F.slice(ahead, 1, n), F.lit(0), lambda x, w: x + w)
+    first = F.get(ahead, F.lit(0))
+    fits = lambda n: (total(n) >= min_words) & ((total(n - 1) < min_words) | (total(n) - first < min_words))
+    some = F.filter(F.sequence(F.lit(1), F.size(ahead)), fits)
+    # quick for what most lines are: long, and before a long one or the last
+    return F.when((first >= min_words) & (F.coalesce(F.get(ahead, F.lit(1)), F.lit(min_words)) >= min_words), F.array(F.lit(1))).otherwise(some)
+
+
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Places of lines to delete: ``id``, ``tie`` (hash of the text) and ``line`` (from 0), each once."""
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
     lines = rows.select("id", "tie", F.posexplode(F.transform(_lines("text"), lambda x: F.when(x.rlike(_WORD), F.struct(F.xxhash64(x, F.length(x)).alias("h"), F.size(F.filter(F.split(x, "[ \\t-\\r]+"), lambda w: w != "")).alias("words"))))).alias("line", "x")).where("x is not null").select("id", "tie", "line", F.col("x.h").alias("h"), F.col("x.words").alias("words"))
     # rows that repeat in id and text are one document; they are united before its lines meet in a task
     place = Window.partitionBy("id", "tie").orderBy("line")
-    lines = durable(lines.distinct().withColumn("at", F.row_number().over(place)), "lines")
+    # words of the lines from here on, as many as a least run can have
+    ahead = F.collect_list(F.least("words", F.lit(min_words))).over(place.rowsBetween(0, max(min_words, 1) - 1))
+    lines = lines.distinct().withColumn("at", F.row_number().over(place)).withColumn("ahead", ahead)
+    lines = durable(lines.select("id", "tie", "line", "h", "at", _least_runs(F.col("ahead"), min_words).alias("least")), "lines")
     own = F.struct("id", "tie", "at")
     groups = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(own).alias("first")).where("n > 1")
     ranks = _ranked(groups.select(F.col("h").alias("a"), F.lit(0).alias("b"), "first"))
-    state = lines.join(ranks.select(F.col("a").alias("h"), "rank", "first"), "h").select("id", "tie", "at", "words", "rank", "first", F.lit(False).alias("implied"))
+    state = lines.join(ranks.select(F.col("a").alias("h"), "rank", "first"), "h").select("id", "tie", "at", "least", "rank", "first")
     length, found = 1, []
     while True:
         state = durable(state, "suffixes")
-        later = state.where((F.col("words") >= min_words) & ~F.col("implied") & (own != F.col("first")))
+        later = state.where(F.array_contains("least", length) & (own != F.col("first")))
         found.append(later.select("id", "tie", F.explode(F.sequence(F.col("at"), F.col("at") + (length - 1))).alias("at")))
-        if length >= min_words:
+        # least runs up to the next power of two: their first and their last lines, ranked
+        between = state.select("id", "tie", "at", F.col("rank").alias("a"), F.explode(F.filter("least", lambda n: (n > length) & (n < 2 * length))).alias("n"))
+        if 1 < length < min_words:
+            last = state.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), F.col("at").alias("at2"), F.col("rank").alias("b"))
+            same = F.col("id").eqNullSafe(F.col("id2")) & F.col("tie").eqNullSafe(F.col("tie2")) & (F.col("at") + F.col("n") - length == F.col("at2"))
+            runs = durable(between.join(last, same).select("id", "tie", "at", "n", "a", "b"), "runs")
+            firsts = runs.groupBy("n", "a", "b").agg(F.count("*").alias("copies"), F.min(own).alias("first")).where("copies > 1")
+            later = runs.join(firsts, ["n", "a", "b"]).where(own != F.col("first"))
+            found.append(later.select("id", "tie", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")))
+        if 2 * length > min_words:
             break
-        here = state.select("id", "tie", "at", "words", F.col("rank").alias("a"))
-        ahead = state.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), (F.col("at") - length).alias("at2"), F.col("words").alias("words2"), F.col("rank").alias("b"))
+        here = state.select("id", "tie", "at", "least", F.col("rank").alias("a"))
+        ahead = state.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), (F.col("at") - length).alias("at2"), F.col("rank").alias("b"))
         same = F.col("id").eqNullSafe(F.col("id2")) & F.col("tie").eqNullSafe(F.col("tie2")) & (F.col("at") == F.col("at2"))
-        # two halves that are long enough are found by themselves
-        implied = (F.col("words") >= min_words) & (F.col("words2") >= min_words)
-        pairs = durable(here.join(ahead, same).select("id", "tie", "at", (F.col("words") + F.col("words2")).alias("words"), "a", "b", implied.alias("implied")), "pairs")
+        pairs = durable(here.join(ahead, same).select("id", "tie", "at", "least", "a", "b"), "pairs")
         groups = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(own).alias("first")).where("n > 1")
-        state = pairs.join(_ranked(groups.select("a", "b", "first")), ["a", "b"]).select("id", "tie", "at", "words", "rank", "first", "implied")
+        state = pairs.join(_ranked(groups.select("a", "b", "first")), ["a", "b"]).select("id", "tie", "at", "least", "rank", "first")
         length *= 2
     spans = found[0]
     for more in found[1:]:
@@ -71,7 +94,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """``docs`` with later copies of repeated line runs deleted from ``text_col``; all rows and columns stay.
 
     Adds ``lines`` (lines with a word), ``deleted`` (of these) and ``runs`` (maximal deleted runs). A line is
-    deleted if a run of 1, 2, 4, ... lines that holds it has ``min_words`` words and occurs at an earlier
+    deleted if a run of lines, of any length, that holds it has ``min_words`` words and occurs at an earlier
     place, in the order of id (null first), text hash and line. Lines without a word are passed over and
     stay. Rows that repeat in id and text are one document and get the same result; null texts stay null; an
     empty table stays empty.
