@@ -275,27 +275,51 @@ def test_op7_links_lose_nothing(spark, block):
     assert {x: roots.get(x, x) for x in signed} == want
 
 
+def later_copies(docs, lengths=None):
+    """Lines of later copies of runs of ten words, of every length (or of ``lengths``), but not of the first copies.
+
+    ``docs``: document -> list of (line number, line, words); returns document -> line numbers.
+    """
+    gone = defaultdict(set)
+    for n in lengths or range(1, max(map(len, docs.values()), default=0) + 1):
+        first = {}
+        for d in sorted(docs):
+            for a in range(len(docs[d]) - n + 1):
+                run = docs[d][a : a + n]
+                if sum(w for *_, w in run) >= 10:
+                    source, at = first.setdefault(tuple(x for _, x, _ in run), (d, a))
+                    if (source, at) != (d, a):
+                        gone[d].update(i for i, *_ in docs[d][max(a, at + n) if source == d else a : a + n])
+    return gone
+
+
+def held_lines(text):
+    return [(i, x, len(SPACED.findall(x))) for i, x in enumerate(text.split("\n")) if SPACED.search(x)]
+
+
 def test_op8_runs(spark, texts, edge, empty):
     got = query(spark, "op8_line_dedup")
-    lines = {d: [(i, x, len(SPACED.findall(x))) for i, x in enumerate(t.split("\n")) if SPACED.search(x)] for d, t in texts.items()}
-    gone = defaultdict(set)
-    for n in (1, 2, 4, 8, 16):
-        seen = set()
-        for d in sorted(lines):
-            for a in range(len(lines[d]) - n + 1):
-                run = lines[d][a : a + n]
-                key = tuple(x for _, x, _ in run)
-                if key not in seen:
-                    seen.add(key)
-                elif sum(w for *_, w in run) >= 10:
-                    gone[d].update(i for i, *_ in run)
+    lines = {d: held_lines(t) for d, t in texts.items()}
+    gone = later_copies(lines, range(1, 60))
     for d, t in texts.items():
         assert got[d]["text"] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d])
         assert (got[d]["lines"], got[d]["deleted"]) == (len(lines[d]), len(gone[d]))
     assert any(gone.values())
-    out = line_dedup.dedup_lines(edge)
-    assert out.count() == len(EDGE) and set(edge.columns) <= set(out.columns)
-    assert line_dedup.dedup_lines(empty).count() == 0
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(edge).where("text is null or doc_id is null or doc_id < 6").collect() if r["doc_id"] is not None) == sorted((False, i, t) for i, t in EDGE if i is not None and i < 6)
+    assert line_dedup.dedup_lines(edge).count() == len(EDGE) and line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_op8_columns_that_clash(spark):
+    rows = [(1, "a b c d e f g h i j", "x", 5, 6, "q"), (2, "a b c d e f g h i j", "y", 5, 6, "q")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, lines string, deleted int, runs int, h string"))
+    assert out.columns == ["doc_id", "text", "lines", "deleted", "runs", "h", "lines_", "deleted_", "runs_"]
+    assert {tuple(r) for r in out.collect()} == {(1, rows[0][1], "x", 5, 6, "q", 1, 0, 0), (2, "", "y", 5, 6, "q", 1, 1, 1)}
+
+
+def test_op8_overlap_keeps_a_whole_first_copy(spark):
+    rows = [(5, "t u v\n" * 5), (6, "w w w\n" * 4 + "x x x\n" + "w w w\n" * 7), (7, "p q\nr s\n" * 9)]
+    out = {r["doc_id"]: r["text"].split("\n")[:-1] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {5: ["t u v"] * 4, 6: ["w w w"] * 4 + ["x x x"], 7: ["p q", "r s", "p q", "r s", "p q"]}
 
 
 def test_op8_short_lines_go_as_runs(spark):
@@ -416,7 +440,8 @@ def test_near_copies_find_all_pairs_at_four_fifths(spark, edge, empty, block):
 def test_op8_runs_of_every_length(spark):
     """Lines of one to twelve words, in repeated runs of every length, against brute force over all lengths."""
     three = "one two three four five six\nseven\na b c d e f g"
-    rows = [(1, f"start\n{three}\nend"), (2, f"begin\n{three}\nstop")]
+    seven = "\n".join(f"first{i} second{i}" for i in range(7))
+    rows = [(1, f"start\n{three}\nend"), (2, f"begin\n{three}\nstop"), (100, f"u\n{seven}\nv"), (101, f"w\n{seven}\n\nx"), (102, f"{seven}\n{seven}\n{three}")]
     rng = np.random.default_rng(8)
     pool = [" ".join(f"v{k}x{i}" for i in range(int(rng.integers(1, 13 if k % 5 == 0 else 4)))) for k in range(40)]
     for d in range(3, 60):
@@ -425,19 +450,34 @@ def test_op8_runs_of_every_length(spark):
             a = int(rng.integers(0, 40))
             parts += [f"own {d} {rng.integers(1000)}", *pool[a : a + int(rng.integers(1, 20))]]
         rows.append((d, "\n".join(parts)))
-    lines = {d: t.split("\n") for d, t in rows}
-    gone, short = defaultdict(set), defaultdict(set)
-    for n in range(1, 40):
-        seen = set()
-        for d in sorted(lines):
-            for a in range(len(lines[d]) - n + 1):
-                key = tuple(lines[d][a : a + n])
-                if key not in seen:
-                    seen.add(key)
-                elif sum(len(x.split()) for x in key) >= 10:
-                    gone[d].update(range(a, a + n))
-                    if n in (1, 2, 4, 8, 16):
-                        short[d].update(range(a, a + n))
-    assert gone[2] == {1, 2, 3} and not short[2]
+    # few distinct lines: overlapping and periodic runs
+    rows += [(d, "\n".join(rng.choice(["a b", "c d e", "f"], int(rng.integers(1, 40))).tolist())) for d in range(60, 75)]
+    lines = {d: held_lines(t) for d, t in rows}
+    gone = later_copies(lines)
+    assert gone[2] == {1, 2, 3} and gone[101] == set(range(1, 8))
     out = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert out == {d: "\n".join(x for i, x in enumerate(lines[d]) if i not in gone[d]) for d in lines}
+    assert out == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+
+
+def test_op8_order_is_a_suffix_array(spark):
+    """The order puts suffixes of islands in the order of their lines' ranks, and neighbours share ``lcp`` lines."""
+    rng = np.random.default_rng(2)
+    rows = [(d, "\n".join(rng.choice(["a", "b", "c", f"own {d}"], 50, p=[0.5, 0.3, 0.19, 0.01]).tolist())) for d in range(12)]
+    held = spark.createDataFrame(rows, "doc_id long, text string").select(F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tie")).alias("d"), F.posexplode(line_dedup._held(F.col("text"))).alias("at", "x")).select("d", "at", "x.*")
+    order = line_dedup.suffix_array(line_dedup.suffix_paths(line_dedup._islands(held, 10)), 1000).orderBy("seq").collect()
+    split, count = {d: t.split("\n") for d, t in rows}, Counter(x for _, t in rows for x in t.split("\n"))
+
+    def island(d, at):
+        out = []
+        for x in split[d][at:]:
+            if count[x] == 1:
+                break
+            out.append(x)
+        return out
+
+    found = [island(r["d"]["id"], r["at"]) for r in order]
+    rank = {x: i for i, x in enumerate(dict.fromkeys(f[0] for f in found))}
+    keys = [[rank[x] for x in f] for f in found]
+    assert keys == sorted(keys) and len(keys) == sum(n for n in count.values() if n > 1)
+    shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert [r["lcp"] for r in order] == [0, *(shared(a, b) for a, b in zip(keys, keys[1:], strict=False))]

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at a time; one longer text makes a longer chunk.
 CHUNK_BYTES = 1 << 20
@@ -37,6 +38,30 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key is crowded if it has more than one row in so many; so no table has more crowded keys than that.
+CROWDED = 1000
+
+
+def join_counted(rows: DataFrame, groups: DataFrame, on: list[str], total: int, n: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row a key and in ``n`` how many rows the key has.
+
+    A key with more than total / CROWDED rows would make a hot task. There are at most CROWDED such keys, as
+    ``total`` is the number of rows: these are broadcast, and only the others are shuffled.
+    """
+    crowded = groups.where(F.col(n) * CROWDED > total)
+    hot = rows.join(F.broadcast(crowded), on)
+    rest = rows.join(F.broadcast(crowded.select(*on)), on, "left_anti")
+    return hot.unionByName(rest.join(groups.where(F.col(n) * CROWDED <= total), on))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores appended while a column is called so."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 class Texts:
     """UTF-8 bytes of some consecutive texts, nulls as empty, and where each begins and ends."""
 

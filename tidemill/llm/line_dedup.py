@@ -1,26 +1,38 @@
 """Line dedup by a suffix array over line ids, built by distributed prefix doubling.
 
-The lines of a document that hold a word form a sequence of line ids. Suffixes of all sequences are ranked by
-their first line, then by their first 2, 4, 8, ... lines: the rank of 2k lines is that of the pair (rank of k
-lines here, rank of k lines k places on). Ranks are row numbers of the sorted distinct pairs, so they order
-suffixes as a suffix array does, and suffixes of equal rank share that many lines. By binary lifting, L lines
-are alike where the ranks of their first and of their last k lines are, k being the greatest power of two in L.
-
-A run of ``min_words`` words or more that occurs at an earlier place is deleted. All its lines lie in least
-runs, which fall below ``min_words`` without their first or without their last line: a line before the last
-``min_words`` words begins one, and one ends with the run. So least runs, of at most ``min_words`` lines, are
-compared for every length, and their later copies make up the later copies of all maximal repeated runs.
-
-Only repeated suffixes go on to the next round, and log2(min_words) + 1 rounds are enough. All steps are joins
-and aggregates of Spark SQL; hot lines are counted before they move.
+The lines of a document that hold a word form a sequence of line ids (a line's id is the MD5 of its text). No
+repeated run crosses a line that occurs only once, so sequences are cut at these lines into islands, and only
+suffixes of islands are sorted.
+
+*Prefix doubling.* A suffix has a path of ranks: of its first line, of its first 2, 4, 8, ... lines. The next
+rank numbers the sorted distinct pairs (last rank here, path of the suffix that many lines on). Paths order
+suffixes as a suffix array does. A suffix goes on to the next round while its rank repeats and its island is
+longer than what the rank covers; the rounds end when no suffix goes on.
+
+*Longest common prefixes.* Neighbours of the suffix array share the lines of the last rank that they have in
+common, and what the suffixes behind these lines share; those are looked up in the same way, so a length is
+the sum of a few powers of two.
+
+*Intervals.* A run of n lines is an interval of the suffix array: neighbours with n lines or more in common.
+Its earliest member is the first copy, all others are later copies. A line is deleted if it belongs to a later
+copy of a run with ``min_words`` words, but not to the first copy, which may overlap the later one. All such
+lines lie in least runs, which have ``min_words`` words but not without their first or not without their last
+line. So intervals are looked up for the least runs that begin at a suffix, of ``min_words`` lines at most;
+together they cover the later copies of all maximal runs, however long.
+
+All steps are Spark SQL expressions, joins, aggregates and windows. Windows run over one document's lines or
+over one range of the suffix array; ranges are joined by one row a range. Crowded lines are counted first and
+joined by broadcast.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, free_name, join_counted
 
 MIN_WORDS = 10
 _WORD = "[^ \\t-\\r]"
@@ -30,9 +42,18 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _ranked(pairs: DataFrame) -> DataFrame:
-    """Adds ``rank`` to distinct (a, b), in their order, and writes the table."""
-    return durable(pairs.repartitionByRange("a", "b").sortWithinPartitions("a", "b").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+def _held(text: Column) -> Column:
+    """Lines of a text that hold a word: number, id and words of each."""
+
+    def one(x: Column, i: Column) -> Column:
+        return F.when(x.rlike(_WORD), F.struct(i.alias("line"), F.unhex(F.md5(x)).alias("h"), F.regexp_count(x, F.lit(_WORD + "+")).alias("words")))
+
+    return F.filter(F.transform(_lines(text), one), lambda x: x.isNotNull())
+
+
+def _numbered(groups: DataFrame, *keys: str) -> DataFrame:
+    """Adds ``r``, which numbers the rows in the order of ``keys``, and writes the table."""
+    return durable(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("r", F.monotonically_increasing_id()), "ranks")
 
 
 def _least_runs(ahead: Column, min_words: int) -> Column:
@@ -45,61 +66,119 @@ def _least_runs(ahead: Column, min_words: int) -> Column:
     return F.when((first >= min_words) & (F.coalesce(F.get(ahead, F.lit(1)), F.lit(min_words)) >= min_words), F.array(F.lit(1))).otherwise(some)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Places of lines to delete: ``id``, ``tie`` (hash of the text) and ``line`` (from 0), each once."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
-    lines = rows.select("id", "tie", F.posexplode(F.transform(_lines("text"), lambda x: F.when(x.rlike(_WORD), F.struct(F.xxhash64(x, F.length(x)).alias("h"), F.size(F.filter(F.split(x, "[ \\t-\\r]+"), lambda w: w != "")).alias("words"))))).alias("line", "x")).where("x is not null").select("id", "tie", "line", F.col("x.h").alias("h"), F.col("x.words").alias("words"))
-    # rows that repeat in id and text are one document; they are united before its lines meet in a task
-    place = Window.partitionBy("id", "tie").orderBy("line")
-    # words of the lines from here on, as many as a least run can have
-    ahead = F.collect_list(F.least("words", F.lit(min_words))).over(place.rowsBetween(0, max(min_words, 1) - 1))
-    lines = lines.distinct().withColumn("at", F.row_number().over(place)).withColumn("ahead", ahead)
-    lines = durable(lines.select("id", "tie", "line", "h", "at", _least_runs(F.col("ahead"), min_words).alias("least")), "lines")
-    own = F.struct("id", "tie", "at")
-    groups = lines.groupBy("h").agg(F.count("*").alias("n"), F.min(own).alias("first")).where("n > 1")
-    ranks = _ranked(groups.select(F.col("h").alias("a"), F.lit(0).alias("b"), "first"))
-    state = lines.join(ranks.select(F.col("a").alias("h"), "rank", "first"), "h").select("id", "tie", "at", "least", "rank", "first")
-    length, found = 1, []
+def _islands(lines: DataFrame, min_words: int) -> DataFrame:
+    """Repeated lines as suffixes of islands: ``d``, ``at``, ``line``, ``left`` (lines to the island's end), ``least``, ``path``, ``n``."""
+    ranks = _numbered(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "h")
+    # a document that repeats in id and text is one: its lines count once
+    rows = join_counted(lines, ranks, ["h"], lines.count()).select("d", "at", "line", "words", "r", "n").distinct()
+    place = Window.partitionBy("d").orderBy("at")
+    rows = rows.withColumn("island", F.col("at") - F.row_number().over(place))
+    whole = Window.partitionBy("d", "island")
+    inside = whole.orderBy("at")
+    ahead = F.collect_list(F.least("words", F.lit(min_words))).over(inside.rowsBetween(0, max(min_words, 1) - 1))
+    rows = rows.withColumn("left", (F.max("at").over(whole) - F.col("at") + 1).cast("int")).withColumn("ahead", ahead)
+    return durable(rows.select("d", "at", "line", "left", _least_runs(F.col("ahead"), min_words).alias("least"), F.array("r").alias("path"), "n"), "suffixes")
+
+
+def _at(suffixes: DataFrame, path: str, d: str, at: str) -> DataFrame:
+    return suffixes.select(F.col("d").alias(d), F.col("at").alias(at), F.col("path").alias(path))
+
+
+def suffix_paths(suffixes: DataFrame) -> DataFrame:
+    """Prefix doubling: ``suffixes`` with paths that go on until no rank repeats or the island ends."""
+    done, state, length = [], suffixes, 1
     while True:
-        state = durable(state, "suffixes")
-        later = state.where(F.array_contains("least", length) & (own != F.col("first")))
-        found.append(later.select("id", "tie", F.explode(F.sequence(F.col("at"), F.col("at") + (length - 1))).alias("at")))
-        # least runs up to the next power of two: their first and their last lines, ranked
-        between = state.select("id", "tie", "at", F.col("rank").alias("a"), F.explode(F.filter("least", lambda n: (n > length) & (n < 2 * length))).alias("n"))
-        if 1 < length < min_words:
-            last = state.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), F.col("at").alias("at2"), F.col("rank").alias("b"))
-            same = F.col("id").eqNullSafe(F.col("id2")) & F.col("tie").eqNullSafe(F.col("tie2")) & (F.col("at") + F.col("n") - length == F.col("at2"))
-            runs = durable(between.join(last, same).select("id", "tie", "at", "n", "a", "b"), "runs")
-            firsts = runs.groupBy("n", "a", "b").agg(F.count("*").alias("copies"), F.min(own).alias("first")).where("copies > 1")
-            later = runs.join(firsts, ["n", "a", "b"]).where(own != F.col("first"))
-            found.append(later.select("id", "tie", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("at")))
-        if 2 * length > min_words:
-            break
-        here = state.select("id", "tie", "at", "least", F.col("rank").alias("a"))
-        ahead = state.select(F.col("id").alias("id2"), F.col("tie").alias("tie2"), (F.col("at") - length).alias("at2"), F.col("rank").alias("b"))
-        same = F.col("id").eqNullSafe(F.col("id2")) & F.col("tie").eqNullSafe(F.col("tie2")) & (F.col("at") == F.col("at2"))
-        pairs = durable(here.join(ahead, same).select("id", "tie", "at", "least", "a", "b"), "pairs")
-        groups = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(own).alias("first")).where("n > 1")
-        state = pairs.join(_ranked(groups.select("a", "b", "first")), ["a", "b"]).select("id", "tie", "at", "least", "rank", "first")
+        goes_on = (F.col("n") > 1) & (F.col("left") > length)
+        done.append(state.where(~goes_on).drop("n"))
+        going = state.where(goes_on).drop("n")
+        total = going.count()
+        if not total:
+            return reduce(DataFrame.unionByName, done)
+        others = _at(reduce(DataFrame.unionByName, [*done, going]), "b", "d2", "at2")
+        here = F.col("d").eqNullSafe(F.col("d2")) & (F.col("at") + length == F.col("at2"))
+        pairs = durable(going.join(others, here).select(*going.columns, F.element_at("path", -1).alias("a"), "b"), "pairs")
+        ranks = _numbered(pairs.groupBy("a", "b").agg(F.count("*").alias("n")), "a", "b")
+        joined = join_counted(pairs, ranks, ["a", "b"], total)
+        state = durable(joined.select("d", "at", "line", "left", "least", F.concat("path", F.array("r")).alias("path"), "n"), "suffixes")
         length *= 2
-    spans = found[0]
-    for more in found[1:]:
-        spans = spans.unionByName(more)
-    spans = spans.distinct().toDF("id2", "tie2", "at2")
-    same = F.col("id").eqNullSafe(F.col("id2")) & F.col("tie").eqNullSafe(F.col("tie2")) & (F.col("at") == F.col("at2"))
-    return lines.join(spans, same, "left_semi").select("id", "tie", "line")
+
+
+def _shared(left: str, right: str) -> Column:
+    """Lines that the last rank common to two paths covers; 0 if the first lines differ. Ranks name their level's classes."""
+    common = F.size(F.filter(F.zip_with(left, right, lambda x, y: x.eqNullSafe(y)), lambda same: same))
+    return F.when(common > 0, F.pow(F.lit(2.0), common - 1).cast("int")).otherwise(0)
+
+
+def suffix_array(suffixes: DataFrame, most: int) -> DataFrame:
+    """Suffixes in order: ``part``, ``seq`` (ascending), d, at, least, and ``lcp``, the lines shared with the one before, ``most`` at most."""
+    key = ["path", "d", "at"]
+    ordered = suffixes.repartitionByRange(*key).sortWithinPartitions(*key)
+    ordered = durable(ordered.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")), "order")
+    one = F.struct("d", "at", "left", "path")
+    # a range begins behind the last suffix of the range before: one row a range
+    last = ordered.groupBy("part").agg(F.max_by(one, "seq").alias("last")).select("part", F.lag("last").over(Window.orderBy("part")).alias("border"))
+    rows = ordered.join(F.broadcast(last), "part").withColumn("before", F.coalesce(F.lag(one).over(Window.partitionBy("part").orderBy("seq")), "border"))
+    fits = F.coalesce(F.least(F.lit(most), "left", "before.left"), F.lit(0))
+    keep = ["part", "seq", "d", "at", "least"]
+    more = F.coalesce(_shared("path", "before.path"), F.lit(0))
+    # behind a single common line, or none, the next lines are known to differ
+    rows = rows.select(*keep, F.col("before.d").alias("d3"), F.col("before.at").alias("at3"), fits.alias("fits"), F.least(more, fits).alias("lcp"), (more > 1).alias("open"))
+    found = []
+    while True:
+        rows = durable(rows, "lcp")
+        going = F.col("open") & (F.col("lcp") < F.col("fits"))
+        found.append(rows.where(~going).select(*keep, "lcp"))
+        rows = rows.where(going)
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        ours = _at(suffixes, "p", "d4", "at4")
+        theirs = _at(suffixes, "q", "d5", "at5")
+        rows = rows.join(ours, F.col("d").eqNullSafe(F.col("d4")) & (F.col("at") + F.col("lcp") == F.col("at4")))
+        rows = rows.join(theirs, F.col("d3").eqNullSafe(F.col("d5")) & (F.col("at3") + F.col("lcp") == F.col("at5")))
+        more = _shared("p", "q")
+        rows = rows.select(*keep, "d3", "at3", "fits", F.least(F.col("lcp") + more, F.col("fits")).alias("lcp"), (more > 1).alias("open"))
+
+
+def later_copies(order: DataFrame, most: int) -> DataFrame:
+    """Lines ``d``, ``at`` in later copies of the least runs, but not in the first copy, each once."""
+    starts = lambda f: [f(F.when(F.col("lcp") < n, F.col("seq"))) for n in range(1, most + 1)]
+    # an interval is named by its first suffix, which may lie in an earlier range
+    borders = order.groupBy("part").agg(*[x.alias(f"s{i}") for i, x in enumerate(starts(F.max))])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    borders = borders.select("part", F.array(*[F.max(f"s{i}").over(earlier) for i in range(most)]).alias("carried"))
+    upto = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    named = order.join(F.broadcast(borders), "part").select("d", "at", "least", F.array(*starts(lambda x: F.max(x).over(upto))).alias("own"), "carried")
+    runs = named.select("d", "at", "own", "carried", F.explode("least").alias("lines"))
+    runs = durable(runs.select("d", "at", "lines", F.coalesce(F.get("own", F.col("lines") - 1), F.get("carried", F.col("lines") - 1)).alias("start")), "runs")
+    groups = runs.groupBy("lines", "start").agg(F.count("*").alias("n"), F.min(F.struct("d", "at")).alias("first")).where("n > 1")
+    later = join_counted(runs, groups, ["lines", "start"], runs.count()).where(~F.struct("d", "at").eqNullSafe(F.col("first")))
+    begin = F.when(F.col("d").eqNullSafe(F.col("first.d")), F.greatest("at", F.col("first.at") + F.col("lines"))).otherwise(F.col("at"))
+    return later.select("d", F.explode(F.sequence(begin, F.col("at") + F.col("lines") - 1)).alias("at")).distinct()
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Places of lines to delete: ``id``, ``tie`` (hash of the text) and ``line`` (from 0), each once."""
+    text = F.col(text_col)
+    d = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"))
+    lines = docs.where(text.isNotNull()).select(d.alias("d"), F.posexplode(_held(text)).alias("at", "x"))
+    lines = durable(lines.select("d", "at", "x.line", "x.h", "x.words"), "lines")
+    suffixes = durable(suffix_paths(_islands(lines, min_words)), "paths")
+    gone = later_copies(suffix_array(suffixes, max(min_words, 1)), max(min_words, 1)).toDF("d2", "at2")
+    here = F.col("d").eqNullSafe(F.col("d2")) & (F.col("at") == F.col("at2"))
+    return suffixes.join(gone, here, "left_semi").select("d.id", "d.tie", "line")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later copies of repeated line runs deleted from ``text_col``; all rows and columns stay.
 
-    Adds ``lines`` (lines with a word), ``deleted`` (of these) and ``runs`` (maximal deleted runs). A line is
-    deleted if a run of lines, of any length, that holds it has ``min_words`` words and occurs at an earlier
-    place, in the order of id (null first), text hash and line. Lines without a word are passed over and
-    stay. Rows that repeat in id and text are one document and get the same result; null texts stay null; an
-    empty table stays empty.
+    Adds ``lines`` (lines with a word), ``deleted`` (of these) and ``runs`` (stretches of deleted lines), with an
+    underscore appended where ``docs`` has such a column. A line is deleted if a run of lines, of any length,
+    that holds it has ``min_words`` words and occurs at an earlier place (in the order of id, null first, text
+    hash and line), and the first of these places does not hold the line: of copies that overlap, the first
+    stays whole. Lines without a word are passed over and stay. Rows that repeat in id and text are one
+    document and get the same result; null texts stay null; an empty table stays empty.
     """
-    own = [c for c in docs.columns]
+    own = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(own))])
     inner_id, inner_text = (f"c{own.index(c)}" for c in (id_col, text_col))
     gone = repeated_lines(inner, min_words, inner_id, inner_text).groupBy(F.col("id").alias("gone_id"), F.col("tie").alias("gone_tie")).agg(F.sort_array(F.collect_set("line")).alias("gone"))
@@ -108,11 +187,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     held = F.filter(lines, lambda x: x.rlike(_WORD))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col(inner_text)).otherwise(kept)
-    # a run ends where the next line is not deleted
+    # a stretch begins where the line before is not deleted
     runs = F.size(F.filter("gone", lambda g, i: (i == 0) | ~F.get("gone", i - 1).eqNullSafe(g - 1)))
+    added = {"lines": F.size(held), "deleted": F.size("gone"), "runs": runs}
     return joined.select(
         *[(text if c == inner_text else F.col(c)).alias(name) for c, name in zip(inner.columns, own, strict=True)],
-        F.coalesce(F.size(held), F.lit(0)).cast("long").alias("lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("deleted"),
-        F.coalesce(runs, F.lit(0)).cast("long").alias("runs"),
+        *[F.coalesce(F.when(x >= 0, x), F.lit(0)).cast("long").alias(free_name(name, own)) for name, x in added.items()],
     )

@@ -24,13 +24,15 @@ FROM d LEFT JOIN pos ON pos.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.do
 
 _RUN = "SELECT doc_id, pl, {n} AS n, list(line) OVER w AS run, sum(words) OVER w AS words FROM held WINDOW w AS (PARTITION BY doc_id ORDER BY pl ROWS BETWEEN CURRENT ROW AND {m} FOLLOWING)"
 
+#: Runs of 1 to 10 lines are listed. A longer run has ten words in any ten of its lines, each shifted alike, so it deletes what these delete.
 OP8 = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents),
-c AS (SELECT *, len(regexp_extract_all(line, '[^ \\t-\\r]+')) AS words FROM l),
+c AS (SELECT *, len(regexp_extract_all(line, '[^ \t-\r]+')) AS words FROM l),
 held AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS pl FROM c WHERE words > 0),
-runs AS ({" UNION ALL ".join(_RUN.format(n=n, m=n - 1) for n in (1, 2, 4, 8, 16))}),
-later AS (SELECT doc_id, pl, n FROM (SELECT *, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, pl) AS rn FROM runs WHERE len(run) = n) WHERE rn > 1 AND words >= 10),
-gone AS (SELECT DISTINCT h.doc_id, h.no FROM (SELECT doc_id, unnest(generate_series(pl, pl + n - 1)) AS pl FROM later) g JOIN held h ON h.doc_id = g.doc_id AND h.pl = g.pl),
+runs AS ({" UNION ALL ".join(_RUN.format(n=n, m=n - 1) for n in range(1, 11))}),
+firsts AS (SELECT n, run, min({{'d': doc_id, 'p': pl}}) AS f FROM runs WHERE len(run) = n AND words >= 10 GROUP BY 1, 2 HAVING count(*) > 1),
+later AS (SELECT r.doc_id, CASE WHEN f.d = r.doc_id THEN greatest(r.pl, f.p + r.n) ELSE r.pl END AS a, r.pl + r.n - 1 AS b FROM runs r JOIN firsts ON firsts.n = r.n AND firsts.run = r.run WHERE f.d <> r.doc_id OR f.p <> r.pl),
+gone AS (SELECT DISTINCT h.doc_id, h.no FROM (SELECT doc_id, unnest(generate_series(a, b)) AS pl FROM later) g JOIN held h ON h.doc_id = g.doc_id AND h.pl = g.pl),
 kept AS (SELECT c.doc_id, string_agg(c.line, chr(10) ORDER BY c.no) AS text FROM c ANTI JOIN gone ON gone.doc_id = c.doc_id AND gone.no = c.no GROUP BY 1),
 sums AS (SELECT c.doc_id, sum(CASE WHEN words > 0 THEN 1 ELSE 0 END)::BIGINT AS lines, count(g.no) AS deleted, sum(CASE WHEN g.no IS NOT NULL AND b.no IS NULL THEN 1 ELSE 0 END)::BIGINT AS runs
   FROM c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.no = c.no LEFT JOIN gone b ON b.doc_id = c.doc_id AND b.no = c.no - 1 GROUP BY 1)
