@@ -329,22 +329,57 @@ def test_op8_short_lines_go_as_runs(spark):
     assert out == {(1, f"first\n{run}", 0), (2, "last", 1), (3, "line number 0", 0)}
 
 
+def passages(docs, n=50):
+    """Runs of windows linked with their first occurrence: (document, start, stop, source, start there)."""
+    first, links = {}, {}
+    for d in sorted(docs, key=lambda d: (d is not None, d)):
+        for i in range(len(docs[d]) - n + 1):
+            place = first.setdefault(tuple(docs[d][i : i + n]), (d, i))
+            if place != (d, i):
+                links[d, i] = place
+    out = set()
+    for (d, i), (e, j) in links.items():
+        if links.get((d, i - 1)) != (e, j - 1):
+            k = 1
+            while links.get((d, i + k)) == (e, j + k):
+                k += 1
+            out.add((d, i, i + k - 1 + n, e, j))
+    return out
+
+
 def test_op9_passages(spark, texts, edge, empty):
     rows = __spark_entry__.queries()["op9_suffix_dedup"](spark, SF).collect()
-    words = {d: t.encode().split() for d, t in texts.items()}
-    seen = defaultdict(set)
-    for d, w in words.items():
-        for i in range(len(w) - 49):
-            seen[tuple(w[i : i + 50])].add((d, i))
-    want = {d for places in seen.values() if len(places) > 1 for d, _ in places}
-    assert {d for r in rows for d in (r["doc_id"], r["source_doc_id"])} == want and want
-    for r in rows:
-        n = r["stop"] - r["start"]
-        assert n >= 50 and words[r["doc_id"]][r["start"] : r["stop"]] == words[r["source_doc_id"]][r["source_start"] : r["source_start"] + n]
+    want = passages({d: t.encode().split() for d, t in texts.items()})
+    assert Counter(map(tuple, rows)) == Counter(want) and want
+    out = {tuple(r) for r in suffix_dedup.repeated_passages(edge.unionByName(edge.where("doc_id = 6").withColumn("doc_id", F.lit(8).cast("long")))).collect()}
+    assert out == {(8, 0, 30_000, 6, 0)}
     assert suffix_dedup.repeated_passages(edge).count() == 0
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_op9_frequent_clauses_hide_nothing(spark, partitions):
+    """Pairs that share 60 words, of which 44 (or 30, in the middle) are in 40 others too; overlapping and nested repeats."""
+    docs, d = {}, 0
+    for g in range(6):
+        for clause in (44, 30):
+            low = (60 - clause) // 2
+            whole = [f"g{g}x{clause}w{i}" for i in range(60)]
+            for k in range(42):
+                middle = whole if k in (11, 29) else whole[low : low + clause]
+                docs[d] = [f"a{d}w{i}" for i in range(k % 9)] + middle + [f"b{d}w{i}" for i in range(30)]
+                d += 1
+    rng = np.random.default_rng(6)
+    pool = [f"p{i}" for i in range(300)]
+    for _ in range(40):
+        a, b = sorted(rng.integers(0, 300, 2).tolist())
+        docs[d] = pool[a:b] + [f"own{d}"] + pool[b : b + 80] * 2
+        d += 1
+    docs[d] = ["same"] * 400
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string").repartition(partitions)
+    assert Counter(map(tuple, suffix_dedup.repeated_passages(frame).collect())) == Counter(passages(docs))
+
+
 def test_op9_extends_both_ways(spark):
     shared = " ".join(f"s{i}" for i in range(70))
     rows = [(1, f"{' '.join(f'a{i}' for i in range(40))} {shared} tail"), (2, f"{' '.join(f'b{i}' for i in range(9))} {shared} {' '.join(f'c{i}' for i in range(30))}"), (3, " ".join(f"s{i}" for i in range(20)))]

@@ -115,7 +115,7 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-_BYTE_POWERS, _WORD_POWERS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93)
+_BYTE_POWERS, _WORD_POWERS, _CHECK_POWERS = _Powers(0x9E3779B97F4A7C15), _Powers(0xD6E8FEB86659FD93), _Powers(0xD1342543DE82EF95)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -154,12 +154,12 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the ``k`` words from each word on, and whether they all belong to one text."""
+    def windows(self, k: int, check: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the ``k`` words from each word on, and whether they all belong to one text; ``check``: a second hash."""
         n = len(self)
         if n < k:
             return np.empty(0, np.uint64), np.empty(0, bool)
-        up, down = _WORD_POWERS.upto(n + 1)
+        up, down = (_CHECK_POWERS if check else _WORD_POWERS).upto(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(self.hash * up[:-1], out=sums[1:])
         value = _mixed((sums[k:] - sums[:-k]) * down[: n - k + 1] + np.uint64(k))

@@ -1,13 +1,21 @@
 """Repeated passages by a sparse suffix array.
 
 Suffixes of the documents' word sequences are retained at content-selected positions only: where the hash of
-the next ``SPAN`` words is the least among ``GAP`` consecutive positions (a minimiser). A passage of
-SPAN + GAP - 1 = 50 words or more is sampled at the same words wherever it occurs. The retained suffixes are
-sorted across the cluster, by the hash of their first words and then by what follows and precedes them, and
-neighbours that begin alike are compared; partition borders are stitched from one row a border. Each pair of
-documents is then matched word by word, from the sampled place to the left and to the right, and matches
-of ``min_words`` or more are kept. A passage that thousands of documents share is a chain of neighbours, not
-a set of all pairs, and the sort splits it over tasks.
+the next ``span`` words is the least among ``gap`` consecutive positions (a minimiser). Every window of
+span + gap - 1 = 50 words has one minimiser, at the same words wherever the window occurs.
+
+*Sort and compare neighbours.* The retained suffixes are sorted across the cluster; one that begins with the
+same ``span`` words as a neighbour may lie in a repeated passage, all others are dropped.
+
+*Extend left and right.* A suffix that is left stands for the windows of which it is the minimiser, up to
+``gap`` of them: they reach from it to the left and to the right and are whole passages. These are sorted in
+turn; windows that equal their neighbour form chains, and each window is linked with the first of its chain.
+Links of consecutive windows to consecutive windows are one passage. So no neighbour is passed over because a
+frequent clause sorts between two copies of a passage, and there is no bound on how many copies there are.
+
+Sorting splits frequent passages over tasks; ranges are joined by one row a range. A chain costs one row a
+copy, never a pair of copies. Texts move once, to meet their retained suffixes. Windows are compared by two
+independent 64-bit hashes of their words.
 """
 
 from __future__ import annotations
@@ -16,164 +24,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, Words, durable, text_chunks
 
-SPAN = 25
-GAP = 26
-#: Places up to which suffixes that begin alike are compared in the sorted order.
-NEAR = 3
+SPAN = 38
+GAP = 13
 MIN_WORDS = SPAN + GAP - 1
 
 
 def minimisers(words: Words, span: int = SPAN, gap: int = GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sampled words of a chunk, the hash of the ``span`` words from each on, and a hash of their surroundings."""
-    value, whole = words.windows(span)
+    """Words of a chunk at which windows of span + gap - 1 words of one text begin, each window's minimiser, and the hashes of ``span`` words."""
+    value, _ = words.windows(span)
     if len(value) < gap:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), value
     view = np.lib.stride_tricks.sliding_window_view(value, gap)
-    # only groups of positions whose words all lie in one text
-    inside = np.flatnonzero(words.text[: len(view)] == words.text[span + gap - 2 :][: len(view)])
-    picked = []
-    for first in range(0, len(inside), 16_384):
-        at = inside[first : first + 16_384]
-        picked.append(at + view[at].argmin(axis=1))
-    at = np.unique(np.concatenate(picked)) if picked else np.empty(0, np.int64)
-    after, before = at + span, at - span
-    has_after, has_before = (after < len(value)), before >= 0
-    after, before = np.minimum(after, len(value) - 1), np.maximum(before, 0)
-    has_after &= whole[after] & (words.text[np.minimum(after, len(words) - 1)] == words.text[at])
-    has_before &= whole[before] & (words.text[before] == words.text[at])
-    high = np.where(has_after, value[after], 0) & np.uint64(0xFFFFFFFF00000000)
-    low = np.where(has_before, value[before], 0) >> np.uint64(32)
-    return at, value[at], high | low
+    begin = np.flatnonzero(words.text[: len(view)] == words.text[span + gap - 2 :][: len(view)])
+    picked = [begin[i : i + 16_384] + view[begin[i : i + 16_384]].argmin(axis=1) for i in range(0, len(begin), 16_384)]
+    return begin, np.concatenate(picked) if picked else begin, value
 
 
 def _samples(rows: DataFrame, span: int, gap: int) -> DataFrame:
-    """Retained suffixes of ``rows`` (id, tie, text): id, tie, word number ``pos``, ``hash``, ``around``."""
+    """Retained suffixes of ``rows`` (id, tie, text): id, tie, word number ``pos``, ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in text_chunks(batch.column(2)):
                 words = Words(texts, NOT_SPACE)
-                at, value, around = minimisers(words, span, gap)
+                _, picked, value = minimisers(words, span, gap)
+                at = np.unique(picked)
                 row = words.text[at]
                 take = pa.array(row + texts.first)
-                yield pa.record_batch(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array((at - words.first[row]).astype(np.int32)), pa.array(value.view(np.int64)), pa.array(around.view(np.int64))],
-                    names=["id", "tie", "pos", "hash", "around"],
-                )
+                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - words.first[row]).astype(np.int32)), pa.array(value[at].view(np.int64))], names=["id", "tie", "pos", "key"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, tie bigint, pos int, hash bigint, around bigint")
-
-
-_LINK = ("id", "tie", "pos", "id2", "tie2", "pos2")
+    return rows.mapInArrow(run, f"id {kind}, tie bigint, pos int, key bigint")
 
 
-def _neighbours(samples: DataFrame) -> DataFrame:
-    """Pairs of neighbouring suffixes with the same hash."""
-    kind = samples.schema["id"].dataType.simpleString()
+def _windows(rows: DataFrame, span: int, gap: int) -> DataFrame:
+    """Windows of ``rows`` (id, tie, text, ``kept``) whose minimisers are among the kept ones: id, tie, pos, ``key`` and ``check``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId(), None
-
-        def rows(left: pa.RecordBatch, right: pa.RecordBatch, border: int) -> pa.RecordBatch:
-            n = left.num_rows
-            columns = [left.column(c) for c in range(3)] + [right.column(c) for c in range(3)]
-            return pa.record_batch([*columns, left.column(3), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, border, np.int32))], names=[*_LINK, "hash", "part", "border"])
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if last is None:
-                yield rows(batch.slice(0, 1), batch.slice(0, 1), 1)
-                joined, old = batch, 0
-            else:
-                joined, old = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0], last.num_rows
-            value = np.asarray(joined.column(3))
-            for far in range(1, min(NEAR, len(value) - 1) + 1):
-                at = np.flatnonzero(value[far:] == value[:-far])
-                at = at[at + far >= old]
-                if len(at):
-                    yield rows(joined.take(pa.array(at)), joined.take(pa.array(at + far)), 0)
-            last = joined.slice(max(0, joined.num_rows - NEAR))
-        if last is not None:
-            yield rows(last.slice(last.num_rows - 1), last.slice(last.num_rows - 1), 2)
-
-    key = ["hash", "around", "id", "tie", "pos"]
-    ordered = samples.select("id", "tie", "pos", "hash", "around").repartitionByRange(*key).sortWithinPartitions(*key)
-    schema = f"id {kind}, tie bigint, pos int, id2 {kind}, tie2 bigint, pos2 int, hash bigint, part int, border int"
-    found = durable(ordered.mapInArrow(run, schema), "neighbours")
-    borders = found.where("border > 0").orderBy("part", "border").collect()  # two rows a partition
-    stitched = [(*a[:3], *b[:3]) for a, b in zip(borders, borders[1:], strict=False) if a["border"] == 2 and b["border"] == 1 and a["hash"] == b["hash"]]
-    pairs = found.where("border = 0").select(*_LINK)
-    return pairs.unionByName(samples.sparkSession.createDataFrame(stitched, pairs.schema)) if stitched else pairs
-
-
-def match(left: list[bytes], right: list[bytes], shift: int, places: list[int], span: int, least: int) -> list[tuple[int, int]]:
-    """Maximal runs of ``right`` that equal ``left`` moved by ``shift``, hold a place and have ``least`` words."""
-    out, reached = [], -1
-    for p in sorted(places):
-        if p < reached:
-            continue
-        q = p - shift
-        if left[q : q + span] != right[p : p + span]:
-            continue
-        a, b = p, p + span
-        while a > 0 and a - shift > 0 and left[a - shift - 1] == right[a - 1]:
-            a -= 1
-        while b < len(right) and b - shift < len(left) and left[b - shift] == right[b]:
-            b += 1
-        reached = b
-        if b - a >= least:
-            out.append((a, b))
-    return out
+            for texts in text_chunks(batch.column(2)):
+                words = Words(texts, NOT_SPACE)
+                begin, picked, _ = minimisers(words, span, gap)
+                kept = np.zeros(len(words) + 1, bool)
+                lists = batch.column(3).slice(texts.first, texts.n)
+                kept[np.asarray(lists.flatten()) + np.repeat(words.first[:-1], np.asarray(lists.value_lengths()))] = True
+                at = begin[kept[picked]]
+                row = words.text[at]
+                take = pa.array(row + texts.first)
+                keys = [pa.array(words.windows(span + gap - 1, check)[0][at].view(np.int64)) for check in (False, True)]
+                yield pa.record_batch([batch.column(0).take(take), batch.column(1).take(take), pa.array((at - words.first[row]).astype(np.int32)), *keys], names=["id", "tie", "pos", "key", "check"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, tie bigint, pos int, key bigint, check bigint")
+
+
+def chained(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows (keys, id, tie, pos) that equal a neighbour in the sorted order: id, tie, pos, and the ``first`` place of their chain."""
+    order = [*keys, "id", "tie", "pos"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = durable(ordered.select(F.struct(*keys).alias("key"), F.struct("id", "tie", "pos").alias("place"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")), name)
+    # one row a range: its own ends, and those of the ranges beside it
+    ends = ordered.groupBy("part").agg(F.min_by("key", "seq").alias("low"), F.max_by("key", "seq").alias("high"))
+    side = Window.orderBy("part")
+    ends = ends.select("part", "low", F.lag("high").over(side).alias("before"), F.lead("low").over(side).alias("after"))
+    # chains that begin in an earlier range, one a range at most
+    crossing = ends.where(F.col("before") == F.col("low")).select(F.col("low").alias("key")).distinct()
+    crossing = ordered.join(F.broadcast(crossing), "key").groupBy("key").agg(F.min("place").alias("far"))
+    here = Window.partitionBy("part").orderBy("seq")
+    marked = ordered.join(F.broadcast(ends.select("part", "before", "after")), "part")
+    marked = marked.select("key", "place", "part", "seq", F.coalesce(F.lag("key").over(here), "before").eqNullSafe(F.col("key")).alias("again"), F.coalesce(F.lead("key").over(here), "after").eqNullSafe(F.col("key")).alias("on"))
+    begun = F.last(F.when(~F.col("again"), F.col("place")), ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, 0))
+    marked = marked.withColumn("begun", begun).where("again or on").join(F.broadcast(crossing), "key", "left")
+    return marked.select("place.*", F.coalesce("far", "begun").alias("first"))
 
 
 def repeated_passages(docs: DataFrame, span: int = SPAN, gap: int = GAP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of span + gap - 1 words or more that occur at an earlier place.
 
-    One row per passage: the document ``id_col``, words ``start`` to ``stop`` (exclusive), and the place it
-    repeats, ``source_<id_col>`` and ``source_start``; earlier means a lesser (id, text hash, word). Words are
-    runs of characters other than space and \\t-\\r, compared exactly. A document that holds such a passage is
-    in a row, as the later or the earlier one, if its suffix lies within NEAR places of one that shares the
-    whole passage; suffixes that share more words around the sample are sorted closer. Repeats inside a document count. Rows that repeat in id and
-    text are one document; null texts hold nothing; null ids sort first; an empty table gives no rows.
+    A window of span + gap - 1 words is linked with its first occurrence, in the order of id (null first), text
+    hash and word. One row per run of consecutive windows that are linked with consecutive windows: the document
+    ``id_col``, its words ``start`` to ``stop`` (exclusive), and the place that they repeat, ``source_<id_col>`` and
+    ``source_start``. So every window that occurs twice or more is in a row, as a later copy or as the source.
+    Words are runs of characters other than space and \\t-\\r. Repeats inside a document count. Rows that repeat
+    in id and text are one document; null texts hold nothing; an empty table gives no rows; other columns are
+    not read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text")).where("text is not null")
-    kind = rows.schema["id"].dataType.simpleString()
-    pairs = _neighbours(durable(_samples(rows, span, gap), "samples"))
-    one, two = F.struct("id", "tie", "pos"), F.struct(F.col("id2").alias("id"), F.col("tie2").alias("tie"), F.col("pos2").alias("pos"))
-    ordered = pairs.where(~one.eqNullSafe(two)).select(F.when(one < two, one).otherwise(two).alias("a"), F.when(one < two, two).otherwise(one).alias("b"))
-    # a pair of documents on one diagonal is one row, however many suffixes it shares
-    runs = ordered.groupBy(F.col("a.id").alias("a_id"), F.col("a.tie").alias("a_tie"), F.col("b.id").alias("b_id"), F.col("b.tie").alias("b_tie"), (F.col("b.pos") - F.col("a.pos")).alias("shift")).agg(F.sort_array(F.collect_set("b.pos")).alias("places"))
-    # and a pair of documents one row, whose texts then move once
-    runs = runs.groupBy("a_id", "a_tie", "b_id", "b_tie").agg(F.collect_list(F.struct("shift", "places")).alias("diagonals"))
-    runs = durable(runs, "diagonals")
-    held = runs.select(F.col("a_id").alias("id"), F.col("a_tie").alias("tie")).unionByName(runs.select(F.col("b_id").alias("id"), F.col("b_tie").alias("tie"))).distinct().toDF("id2", "tie2")
-    texts = durable(rows.join(held, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tie") == F.col("tie2")), "left_semi").dropDuplicates(["id", "tie"]), "texts")
-    left, right = texts.toDF("l_id", "l_tie", "l_text"), texts.toDF("r_id", "r_tie", "r_text")
-    both = runs.join(left, F.col("a_id").eqNullSafe(F.col("l_id")) & (F.col("a_tie") == F.col("l_tie"))).select(*runs.columns, "l_text")
-    both = both.join(right, F.col("b_id").eqNullSafe(F.col("r_id")) & (F.col("b_tie") == F.col("r_tie"))).select("a_id", "b_id", "diagonals", "l_text", "r_text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, start, stop, source = [], [], [], []
-            for r in range(batch.num_rows):
-                left_words, right_words = (batch.column(c)[r].as_py().encode().split() for c in (3, 4))
-                for diagonal in batch.column(2)[r].as_py():
-                    shift = diagonal["shift"]
-                    for a, b in match(left_words, right_words, shift, diagonal["places"], span, span + gap - 1):
-                        row.append(r)
-                        start.append(a)
-                        stop.append(b)
-                        source.append(a - shift)
-            take = pa.array(row, pa.int32())
-            yield pa.record_batch([batch.column(1).take(take), *(pa.array(x, pa.int32()) for x in (start, stop)), batch.column(0).take(take), pa.array(source, pa.int32())], names=["id", "start", "stop", "source", "source_start"])
-
-    found = both.mapInArrow(run, f"id {kind}, start int, stop int, source {kind}, source_start int")
-    return found.select(F.col("id").alias(id_col), "start", "stop", F.col("source").alias(f"source_{id_col}"), "source_start")
+    # rows that repeat in id and text give equal samples
+    suffixes = chained(durable(_samples(rows, span, gap), "samples"), ["key"], "suffixes")
+    kept = suffixes.groupBy(F.col("id").alias("id2"), F.col("tie").alias("tie2")).agg(F.collect_set("pos").alias("kept"))
+    texts = rows.join(kept, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tie") == F.col("tie2"))).select("id", "tie", "text", "kept")
+    windows = durable(_windows(texts, span, gap), "windows")
+    links = chained(windows, ["key", "check"], "passages").where(~F.struct("id", "tie", "pos").eqNullSafe(F.col("first")))
+    links = links.select("id", "tie", "pos", F.col("first.id").alias("id2"), F.col("first.tie").alias("tie2"), F.col("first.pos").alias("pos2")).distinct()
+    diagonal = ["id", "tie", "id2", "tie2", F.col("pos") - F.col("pos2")]
+    links = links.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy(*diagonal).orderBy("pos")))
+    found = links.groupBy(*diagonal[:4], diagonal[4].alias("shift"), "run").agg(F.min("pos").alias("start"), (F.max("pos") + (span + gap - 1)).alias("stop"))
+    return found.select(F.col("id").alias(id_col), "start", "stop", F.col("id2").alias(f"source_{id_col}"), (F.col("start") - F.col("shift")).alias("source_start"))
