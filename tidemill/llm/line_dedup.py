@@ -7,7 +7,8 @@ suffixes of islands are sorted.
 *Prefix doubling.* A suffix has a path of ranks: of its first line, of its first 2, 4, 8, ... lines. The next
 rank numbers the sorted distinct pairs (last rank here, path of the suffix that many lines on). Paths order
 suffixes as a suffix array does. A suffix goes on to the next round while its rank repeats and its island is
-longer than what the rank covers; the rounds end when no suffix goes on.
+longer than what the rank covers; the rounds end when no suffix goes on, or when ranks cover as many lines as
+the longest common prefix that is asked for.
 
 *Longest common prefixes.* Neighbours of the suffix array share the lines of the last rank that they have in
 common, and what the suffixes behind these lines share; those are looked up in the same way, so a length is
@@ -84,11 +85,16 @@ def _at(suffixes: DataFrame, path: str, d: str, at: str) -> DataFrame:
     return suffixes.select(F.col("d").alias(d), F.col("at").alias(at), F.col("path").alias(path))
 
 
-def suffix_paths(suffixes: DataFrame) -> DataFrame:
-    """Prefix doubling: ``suffixes`` with paths that go on until no rank repeats or the island ends."""
+def suffix_paths(suffixes: DataFrame, most: int | None = None) -> DataFrame:
+    """Prefix doubling: ``suffixes`` with paths that go on until no rank repeats or the island ends.
+
+    With ``most``, ranks that cover so many lines are the last: the order of suffixes that share more is left open.
+    """
     done, state, length = [], suffixes, 1
     while True:
         goes_on = (F.col("n") > 1) & (F.col("left") > length)
+        if most is not None and length >= most:
+            goes_on = F.lit(False)
         done.append(state.where(~goes_on).drop("n"))
         going = state.where(goes_on).drop("n")
         total = going.count()
@@ -162,8 +168,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     d = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"))
     lines = docs.where(text.isNotNull()).select(d.alias("d"), F.posexplode(_held(text)).alias("at", "x"))
     lines = durable(lines.select("d", "at", "x.line", "x.h", "x.words"), "lines")
-    suffixes = durable(suffix_paths(_islands(lines, min_words)), "paths")
-    gone = later_copies(suffix_array(suffixes, max(min_words, 1)), max(min_words, 1)).toDF("d2", "at2")
+    # least runs have at most min_words lines, so no longer common prefix is asked for
+    most = max(min_words, 1)
+    suffixes = durable(suffix_paths(_islands(lines, min_words), most), "paths")
+    gone = later_copies(suffix_array(suffixes, most), most).toDF("d2", "at2")
     here = F.col("d").eqNullSafe(F.col("d2")) & (F.col("at") == F.col("at2"))
     return suffixes.join(gone, here, "left_semi").select("d.id", "d.tie", "line")
 
