@@ -133,7 +133,6 @@ def test_op3_windows(spark, texts, edge, empty):
 
 def test_op4_sequences(spark, texts, edge, empty):
     tokenizer = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     rows = __spark_entry__.queries()["op4_packing"](spark, SF).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -153,11 +152,38 @@ def test_op4_sequences(spark, texts, edge, empty):
         assert at <= 2048
         total += at
     assert len(sequences) <= 1.01 * -(-total // 2048) + 1
-    packed = packing.pack_documents(edge, P.path("word_bpe_49k.json"))
-    assert packed.where("piece = 0").count() == len(EDGE)
+    packed = packing.pack_documents(edge, P.path("word_bpe_49k.json")).collect()
+    want = Counter()
+    for i, t in EDGE:
+        ids = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.update((i, a // 2048, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for a in range(0, len(ids), 2048))
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed) == want
     assert packing.pack_documents(empty, P.path("word_bpe_49k.json")).count() == 0
 
 
+def triplets(n, seed, capacity=2048):
+    """Sizes that fill ``n`` bins exactly, three a bin."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(780, 1000))
+        b = int(rng.integers(520, capacity - a - 515))
+        out += [a, b, capacity - a - b]
+    return np.array(out)
+
+
+def test_op4_evolution_beats_best_fit_decreasing(spark):
+    """Triplets, on which best-fit decreasing wastes bins: crossovers gain over their seeds and over it, migration over one epoch."""
+    sizes = triplets(60, 5)
+    plain: list = []
+    packing.best_fit(sizes, list(range(len(sizes))), plain, [], 2048)
+    seeds = packing.evolve(sizes, [], 7, 0, 2048)
+    grown = packing.evolve(sizes, [], 7, 60, 2048)
+    assert len(grown) < len(seeds) < len(plain) and sorted(i for b in grown for i in b) == list(range(len(sizes)))
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "id int, length long")
+    used = {e: packing.pack(pieces, islands=3, epochs=e, generations=20).select("sequence_id").distinct().count() for e in (1, 3)}
+    assert used[3] <= used[1] < len(plain)
+
+
 def test_op4_crossover_keeps_every_item():
     sizes = np.random.default_rng(3).integers(1, 900, 300)
     best = packing.evolve(sizes, [], 1, 6, 2048)
@@ -176,10 +202,21 @@ def test_op5_counts(spark, texts, edge, empty):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
         assert r["base_failed"] == (len(words) < 10 or 100 * len(covered) > 20 * len(words))
         assert not (r["kept"] and r["base_failed"])
-    assert quality_rules.quality_rules(edge).count() == len(EDGE)
+    found = {(r["doc_id"], r["n_words"]): r for r in quality_rules.quality_rules(edge).collect()}
+    assert {(k, r["base_failed"]) for k, r in found.items()} == {((i, len(SPACED.findall(t or ""))), i != 6) for i, t in EDGE}
+    assert not any(r["kept"] for (i, _), r in found.items() if i != 6) and found[7, 4]["n_dup_lines"] == 2
     assert quality_rules.quality_rules(empty).count() == 0
 
 
+def test_op5_common_words(spark):
+    """Histograms of common words, in one count pass."""
+    text = "The the und der La of, of tHe als Für für nicht " * 7
+    row = quality_rules.document_counts(spark.createDataFrame([(1, text, "en"), (2, None, None)], "doc_id long, text string, lang string")).orderBy("id").collect()
+    seen = Counter(w.lower() for w in text.split())
+    assert row[0]["common"] == [*(seen[v] for v in quality_rules.VOCABULARY), sum(n for w, n in seen.items() if w not in quality_rules.VOCABULARY)]
+    assert row[1]["common"] == [0] * (len(quality_rules.VOCABULARY) + 1) and all(len(w) >= 20 for w in quality_rules.COMMON_WORDS.values())
+
+
 def test_op5_distance(spark):
     ref = [0.5, 0.3, 0.2]
     p = np.array([0.1, 0.0, 0.9])
@@ -191,7 +228,6 @@ def test_op5_distance(spark):
 
 def test_op6_round_trip(spark, texts, edge, empty, tmp_path):
     tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     got, at = query(spark, "op6_token_files"), 0
     for d in sorted(texts):
         ids = np.array([*tokenizer.encode(texts[d], add_special_tokens=False).ids, 0], "<u4")
@@ -199,8 +235,12 @@ def test_op6_round_trip(spark, texts, edge, empty, tmp_path):
         at += len(ids)
     path = f"file://{tmp_path}/edge"
     token_files.write_token_files(edge, P.path("byte_bpe_50k.json"), path)
-    back = token_files.read_token_files(spark, path)
-    assert back.count() == len(EDGE)
+    back = token_files.read_token_files(spark, path).collect()
+    want = [(i, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for i, t in EDGE]
+    assert Counter((r["doc"], bytes(r["ids"])) for r in back) == Counter(want)
+    starts = sorted((r["start"], r["n_tokens"], r["doc"] is not None, r["doc"] or 0) for r in back)
+    assert [a for a, *_ in starts] == [sum(n for _, n, *_ in starts[:k]) for k in range(len(starts))] and [x[2:] for x in starts] == sorted(x[2:] for x in starts)
+    assert {r["kind"] for r in spark.read.parquet(f"{path}/dictionary").collect()} == {"raw"}
     assert {r["doc"] for r in token_files.read_token_files(spark, path, first=5, last=6).collect()} == {5, 6}
     token_files.write_token_files(empty, P.path("byte_bpe_50k.json"), f"{path}0")
     assert token_files.read_token_files(spark, f"{path}0").count() == 0
@@ -213,7 +253,7 @@ def test_encoder_is_the_library(name, space, texts):
     import pyarrow as pa
 
     rng = random.Random(5)
-    odd = [" ", "  ", "\n", "\n\n", "\t", "a", "B", "é", "É", "ß", "İ", "Σ", "1", "12", "'s", "don't", "...", "\x1c", "\x85", "\xa0", " ", "😀", "é", "\r\n", "中", "<|endoftext|>", "×", "_", "\x00", "word", "."]
+    odd = [" ", "  ", "\n", "\n\n", "\t", "a", "B", "é", "É", "ß", "İ", "Σ", "1", "12", "'s", "don't", "...", "\x1c", "\x85", "\xa0", " ", "😀", "é", "\r\n", "中", "<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", "<|", "×", "_", "\x00", "word", "."]
     rows = [*texts.values(), None, *("".join(rng.choice(odd) for _ in range(rng.randint(0, 14))) for _ in range(3000))]
     e = Encoder(P.path(name), space)
     want = [x.ids for x in e.tokenizer.encode_batch([t or "" for t in rows], add_special_tokens=False)]

@@ -2,8 +2,9 @@
 
 Documents are tokenized where they lie; only piece lengths and checksums move on. Pieces are dealt into
 blocks of about ``BLOCK`` pieces by a hash, so no key decides a task's size. Every block is solved by
-``islands`` small populations: a crossover injects whole well-filled bins of one parent into another, removes
-the documents that then occur twice, and places displaced documents by best fit. Between epochs each island
+``islands`` populations, which start from best fit in random order: a crossover injects whole well-filled bins
+of one parent into another, removes the documents that then occur twice, and places displaced documents by
+best fit. Between epochs each island
 sends its elite to the next island of its block, as rows through a shuffle. Bins that the blocks leave
 poorly filled are opened, and their pieces dealt into fewer blocks and packed once more.
 """
@@ -26,9 +27,9 @@ CAPACITY = 2048
 END_ID = 0
 BLOCK = 3000
 ISLANDS = 2
-EPOCHS = 2
-GENERATIONS = 4
-POPULATION = 3
+EPOCHS = 3
+GENERATIONS = 8
+POPULATION = 6
 #: Bins filled to this share stay closed when the rest is packed once more.
 FULL = 0.995
 
@@ -59,10 +60,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
     return rows.mapInArrow(cut, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_fit(sizes: np.ndarray, items: list[int], bins: list[list[int]], room: list[int], capacity: int) -> None:
-    """Place ``items`` (largest first) each into the fullest bin that takes it, opening bins as needed."""
+def best_fit(sizes: np.ndarray, items: list[int], bins: list[list[int]], room: list[int], capacity: int, decreasing: bool = True) -> None:
+    """Place ``items`` (largest first, or as they come) each into the fullest bin that takes it, opening bins as needed."""
     free = sorted((r, b) for b, r in enumerate(room) if r)
-    for i in sorted(items, key=lambda i: (-sizes[i], i)):
+    for i in sorted(items, key=lambda i: (-sizes[i], i)) if decreasing else items:
         size = int(sizes[i])
         at = bisect_left(free, (size, -1))
         if at == len(free):
@@ -87,14 +88,14 @@ def fitness(room: list[int]) -> tuple[int, float]:
 
 
 def crossover(sizes: np.ndarray, giver: list[list[int]], taker: list[list[int]], rng: np.random.Generator, capacity: int) -> list[list[int]]:
-    """Inject a random half of the giver's best-filled bins into the taker."""
-    order = sorted(range(len(giver)), key=lambda b: -sizes[giver[b]].sum())
+    """Inject a random half of the giver's best-filled bins into the taker, and best-fit what they displace."""
+    order = np.argsort(_room(sizes, giver, capacity), kind="stable")
     best = order[: max(1, len(order) // 2)]
-    chosen = [giver[b] for b in best if rng.random() < 0.5] or [giver[best[0]]]
+    chosen = best[rng.random(len(best)) < 0.5].tolist() or [int(best[0])]
     placed = np.zeros(len(sizes), bool)
     for b in chosen:
-        placed[b] = True
-    child, displaced = [list(b) for b in chosen], []
+        placed[giver[b]] = True
+    child, displaced = [list(giver[b]) for b in chosen], []
     for b in taker:
         held = placed[b]
         if not held.any():
@@ -106,45 +107,43 @@ def crossover(sizes: np.ndarray, giver: list[list[int]], taker: list[list[int]],
 
 
 def mutated(sizes: np.ndarray, bins: list[list[int]], rng: np.random.Generator, capacity: int) -> list[list[int]]:
-    """Empty the worst-filled bins and a few others, and best-fit their documents."""
+    """Empty up to half of the bins, the worst-filled ones and a few others, and best-fit their documents."""
     room = _room(sizes, bins, capacity)
-    order = np.argsort(room)[::-1]
-    gone = set(order[: max(1, len(bins) // 50)].tolist()) | set(rng.choice(len(bins), max(1, len(bins) // 50)).tolist())
+    gone = set(np.argsort(room, kind="stable")[::-1][: max(1, int(len(bins) * rng.random() / 2))].tolist())
+    gone |= set(rng.choice(len(bins), max(1, len(bins) // 50)).tolist())
     kept = [list(b) for i, b in enumerate(bins) if i not in gone]
-    best_fit(sizes, [i for g in gone for i in bins[g]], kept, _room(sizes, kept, capacity), capacity)
+    best_fit(sizes, [i for g in sorted(gone) for i in bins[g]], kept, _room(sizes, kept, capacity), capacity)
     return kept
 
 
-def _seeded(sizes: np.ndarray, rng: np.random.Generator, sort: bool, capacity: int) -> list[list[int]]:
+def seed(sizes: np.ndarray, rng: np.random.Generator, capacity: int) -> list[list[int]]:
+    """A packing to start from: best fit in a random order."""
     bins: list[list[int]] = []
-    if sort:
-        best_fit(sizes, list(range(len(sizes))), bins, [], capacity)
-        return bins
-    order = rng.permutation(len(sizes)).tolist()
-    cut = len(order) // 20
-    room: list[int] = []
-    best_fit(sizes, order[cut:], bins, room, capacity)
-    best_fit(sizes, order[:cut], bins, room, capacity)
+    best_fit(sizes, rng.permutation(len(sizes)).tolist(), bins, [], capacity, decreasing=False)
     return bins
 
 
-def evolve(sizes: np.ndarray, elite: list[list[list[int]]], seed: int, generations: int, capacity: int, population: int = POPULATION) -> list[list[int]]:
-    """The best packing of an island after some generations, from ``elite`` packings or from seeds."""
-    rng = np.random.default_rng(seed)
+def evolve(sizes: np.ndarray, elite: list[list[list[int]]], number: int, generations: int, capacity: int, population: int = POPULATION) -> list[list[int]]:
+    """The best packing of an island after some generations, from ``elite`` packings and seeds.
+
+    It ends early only with as few bins as the total of the sizes needs. Parents are the better of two.
+    """
+    rng = np.random.default_rng(number)
     least = -(-int(sizes.sum()) // capacity)
-    people = list(elite) or [_seeded(sizes, rng, True, capacity)]
-    while len(people) < population:
-        people.append(mutated(sizes, people[0], rng, capacity) if elite else _seeded(sizes, rng, False, capacity))
-    people.sort(key=lambda p: fitness(_room(sizes, p, capacity)), reverse=True)
+    people = [list(p) for p in elite] + [seed(sizes, rng, capacity) for _ in range(population - len(elite))]
+    people = sorted(((fitness(_room(sizes, p, capacity)), i, p) for i, p in enumerate(people)), reverse=True)[:population]
+    born = len(people)
     for _ in range(generations):
-        if len(people[0]) <= least:
+        if len(people[0][2]) <= least:
             break
-        giver, taker = rng.permutation(len(people))[:2]
-        child = mutated(sizes, crossover(sizes, people[giver], people[taker], rng, capacity), rng, capacity)
-        people.append(child)
-        people.sort(key=lambda p: fitness(_room(sizes, p, capacity)), reverse=True)
-        people.pop()
-    return people[0]
+        giver, taker = (min(rng.integers(0, len(people), 2).tolist()) for _ in range(2))
+        child = mutated(sizes, crossover(sizes, people[giver][2], people[taker][2], rng, capacity), rng, capacity)
+        score = fitness(_room(sizes, child, capacity))
+        if score > people[-1][0] and all(score != p[0] for p in people):
+            born += 1
+            people[-1] = (score, born, child)
+            people.sort(reverse=True)
+    return people[0][2]
 
 
 def _numbered(bins: list[list[int]], n: int) -> np.ndarray:
@@ -198,8 +197,8 @@ def _pack(pieces: DataFrame, blocks: int, capacity: int, salt: str, islands: int
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to ``pieces`` (a column ``length`` of 1..capacity; others are kept).
 
-    Sequences hold at most ``capacity``; inside one, pieces lie without gaps from offset 0. Rows that repeat
-    are packed each. An empty table stays empty.
+    Sequences hold at most ``capacity``; inside one, pieces lie without gaps from offset 0, longest first. Rows
+    that repeat are packed each, null ids like any other. An empty table stays empty.
     """
     columns = pieces.columns
     whole = pieces.where(F.col("length") == capacity).select(*columns, F.lit("w").alias("round"), F.monotonically_increasing_id().alias("block"), F.lit(0).cast("long").alias("bin"))
@@ -221,5 +220,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces of all documents with ``sequence_id`` and ``offset``."""
+    """Pieces of all documents with ``sequence_id`` and ``offset``; a null or empty text is one piece that holds the end id."""
     return pack(durable(token_pieces(docs, tokenizer, capacity, id_col, text_col), "pieces"), capacity).withColumnRenamed("id", id_col)

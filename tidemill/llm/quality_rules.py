@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-#: Common words of the languages that references are built for.
+#: The twenty words used most in each language that a reference is built for.
 COMMON_WORDS = {
-    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "des"),
-    "en": ("the", "of", "and", "to", "a", "in", "is", "that", "it", "for"),
-    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del"),
-    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "que"),
+    "de": ("der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "für", "ist", "im", "dem", "nicht", "ein", "eine", "als"),
+    "en": ("the", "of", "and", "to", "a", "in", "is", "that", "it", "was", "for", "on", "are", "as", "with", "be", "by", "this", "from", "or"),
+    "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al"),
+    "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au"),
 }
 VOCABULARY = tuple(sorted({w for words in COMMON_WORDS.values() for w in words}))
 #: Character classes: what remains of a text when all else is removed. Other ASCII letters and controls follow by subtraction.
@@ -35,7 +35,7 @@ class Limits:
 
     chars: float = 0.28
     least_chars: int = 200
-    words: float = 0.275
+    words: float = 0.32
     least_judged_words: int = 50
     least_words: int = 10
     repeat_percent: int = 20
@@ -77,6 +77,10 @@ def _counted(rows: DataFrame) -> DataFrame:
         lambda s, i: F.struct((s["n"] + F.least(F.lit(WINDOW), i - s["last"])).alias("n"), i.alias("last")),
         lambda s: s["n"],
     )
+    # known words and one of each sort into runs; how long a run is follows from where the next one begins
+    counts = counts.select("*", F.sort_array(F.concat("known", F.array(*map(F.lit, VOCABULARY)))).alias("runs"))
+    counts = counts.select("*", F.array(*[F.array_position("runs", v) for v in VOCABULARY], F.size("runs").cast("long") + 1).alias("at"))
+    common = [F.get("at", F.lit(i + 1)) - F.get("at", F.lit(i)) - 1 for i in range(len(VOCABULARY))]
     other = F.col("n") - sum((F.col(c) for c in CLASSES), F.lit(0))
     return counts.select(
         *keep,
@@ -86,14 +90,10 @@ def _counted(rows: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
         F.array(*CLASSES, other).alias("chars"),
-        F.array(*[_size_of("known", v) for v in VOCABULARY], F.col("n_words") - F.size("known")).alias("common"),
+        F.array(*common, F.col("n_words") - F.size("known")).alias("common"),
     )
 
 
-def _size_of(column: str, value: str) -> Column:
-    return F.size(F.filter(column, lambda w: w == value)).cast("long")
-
-
 def references(counts: DataFrame) -> list[tuple[list[float], list[float]]]:
     """Character-class and common-word histograms of each language with words of its own, over all its rows."""
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 1)]
@@ -145,8 +145,10 @@ def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc
     """One row per row of ``docs``: id, counts, distances, ``base_failed`` and ``kept``.
 
     Words are runs of characters other than space and \\t-\\r; null texts have none and fail for having too
-    few. A null or unknown language is no obstacle, as every document is compared with all references; with
-    no reference at all (e.g. an empty table) only the base rules count. Rows that repeat are each answered.
+    few. Every document is compared with all references, whatever its language column says, and the nearest
+    counts; so a null language is no obstacle, and a text in a language without a reference is judged by the
+    reference that is nearest to it: give its words in COMMON_WORDS, or it may be rejected. With no reference at
+    all (e.g. an empty table) only the base rules count. Rows that repeat are each answered; other columns are not read.
     """
     counts = durable(document_counts(docs, id_col, text_col, lang_col), "quality")
     return judge(counts, limits).withColumnRenamed("id", id_col)

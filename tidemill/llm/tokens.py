@@ -134,7 +134,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True
+        #: Added tokens (e.g. an end mark) stand for one id wherever a text spells them; such texts are encoded whole.
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.kept = white_space == "kept"
         #: Vocabularies that lower-case texts see fewer distinct pieces if that is done first.
         self.fold = _ASCII_LOWER if "Lowercase" in str(self.tokenizer.normalizer) else None
@@ -199,9 +200,19 @@ class Encoder:
         bounds = np.concatenate([[0], stop])[cuts]
         return np.split(ids, bounds[1:-1])
 
+    def _may_spell_added(self, texts: Texts) -> np.ndarray:
+        """Which texts hold the first two bytes of an added token."""
+        found = np.zeros(texts.n, bool)
+        data = _ASCII_LOWER[texts.bytes]
+        for a, b in {tuple(t.encode()[:2].ljust(2)) for t in self.added}:
+            at = np.flatnonzero((data[:-1] == a) & (data[1:] == b)) if len(data) > 1 else np.empty(0, np.int64)
+            found[np.searchsorted(texts.starts, at, "right") - 1] = True
+        return found
+
     def _other(self, text: str) -> np.ndarray:
         """Ids of a text that is not plain: white-space pieces, or the text as a whole."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and _ODD.search(text):
+        low = text.lower()
+        if any(t in low for t in self.added) or any(c in text for c in "\x1c\x1d\x1e\x1f") or not text.isascii() and _ODD.search(text):
             return np.array(self._ids([text])[0], np.uint32)
         pieces = _SPACED.findall(text) if self.kept else text.split()
         return np.array([i for ids in self._ids(pieces) for i in ids], np.uint32)
@@ -213,7 +224,7 @@ class Encoder:
         out: list[np.ndarray] = []
         column = column.fill_null("")
         for texts in text_chunks(column):
-            plain = plain_rows(texts)
+            plain = plain_rows(texts) & ~self._may_spell_added(texts)
             found: list[np.ndarray] = [np.empty(0, np.uint32)] * texts.n
             if plain.any():
                 rows = np.flatnonzero(plain)
