@@ -121,6 +121,88 @@ def test_no_model_sees_past_its_cutoff(spark):
         assert a == b and len(a) == 48
 
 
+@pytest.mark.parametrize("horizon", [24, 72])
+def test_direct_model_sees_nothing_past_its_cutoff(spark, horizon):
+    df = wave(spark)
+    last = df.agg(F.max("ds")).first()[0]
+    first = F.lit(last - dt.timedelta(hours=horizon)).cast("timestamp_ntz")
+    other = df.withColumn("y", F.when(F.col("ds") > first, F.col("y") * 3 + 7).otherwise(F.col("y")))
+    a, b = ([(r["unique_id"], r["ds"], round(r["yhat"], 6)) for r in H.direct_multihorizon(d, first, 1, horizon).orderBy("unique_id", "ds").collect()] for d in (df, other))
+    assert a == b and len(a) == 2 * horizon
+
+
+def test_contexts_keep_their_series_and_their_hours(spark):
+    """Each series has its own cutoffs; a null or a missing hour leaves a context out."""
+    df = panel(spark, ("a", [(h, float(h)) for h in range(48)]), ("b", [(h, float(h)) for h in range(72)]), ("c", [(h, None if h == 40 else 1.0) for h in range(48)]), ("d", [(h, 1.0) for h in range(48) if h != 41]))
+    at = lambda h: T0 + dt.timedelta(hours=h)
+    cutoffs = spark.createDataFrame([("a", at(47)), ("b", at(71)), ("b", at(60)), ("c", at(47)), ("c", at(39)), ("d", at(47)), ("a", at(60))], "unique_id string, cutoff timestamp_ntz")
+    got = {(r["unique_id"], r["cutoff"]): r["context"] for r in H.contexts(df, cutoffs, 24).collect()}
+    assert set(got) == {("a", at(47)), ("b", at(71)), ("b", at(60)), ("c", at(39))}
+    assert got["b", at(60)] == [float(h) for h in range(37, 61)] and len(H.contexts(df, cutoffs, 100).where("unique_id = 'a'").first()["context"]) == 48
+
+
+def test_orders_are_compared_on_the_same_rows(spark):
+    df = wave(spark)
+    plan = T.cv_plan(df, 24, n_windows=1, test_hours=24)
+    rows = H.order_search(df, plan, [[1], [1, 24], [1, 24, 25, 168]], 400).collect()
+    assert len({(r["unique_id"], r["n"]) for r in rows}) == 2 and sorted(r["rank"] for r in rows) == [1, 1, 2, 2, 3, 3]
+    by = {r["lags"]: r["sse"] for r in rows if r["unique_id"] == "a"}
+    assert by["1"] >= by["1,24"] >= by["1,24,25,168"] - 1e-6
+
+
+def test_bands_and_shared_fits(spark):
+    """Bands hold the forecast and widen; windows of one fit group share the first window's coefficients."""
+    df = wave(spark).withColumn("x", F.hour("ds") / 24.0)
+    plan = T.cv_plan(df, 24, n_windows=4, test_hours=96, max_fits=1)
+    rows = H.dynamic_regression(df, plan, 24, exog=["x"], z=1.96).collect()
+    assert len(rows) == 2 * 4 * 24 and all(r["yhat_lo"] <= r["yhat"] <= r["yhat_hi"] for r in rows)
+    width = {(r["unique_id"], r["step"]): round(r["yhat_hi"] - r["yhat_lo"], 9) for r in rows}
+    assert all(round(r["yhat_hi"] - r["yhat_lo"], 9) == width[r["unique_id"], r["step"]] for r in rows)
+    assert all(width[i, h] <= width[i, h + 1] + 1e-9 for i in "ab" for h in range(1, 24))
+
+
+def test_smoothing_forward_keeps_parameters(spark):
+    df = wave(spark)
+    plan = T.cv_plan(df, 24, n_windows=3, test_hours=72)
+    one = H.contexts(df, plan.where("window = 0"), 200)
+    fit = H.ets_fit(one)
+    same = {r["unique_id"]: r for r in H.ets_forward(one, fit).collect()}
+    for r in fit.collect():
+        assert abs(same[r["unique_id"]]["level"] - r["level"]) < 1e-9 and abs(same[r["unique_id"]]["levels"][-1] - r["level"]) < 1e-9
+        assert len(same[r["unique_id"]]["levels"]) == 200
+    assert H.ets_forward(H.contexts(df, plan, 200), fit).count() == 6
+
+
+def test_mstl_on_a_scale_comes_back(spark):
+    df = wave(spark)
+    plan = T.cv_plan(df, 24, n_windows=1, test_hours=24)
+    days = df.groupBy("unique_id", F.date_trunc("day", "ds").cast("timestamp_ntz").alias("ds")).agg(F.lit(0.25).alias("seasonal"))
+    year = days.unionByName(days.withColumn("ds", F.add_months("ds", -12).cast("timestamp_ntz"))).distinct()
+    truth = H.with_truth(H.mstl_on_scale(df, plan, 24, "arcsinh10", season=year, length=360), df)
+    assert truth.count() == 48 and M.evaluate_cv(truth, metrics=["mae"]).agg(F.max("value")).first()[0] < 2.0
+
+
+def test_nothing_is_dropped_in_silence(spark):
+    df = panel(spark, ("a", [(0, 1.0), (1, 2.0)]), ("b", [(0, 1.0), (2, 2.0)]))
+    lam = spark.createDataFrame([("a", 0.5)], "unique_id string, lambda double")
+    with pytest.raises(Exception, match="no lambda for series b"):
+        D.transform_target(df, "boxcox", lam).collect()
+    with pytest.raises(Exception, match="no statistics for series b"):
+        D.apply_scaler(df, D.fit_scaler(df.where("unique_id = 'a'"), ["y"]), ["y"]).collect()
+    off = df.unionByName(spark.createDataFrame([("a", T0 + dt.timedelta(minutes=30), 3.0)], SCHEMA))
+    with pytest.raises(Exception, match="off the grid"):
+        B.fill_gaps(off).collect()
+    assert B.fill_gaps(df).count() == 5
+
+
+def test_threshold_errors(spark):
+    rows = [("a", T0, T0, y, "m", f) for y, f in ((1.0, 9.0), (5.0, 7.0), (6.0, 3.0), (7.0, 7.0))]
+    cv = spark.createDataFrame(rows, "unique_id string, cutoff timestamp_ntz, ds timestamp_ntz, y double, model string, yhat double")
+    for th, want in ((4.0, (2.0, 3.0, 5 / 3)), (99.0, (0.0, 0.0, 0.0))):
+        r = M.threshold_errors(cv, spark.createDataFrame([("a", th)], "unique_id string, y_th double")).first()
+        assert np.allclose((r["over"], r["under"], r["mae"]), want)
+
+
 def test_models_beat_the_mean(spark):
     df = wave(spark)
     plan = T.cv_plan(df, 24, n_windows=2, test_hours=48)

@@ -78,7 +78,7 @@ def training_slices(df: DataFrame, plan: DataFrame, input_size: int | None = Non
     fits = plan.where(F.col("window") % F.col("refit") == 0).select(ID, "fit_group", "cutoff", "start_train")
     begin = F.col("start_train") if input_size is None else F.col("cutoff") - hours(input_size - 1)
     fits = fits.select(ID, "fit_group", F.col("cutoff").alias("fit_cutoff"), begin.alias("fit_start")).where(begin >= F.col("start_train"))
-    joined = df.join(F.broadcast(fits), ID).where(F.col(DS).between(F.col("fit_start"), F.col("fit_cutoff")))
+    joined = df.join(fits, ID).where(F.col(DS).between(F.col("fit_start"), F.col("fit_cutoff")))
     part = F.when(F.col(DS) > F.col("fit_cutoff") - hours(val_size), "val").otherwise("train")
     return joined.withColumn("part", part).drop("fit_start")
 
@@ -234,7 +234,7 @@ def subsample_cutoffs(cv: DataFrame, every: int = 7) -> DataFrame:
 def context_window(df: DataFrame, cv: DataFrame, before: int, after: int) -> DataFrame:
     """Truth around the forecasts of each series, with the forecasts beside it (null outside the horizons)."""
     span = cv.groupBy(ID).agg((F.min(DS) - hours(before)).alias("__a"), (F.max(DS) + hours(after)).alias("__b"))
-    truth = df.join(F.broadcast(span), ID).where(F.col(DS).between(F.col("__a"), F.col("__b"))).select(ID, DS, "y")
+    truth = df.join(span, ID).where(F.col(DS).between(F.col("__a"), F.col("__b"))).select(ID, DS, "y")
     return truth.join(cv.select(ID, DS, "cutoff", "model", "yhat"), [ID, DS], "left")
 
 

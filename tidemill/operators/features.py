@@ -108,7 +108,7 @@ def peak_split(df: DataFrame, cols: Sequence[str], peak_hours: Mapping[str, Sequ
     spark = df.sparkSession
     rows = [(i, h) for i, hs in peak_hours.items() for h in sorted(set(hs))]
     table = spark.createDataFrame(rows, f"{ID} string, peak_hour int")
-    joined = df.withColumn("peak_hour", F.hour(DS)).join(F.broadcast(table.withColumn("listed", F.lit(True))), [ID, "peak_hour"], "left").drop("peak_hour")
+    joined = df.withColumn("peak_hour", F.hour(DS)).join(table.withColumn("listed", F.lit(True)), [ID, "peak_hour"], "left").drop("peak_hour")
     flagged = joined.withColumn("is_peak", F.coalesce("listed", F.lit(False)) & (F.weekday(DS) < 5)).drop("listed")
     return regime_split(flagged, cols, "is_peak", ("peak", "offpeak"))
 

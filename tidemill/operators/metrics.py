@@ -84,10 +84,23 @@ def evaluate(forecast: DataFrame, target: DataFrame, metrics: Sequence[str] = ("
     truth = forecast.select(ID, "cutoff", DS, "y").distinct()
     naive = seasonal_naive(target, truth, season, name).select(*forecast.columns)
     both = forecast.where(F.col("model") != name).unionByName(naive)
-    past = target.join(F.broadcast(forecast.groupBy(ID).agg(F.min("cutoff").alias("__c"))), ID).where(F.col(DS) <= F.col("__c")).drop("__c")
+    past = target.join(forecast.groupBy(ID).agg(F.min("cutoff").alias("__c")), ID).where(F.col(DS) <= F.col("__c")).drop("__c")
     return evaluate_cv(both, past if insample is None else tail_per_series(past, insample), metrics, season=season)
 
 
+def threshold_errors(cv: DataFrame, thresholds: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Mean over-forecast, mean under-forecast and mean absolute error where y exceeds its series' threshold.
+
+    ``thresholds`` (unique_id, y_th) is one row a series. One row per (unique_id, model); 0.0 where no row counts,
+    also for a series without a threshold.
+    """
+    e = F.col("yhat") - F.col("y")
+    high = F.col("y") > F.col("y_th")
+    mean = lambda where, x: F.coalesce(F.avg(F.when(where, x)), F.lit(0.0))
+    rows = cv.join(thresholds.select(ID, "y_th"), ID, "left")
+    return rows.groupBy(ID, *extra, "model").agg(mean(high & (e > 0), e).alias("over"), mean(high & (e < 0), -e).alias("under"), mean(high, F.abs(e)).alias("mae"))
+
+
 def pct_increase(scores: DataFrame, baseline: str = "Naive24h") -> DataFrame:
     """``<metric>_pct_inc``: change against the baseline in percent, 0 for the baseline; none for ``me``."""
     keys = [c for c in scores.columns if c not in ("model", "value")]

@@ -5,83 +5,151 @@ None is a clone of a library's maximum-likelihood fit: see the notes at each fun
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .backtest import hours_between
-from .decompose import mstl
+from .decompose import add_annual, mstl, remove_annual
 from .panel import DS, ID, hours, series_window
+from .transforms import transform_target
 
 #: Smoothing candidates: level, trend and damping; no trend where beta is null.
 ALPHAS, BETAS, PHIS = (0.1, 0.3, 0.5, 0.8), (None, 0.05, 0.2), (1.0, 0.9)
 
 
+def relative(df: DataFrame, cutoffs: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows of ``df`` from ``first`` to ``last`` hours after each cutoff of their series: adds ``cutoff`` and ``step``.
+
+    Cutoffs are spread over their hours and met by series and hour, so the join makes windows x hours rows, as
+    many as are asked for, and never meets each row of a series with each of its windows.
+    """
+    spread = cutoffs.select(ID, "cutoff").distinct().withColumn("step", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    return df.join(spread.withColumn(DS, F.col("cutoff") + hours(F.col("step"))), [ID, DS])
+
+
 def contexts(df: DataFrame, cutoffs: DataFrame, length: int, col: str = "y") -> DataFrame:
-    """The last ``length`` values up to each cutoff as one array ``context`` per (unique_id, cutoff)."""
-    w = series_window().rowsBetween(-(length - 1), 0)
-    arrays = df.select(ID, F.col(DS).alias("cutoff"), F.collect_list(col).over(w).alias("context"))
-    return arrays.join(F.broadcast(cutoffs.select("cutoff").distinct()), "cutoff", "left_semi")
+    """The last ``length`` values up to each cutoff as one array ``context`` per (unique_id, cutoff) of ``cutoffs``.
 
+    A context may be shorter where its series begins later. One with a null, with a missing hour or without a
+    value at its cutoff is left out, as its lags and seasons would be shifted.
+    """
+    rows = relative(df.select(ID, DS, F.col(col).cast("double").alias("v")), cutoffs, 1 - length, 0)
+    found = rows.groupBy(ID, "cutoff").agg(F.sort_array(F.collect_list(F.struct("step", "v"))).alias("s"), F.min("step").alias("low"), F.count("v").alias("n"))
+    whole = (F.col("n") == F.size("s")) & (F.col("n") == 1 - F.col("low"))
+    return found.where(whole).select(ID, "cutoff", F.transform("s", lambda x: x["v"]).alias("context"))
 
-def ets_trend(context: DataFrame, horizon: int, name: str = "ETS") -> DataFrame:
+
+def _smoothing(params: dict[str, Column]) -> Column:
+    """The state (level ``l``, trend ``b``, sum of squared errors ``sse``) after the column ``context``."""
+    start = F.struct(F.get("context", F.lit(0)).cast("double").alias("l"), F.when(params["beta"].isNotNull(), F.get("context", F.lit(1)) - F.get("context", F.lit(0))).otherwise(0.0).cast("double").alias("b"), F.lit(0.0).alias("sse"))
+
+    def step(s, y):
+        guess = s["l"] + params["phi"] * s["b"]
+        e = y - guess
+        level = guess + params["alpha"] * e
+        trend = params["phi"] * s["b"] + params["alpha"] * F.coalesce(params["beta"], F.lit(0.0)) * e
+        return F.struct(level.alias("l"), trend.alias("b"), (s["sse"] + e * e).alias("sse"))
+
+    return F.aggregate(F.slice("context", 2, F.size("context") - 1), start, step)
+
+
+def ets_fit(context: DataFrame) -> DataFrame:
     """Exponential smoothing without season: simple, linear and damped candidates on a small grid, best AICc.
 
     The recursion is the SQL function ``aggregate`` over the context array; every candidate of every series is a
-    row, and the one with the least AICc forecasts: unique_id, cutoff, step, yhat.
+    row: unique_id, cutoff, alpha, beta (null without trend), phi, level, trend, aicc.
     """
     spark = context.sparkSession
     grid = [(a, b, p) for a in ALPHAS for b in BETAS for p in PHIS if b is not None or p == 1.0]
     candidates = spark.createDataFrame(grid, "alpha double, beta double, phi double")
     rows = context.where(F.size("context") >= 4).crossJoin(F.broadcast(candidates))  # a dozen candidates
-    start = F.struct(F.get("context", F.lit(0)).cast("double").alias("l"), F.when(F.col("beta").isNotNull(), F.get("context", F.lit(1)) - F.get("context", F.lit(0))).otherwise(0.0).cast("double").alias("b"), F.lit(0.0).alias("sse"))
+    fitted = rows.withColumn("s", _smoothing({c: F.col(c) for c in candidates.columns}))
+    n = (F.size("context") - 1).cast("double")
+    k = F.when(F.col("beta").isNull(), 3.0).when(F.col("phi") == 1.0, 5.0).otherwise(6.0)
+    aicc = n * F.ln(F.greatest(F.col("s.sse"), F.lit(1e-12)) / n) + 2 * k + 2 * k * (k + 1) / F.greatest(n - k - 1, F.lit(1.0))
+    best = fitted.withColumn("aicc", aicc).groupBy(ID, "cutoff").agg(F.min_by(F.struct("alpha", "beta", "phi", F.col("s.l").alias("level"), F.col("s.b").alias("trend"), "aicc"), F.struct("aicc", "alpha", "beta", "phi")).alias("m"))
+    return best.select(ID, "cutoff", "m.*")
 
-    def step(s, y):
+
+def ets_forward(context: DataFrame, fit: DataFrame) -> DataFrame:
+    """States after other contexts under fixed parameters: ``fit`` has one row a series, with alpha, beta and phi.
+
+    Returns what ``ets_fit`` returns, without refitting, and ``levels``, the level after each value of the context.
+    """
+    params = fit.select(ID, "alpha", "beta", "phi")
+    rows = context.where(F.size("context") >= 4).join(params, ID)
+    named = {c: F.col(c) for c in ("alpha", "beta", "phi")}
+    upto = F.transform(F.sequence(F.lit(2), F.size("context")), lambda n: n)
+    rows = rows.withColumn("s", _smoothing(named))
+    # levels follow from the recursion once more, which keeps its path
+    first = F.struct(F.get("context", F.lit(0)).cast("double").alias("l"), F.when(F.col("beta").isNotNull(), F.get("context", F.lit(1)) - F.get("context", F.lit(0))).otherwise(0.0).cast("double").alias("b"), F.array(F.get("context", F.lit(0)).cast("double")).alias("path"))
+
+    def step(s, i):
         guess = s["l"] + F.col("phi") * s["b"]
-        e = y - guess
+        e = F.get("context", i - 1) - guess
         level = guess + F.col("alpha") * e
-        trend = F.col("phi") * s["b"] + F.col("alpha") * F.coalesce("beta", F.lit(0.0)) * e
-        return F.struct(level.alias("l"), trend.alias("b"), (s["sse"] + e * e).alias("sse"))
+        return F.struct(level.alias("l"), (F.col("phi") * s["b"] + F.col("alpha") * F.coalesce("beta", F.lit(0.0)) * e).alias("b"), F.array_append(s["path"], level).alias("path"))
 
-    state = F.aggregate(F.slice("context", 2, F.size("context") - 1), start, step)
-    fitted = rows.withColumn("s", state)
-    n = (F.size("context") - 1).cast("double")
-    k = F.when(F.col("beta").isNull(), 3.0).when(F.col("phi") == 1.0, 5.0).otherwise(6.0)
-    aicc = n * F.ln(F.greatest(F.col("s.sse"), F.lit(1e-12)) / n) + 2 * k + 2 * k * (k + 1) / F.greatest(n - k - 1, F.lit(1.0))
-    best = fitted.withColumn("aicc", aicc).groupBy(ID, "cutoff").agg(F.min_by(F.struct("s.l", "s.b", "phi"), F.struct("aicc", "alpha", "beta", "phi")).alias("m"))
+    levels = F.aggregate(upto, first, step, lambda s: s["path"])
+    return rows.select(ID, "cutoff", "alpha", "beta", "phi", F.col("s.l").alias("level"), F.col("s.b").alias("trend"), levels.alias("levels"))
+
+
+def ets_steps(fit: DataFrame, horizon: int, name: str = "ETS") -> DataFrame:
+    """Forecasts from fitted states: unique_id, cutoff, step, yhat, model."""
     h = F.col("step")
-    damped = F.when(F.col("m.phi") == 1.0, h.cast("double")).otherwise(F.col("m.phi") * (1 - F.pow("m.phi", h)) / (1 - F.when(F.col("m.phi") != 1.0, F.col("m.phi"))))
-    out = best.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    return out.select(ID, "cutoff", "step", (F.col("m.l") + damped * F.col("m.b")).alias("yhat"), F.lit(name).alias("model"))
+    damped = F.when(F.col("phi") == 1.0, h.cast("double")).otherwise(F.col("phi") * (1 - F.pow("phi", h)) / (1 - F.when(F.col("phi") != 1.0, F.col("phi"))))
+    out = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    return out.select(ID, "cutoff", "step", (F.col("level") + damped * F.col("trend")).alias("yhat"), F.lit(name).alias("model"))
+
+
+def ets_trend(context: DataFrame, horizon: int, name: str = "ETS") -> DataFrame:
+    """Forecasts of the best smoothing candidate of each context: unique_id, cutoff, step, yhat, model."""
+    return ets_steps(ets_fit(context), horizon, name)
 
 
 def mstl_forecast(df: DataFrame, cutoffs: DataFrame, horizon: int, periods: Sequence[int] = (24, 168), windows: Sequence[int] = (11, 15), length: int = 504, name: str = "MSTL") -> DataFrame:
     """Decompose the context of each (series, cutoff), smooth trend + remainder, repeat the last seasons.
 
-    Only the decomposition is a grouped task; smoothing and seasons are expressions.
+    Only the decomposition is Python, a row at a time; smoothing and seasons are expressions.
     """
     arrays = contexts(df, cutoffs, length)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in frame.itertuples(index=False):
-            y = np.asarray(r.context, float)
-            if len(y) < 2 * min(periods) or not np.isfinite(y).all():
-                continue
-            t, parts = mstl(y, periods, windows)
-            ahead = sum(p[-q:][np.arange(horizon) % q] for p, q in zip(parts, periods, strict=True) if len(p) >= q)
-            out.append((getattr(r, ID), r.cutoff, (y - sum(parts)).tolist(), np.asarray(ahead, float).tolist()))
-        return pd.DataFrame(out, columns=[ID, "cutoff", "context", "season"])
-
-    parts = arrays.groupBy(ID, "cutoff").applyInPandas(run, f"{ID} string, cutoff timestamp_ntz, context array<double>, season array<double>")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                y = np.asarray(r.context, float)
+                if len(y) < 2 * min(periods) or not np.isfinite(y).all():
+                    continue
+                t, parts = mstl(y, periods, windows)
+                ahead = sum(p[-q:][np.arange(horizon) % q] for p, q in zip(parts, periods, strict=True) if len(p) >= q)
+                out.append((getattr(r, ID), r.cutoff, (y - sum(parts)).tolist(), np.asarray(ahead, float).tolist()))
+            yield pd.DataFrame(out, columns=[ID, "cutoff", "context", "season"])
+
+    parts = arrays.mapInPandas(run, f"{ID} string, cutoff timestamp_ntz, context array<double>, season array<double>")
     smooth = ets_trend(parts.select(ID, "cutoff", "context"), horizon, name)
     seasons = parts.select(ID, "cutoff", F.posexplode("season").alias("i", "s")).withColumn("step", F.col("i") + 1)
     return smooth.join(seasons, [ID, "cutoff", "step"]).select(ID, "cutoff", "step", (F.col("yhat") + F.col("s")).alias("yhat"), "model")
 
 
+def mstl_on_scale(df: DataFrame, cutoffs: DataFrame, horizon: int, kind: str = "none", lambdas: DataFrame | None = None, season: DataFrame | None = None, **kw) -> DataFrame:
+    """``mstl_forecast`` on a transformed scale without the annual season, and back: unique_id, cutoff, step, yhat, model.
+
+    The target is transformed (``kind``, ``lambdas``), the daily seasonal values of ``season`` (on that scale, from
+    days before the cutoffs) are subtracted; forecasts get the value of the day a year before added and are inverted.
+    """
+    scaled = transform_target(df, kind, lambdas)
+    found = mstl_forecast(scaled if season is None else remove_annual(scaled, season), cutoffs, horizon, **kw)
+    if season is not None:
+        dated = found.withColumn(DS, F.col("cutoff") + hours(F.col("step")))
+        found = add_annual(dated, season, ["yhat"]).drop(DS)
+    return transform_target(found, kind, lambdas, "yhat", inverse=True)
+
+
 def regression_rows(df: DataFrame, lags: Sequence[int], exog: Sequence[str] = (), k_day: int = 2, k_week: int = 1) -> tuple[DataFrame, list[str]]:
     """Regressors of each row: intercept, lags of y, exogenous columns, daily and weekly harmonics."""
     import math
@@ -99,100 +167,117 @@ def normal_equations(rows: DataFrame, names: Sequence[str], plan: DataFrame, inp
     """Sums of products of regressors over each training slice, one row per (unique_id, cutoff).
 
     ``xtx`` is the upper triangle row by row, ``xty`` and ``yty`` go with it. Rows shrink to a few numbers a fit before
-    any Python sees them; a row of data meets each plan window of its series at most once.
+    any Python sees them. Rows with a null do not count.
     """
-    fits = plan.select(ID, "cutoff")
-    slices = rows.join(F.broadcast(fits), ID).where((F.col(DS) <= F.col("cutoff")) & (F.col(DS) > F.col("cutoff") - hours(input_size)))
-    whole = slices.dropna(subset=["y", *names])
+    whole = relative(rows, plan, 1 - input_size, 0).dropna(subset=["y", *names])
     products = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
     return whole.groupBy(ID, "cutoff").agg(F.array(*products).alias("xtx"), F.array(*[F.sum(F.col(a) * F.col("y")) for a in names]).alias("xty"), F.sum(F.col("y") * F.col("y")).alias("yty"), F.count("*").alias("n"))
 
 
-def _solve(xtx: np.ndarray, xty: np.ndarray) -> np.ndarray:
-    k = len(xty)
+def _full(xtx: Sequence[float], k: int) -> np.ndarray:
     a = np.zeros((k, k))
-    a[np.triu_indices(k)] = xtx
-    a = a + np.triu(a, 1).T
+    a[np.triu_indices(k)] = np.asarray(xtx, float)
+    return a + np.triu(a, 1).T
+
+
+def _solve(a: np.ndarray, xty: np.ndarray) -> np.ndarray:
+    k = len(xty)
     return np.linalg.solve(a + np.eye(k) * 1e-8 * max(1.0, np.trace(a) / k), xty)
 
 
-def dynamic_regression(df: DataFrame, plan: DataFrame, horizon: int, input_size: int = 504, lags: Sequence[int] = (1, 24, 25, 168), exog: Sequence[str] = (), name: str = "DynReg") -> DataFrame:
+def dynamic_regression(df: DataFrame, plan: DataFrame, horizon: int, input_size: int = 504, lags: Sequence[int] = (1, 24, 25, 168), exog: Sequence[str] = (), name: str = "DynReg", z: float | None = None) -> DataFrame:
     """Regression on lags, harmonics and exogenous columns, forecast recursively: unique_id, cutoff, step, yhat, model.
 
     Coefficients solve least squares from sums that Spark aggregates; it has no moving-average terms and is not
-    a maximum-likelihood seasonal ARIMA. The recursion is a grouped task on one horizon per (series, cutoff).
+    a maximum-likelihood seasonal ARIMA. Windows of one ``fit_group`` of the plan (see ``cv_plan``) share the
+    coefficients of the first of them, and only their contexts move on. ``exog`` must be known over the horizon.
+    With ``z`` (1.96 for 95 %) ``yhat_lo`` and ``yhat_hi`` are given, from the residuals' variance and the lags.
     """
     rows, names = regression_rows(df, lags, exog)
-    sums = normal_equations(rows, names, plan, input_size)
+    keys = [ID, "fit_group"] if "fit_group" in plan.columns else [ID, "cutoff"]
+    fits = plan.groupBy(*keys).agg(F.min("cutoff").alias("fit_cutoff"))
+    sums = normal_equations(rows, names, fits.select(ID, F.col("fit_cutoff").alias("cutoff")), input_size).withColumnRenamed("cutoff", "fit_cutoff")
+    windows = plan.select(*dict.fromkeys([ID, "cutoff", *keys])).distinct().join(fits, keys).select(ID, "cutoff", "fit_cutoff")
     fixed = [i for i, n in enumerate(names) if not n.startswith("x_lag")]
     most = max(lags)
     ahead = explode_horizon(rows.select(ID, DS, F.array(*[names[i] for i in fixed]).alias("x")), plan, horizon)
     future = ahead.groupBy(ID, "cutoff").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "x"))), lambda s: s["x"]).alias("future"))
-    past = contexts(df, plan, most)
-    table = sums.join(future, [ID, "cutoff"]).join(past, [ID, "cutoff"])
+    table = windows.join(sums, [ID, "fit_cutoff"]).join(future, [ID, "cutoff"]).join(contexts(df, plan, most), [ID, "cutoff"])
 
     def run(batches):
         for frame in batches:
             out = []
             for r in frame.itertuples(index=False):
                 y = list(map(float, r.context))
-                if len(y) < most or len(r.future) < horizon:
+                x = np.asarray([list(v) for v in r.future], float)
+                if len(y) < most or len(x) < horizon or np.isnan(x).any():
                     continue
-                beta = _solve(np.asarray(r.xtx, float), np.asarray(r.xty, float))
-                x_fixed = np.asarray([list(v) for v in r.future], float) @ beta[fixed]
+                xty = np.asarray(r.xty, float)
+                beta = _solve(_full(r.xtx, len(names)), xty)
+                x_fixed = x @ beta[fixed]
+                weight = {k: beta[names.index(f"x_lag{k}")] for k in lags}
+                variance = max(float(r.yty - beta @ xty), 0.0) / max(r.n - len(names), 1)
+                psi = []
                 for h in range(horizon):
-                    y.append(float(x_fixed[h] + sum(beta[names.index(f"x_lag{k}")] * y[-k] for k in lags)))
-                    out.append((getattr(r, ID), r.cutoff, h + 1, y[-1]))
-            yield pd.DataFrame(out, columns=[ID, "cutoff", "step", "yhat"])
+                    y.append(float(x_fixed[h] + sum(b * y[-k] for k, b in weight.items())))
+                    psi.append(1.0 if not h else sum(b * psi[h - k] for k, b in weight.items() if k <= h))
+                    out.append((getattr(r, ID), r.cutoff, h + 1, y[-1], float(np.sqrt(variance * np.square(psi).sum()))))
+            yield pd.DataFrame(out, columns=[ID, "cutoff", "step", "yhat", "sd"])
 
-    found = table.select(ID, "cutoff", "xtx", "xty", "future", "context").mapInPandas(run, f"{ID} string, cutoff timestamp_ntz, step int, yhat double")
-    return found.withColumn("model", F.lit(name))
+    found = table.select(ID, "cutoff", "xtx", "xty", "yty", "n", "future", "context").mapInPandas(run, f"{ID} string, cutoff timestamp_ntz, step int, yhat double, sd double")
+    bands = [] if z is None else [(F.col("yhat") - z * F.col("sd")).alias("yhat_lo"), (F.col("yhat") + z * F.col("sd")).alias("yhat_hi")]
+    return found.select(ID, "cutoff", "step", "yhat", F.lit(name).alias("model"), *bands)
 
 
 def explode_horizon(rows: DataFrame, plan: DataFrame, horizon: int) -> DataFrame:
     """Rows of each window's horizon with their step."""
-    joined = rows.join(F.broadcast(plan.select(ID, "cutoff")), ID).withColumn("step", hours_between("cutoff", DS))
-    return joined.where(F.col("step").between(1, horizon))
+    return relative(rows, plan, 1, horizon)
 
 
 def order_search(df: DataFrame, plan: DataFrame, orders: Sequence[Sequence[int]], input_size: int = 504) -> DataFrame:
-    """Compare lag sets by AICc from the sums of squares of their fits: unique_id, cutoff, lags, sse, aic, aicc, bic, rank."""
-    out = None
-    for lags in orders:
-        rows, names = regression_rows(df, lags)
-        sums = normal_equations(rows, names, plan, input_size)
-
-        def run(batches):
-            for frame in batches:
-                sse = []
-                for r in frame.itertuples(index=False):
-                    beta = _solve(np.asarray(r.xtx, float), np.asarray(r.xty, float))
-                    sse.append(max(float(r.yty - beta @ np.asarray(r.xty, float)), 1e-9))
-                yield frame[[ID, "cutoff", "n"]].assign(sse=sse)
-
-        one = sums.mapInPandas(run, f"{ID} string, cutoff timestamp_ntz, n bigint, sse double").withColumn("lags", F.lit(",".join(map(str, lags)))).withColumn("k", F.lit(float(len(names) + 1)))
-        out = one if out is None else out.unionByName(one)
+    """Compare lag sets by AICc from the sums of squares of their fits: unique_id, cutoff, lags, n, sse, aic, aicc, bic, rank.
+
+    All sets are fitted on the same rows, those that have every lag of every set, from one set of sums.
+    """
+    every = sorted({k for lags in orders for k in lags})
+    rows, names = regression_rows(df, every)
+    sums = normal_equations(rows, names, plan, input_size)
+    sets = [(",".join(map(str, lags)), [i for i, n in enumerate(names) if not n.startswith("x_lag") or int(n[5:]) in lags]) for lags in orders]
+
+    def run(batches):
+        for frame in batches:
+            out = []
+            for r in frame.itertuples(index=False):
+                xtx, xty = _full(r.xtx, len(names)), np.asarray(r.xty, float)
+                for lags, some in sets:
+                    beta = _solve(xtx[np.ix_(some, some)], xty[some])
+                    out.append((getattr(r, ID), r.cutoff, lags, r.n, len(some) + 1.0, max(float(r.yty - beta @ xty[some]), 1e-9)))
+            yield pd.DataFrame(out, columns=[ID, "cutoff", "lags", "n", "k", "sse"])
+
+    fits = sums.mapInPandas(run, f"{ID} string, cutoff timestamp_ntz, lags string, n bigint, k double, sse double")
     n, k = F.col("n").cast("double"), F.col("k")
     base = n * F.ln(F.col("sse") / n)
-    scored = out.select(ID, "cutoff", "lags", "n", "sse", (base + 2 * k).alias("aic"), (base + 2 * k + 2 * k * (k + 1) / (n - k - 1)).alias("aicc"), (base + k * F.ln(n)).alias("bic"))
+    scored = fits.select(ID, "cutoff", "lags", "n", "sse", (base + 2 * k).alias("aic"), (base + 2 * k + 2 * k * (k + 1) / (n - k - 1)).alias("aicc"), (base + k * F.ln(n)).alias("bic"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(ID, "cutoff").orderBy("aicc", "lags")))
 
 
-def direct_multihorizon(df: DataFrame, first_cutoff, n_windows: int, horizon: int = 24, t_in: int = 24, name: str = "Direct") -> DataFrame:
+def direct_multihorizon(df: DataFrame, first_cutoff, n_windows: int, horizon: int = 24, t_in: int = 24, name: str = "Direct", exog: Sequence[str] = (), season: int = 24) -> DataFrame:
     """One linear model for all horizons of a series' windows: last values, season-ago value and step as features.
 
-    Trained on windows that end before the first test cutoff, so no test value is seen.
+    The season-ago value is the last one of the same hour that the cutoff has seen, at any horizon. ``exog`` must
+    be known over the horizon. Trained on windows that end before the first test cutoff, so no test value is seen.
     """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     w = series_window()
-    base = df.select(ID, DS, "y", *[F.lag("y", k - 1).over(w).alias(f"l{k}") for k in (1, 2, 3)], F.avg("y").over(w.rowsBetween(-(t_in - 1), 0)).alias("m"))
-    steps = base.select(ID, F.col(DS).alias("cutoff"), "l1", "l2", "l3", "m", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
-    target = steps.withColumn(DS, F.col("cutoff") + hours(F.col("step")))
-    truth = df.select(ID, DS, "y", F.lag("y", 24).over(w).alias("day_ago"))
-    rows = target.join(truth, [ID, DS]).dropna()
-    names = ["l1", "l2", "l3", "m", "day_ago", "step"]
+    seen = F.array(*[F.lag("y", k).over(w) for k in range(max(season, 3))])  # values at the cutoff and before
+    base = df.select(ID, DS, "y", *[F.lag("y", k - 1).over(w).alias(f"l{k}") for k in (1, 2, 3)], seen.alias("seen"), F.avg("y").over(w.rowsBetween(-(t_in - 1), 0)).alias("m"))
+    steps = base.select(ID, F.col(DS).alias("cutoff"), "l1", "l2", "l3", "m", "seen", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("step"))
+    ago = F.get("seen", F.pmod(-F.col("step"), F.lit(season))).alias("season_ago")
+    target = steps.select(ID, "cutoff", "l1", "l2", "l3", "m", "step", ago, (F.col("cutoff") + hours(F.col("step"))).alias(DS))
+    rows = target.join(df.select(ID, DS, "y", *exog), [ID, DS]).dropna()
+    names = ["l1", "l2", "l3", "m", "season_ago", "step", *exog]
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(rows)
     model = LinearRegression(labelCol="y", predictionCol="yhat", regParam=1e-3).fit(vectors.where(F.col(DS) <= first_cutoff))
     k = hours_between(first_cutoff, F.col("cutoff"))

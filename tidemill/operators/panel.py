@@ -26,11 +26,16 @@ def floor_to(ds: str | Column, unit: str) -> Column:
 
 
 def fill_gaps(df: DataFrame, unit: str = "hour") -> DataFrame:
-    """Insert the missing timestamps of each series between its first and last; values there are null."""
+    """Insert the missing timestamps of each series between its first and last; values there are null.
+
+    A row whose timestamp is null or off the grid that begins at the first one raises: none is dropped.
+    """
     require_columns(df, ID, DS)
     step = F.expr(f"interval 1 {unit}")
     grid = df.groupBy(ID).agg(F.min(DS).alias("lo"), F.max(DS).alias("hi")).select(ID, F.explode(F.sequence("lo", "hi", step)).alias(DS))
-    return grid.join(df, [ID, DS], "left")
+    both = grid.withColumn("__grid", F.lit(True)).join(df, [ID, DS], "full")
+    off = F.raise_error(F.concat_ws(" ", F.lit("off the grid:"), F.col(ID), F.col(DS).cast("string")))
+    return both.withColumn(DS, F.when(F.col("__grid").isNull(), off).otherwise(F.col(DS))).drop("__grid")
 
 
 def clip_lower(df: DataFrame, col: str, floor: float = 5.0) -> DataFrame:

@@ -33,7 +33,7 @@ def histogram(df: DataFrame, value: str = "residual", bins: int = 30, keys: list
     span = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n"))
     width = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.least(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(bins - 1))
-    rows = df.join(F.broadcast(span), keys).withColumn("bin", F.coalesce(bin_no, F.lit(0)).cast("int"))
+    rows = df.join(span, keys).withColumn("bin", F.coalesce(bin_no, F.lit(0)).cast("int"))
     out = rows.groupBy(*keys, "bin").agg(F.count("*").alias("count"), F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("n").alias("n"))
     return out.select(*keys, "bin", "count", (F.col("lo") + F.col("bin") * width).alias("left_edge"), F.try_divide(F.col("count"), F.col("n") * width).alias("density"))
 
@@ -49,7 +49,7 @@ def kde(df: DataFrame, value: str = "residual", points: int = 400, bins: int = 2
     stats = stats.withColumn("h", F.col("sd") * F.pow("n", F.lit(-0.2))).withColumn("step", (F.col("hi") - F.col("lo")) / bins)
     stats = stats.where("h > 0 AND step > 0")
     bin_no = F.least(F.floor((F.col(value) - F.col("lo")) / F.col("step")), F.lit(bins - 1))
-    counts = df.join(F.broadcast(stats.select(*keys, "lo", "step")), keys).groupBy(*keys, bin_no.alias("bin")).agg(F.count("*").alias("c"))
+    counts = df.join(stats.select(*keys, "lo", "step"), keys).groupBy(*keys, bin_no.alias("bin")).agg(F.count("*").alias("c"))
     grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).withColumn("x", F.col("a") + F.col("k") * (F.col("b") - F.col("a")) / (points - 1))
     z = (F.col("x") - (F.col("lo") + (F.col("bin") + 0.5) * F.col("step"))) / F.col("h")
     dense = grid.join(counts, keys).groupBy(*keys, "k", "x").agg((F.sum(F.col("c") * F.exp(-0.5 * z * z)) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))).alias("density"))
@@ -72,7 +72,7 @@ def error_cooccurrence(cv: DataFrame, q: float = 0.9) -> DataFrame:
     """How often two models err largely together: Jaccard index of |residual| over its q-quantile, plain and by magnitude."""
     rows = residuals(cv).withColumn("residual", F.abs("residual"))
     cut = rows.groupBy(ID, "model").agg(F.percentile("residual", F.lit(q)).alias("cut"))
-    flagged = rows.join(F.broadcast(cut), [ID, "model"]).withColumn("m", F.when(F.col("residual") > F.col("cut"), F.col("residual")).otherwise(0.0))
+    flagged = rows.join(cut, [ID, "model"]).withColumn("m", F.when(F.col("residual") > F.col("cut"), F.col("residual")).otherwise(0.0))
     p = _pairs(flagged, "m").groupBy(ID, "a", "b").agg(
         F.count_if((F.col("x") > 0) & (F.col("y") > 0)).alias("both"),
         F.count_if((F.col("x") > 0) | (F.col("y") > 0)).alias("any"),

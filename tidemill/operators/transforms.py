@@ -38,13 +38,18 @@ def inverted(z: Column, kind: str, lam: Column | None = None) -> Column:
 
 
 def transform_target(df: DataFrame, kind: str, lambdas: DataFrame | None = None, col: str = "y", inverse: bool = False) -> DataFrame:
-    """Apply a transform, or its inverse, to ``col``; ``lambdas`` (unique_id, lambda) is one row a series."""
+    """Apply a transform, or its inverse, to ``col``; ``lambdas`` (unique_id, lambda) is one row a series.
+
+    A series without a lambda raises: none is dropped.
+    """
     if kind not in TRANSFORMS:
         raise ValueError(f"unknown transform {kind}")
     f = inverted if inverse else transformed
     if kind != "boxcox":
         return df.withColumn(col, f(F.col(col), kind))
-    return df.join(lambdas.select(ID, F.col("lambda").alias("__l")), ID).withColumn(col, f(F.col(col), kind, F.col("__l"))).drop("__l")
+    joined = df.join(lambdas.select(ID, F.col("lambda").alias("__l")), ID, "left")
+    lam = F.when(F.col("__l").isNull(), F.raise_error(F.concat(F.lit("no lambda for series "), ID))).otherwise(F.col("__l"))
+    return joined.withColumn(col, f(F.col(col), kind, lam)).drop("__l")
 
 
 def _grid(lo: Column, hi: Column, step: float) -> Column:
@@ -107,8 +112,10 @@ def _scaled(x: Column, a: Column, b: Column, kind: str, low: float, high: float,
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str], kind: str = "zscore", low: float = 0.0, high: float = 1.0, inverse: bool = False, suffix: str = "") -> DataFrame:
-    """Scale ``cols`` by ``stats`` (from ``fit_scaler``), or scale back; other columns are left alone."""
-    joined = df.join(stats, ID)
+    """Scale ``cols`` by ``stats`` (from ``fit_scaler``), or scale back; other columns are left alone. A series without statistics raises."""
+    joined = df.join(stats.withColumn("__known", F.lit(True)), ID, "left")
+    known = F.when(F.col("__known").isNull(), F.raise_error(F.concat(F.lit("no statistics for series "), ID))).otherwise(F.col(ID))
+    joined = joined.withColumn(ID, known).drop("__known")
     new = {c: _scaled(F.col(c), F.col(f"{c}_a"), F.col(f"{c}_b"), kind, low, high, inverse) for c in cols}
     return joined.withColumns({f"{c}{suffix}": x for c, x in new.items()}).drop(*[f"{c}_{n}" for c in cols for n in "ab"])
 

@@ -281,6 +281,17 @@ def by_horizon(spark, sf):
     return rounded(M.cv_summary(s, ["horizon_h"]).select("unique_id", "metric", "horizon_h", "model", "mean", "median"), 5)
 
 
+@query(
+    "WITH t AS (SELECT unique_id, avg(y) AS th FROM hourly GROUP BY 1), e AS (SELECT c.unique_id, model, yhat - y AS e, y > th AS high FROM cv_long c JOIN t ON t.unique_id = c.unique_id)"
+    " SELECT unique_id, model, round(coalesce(avg(CASE WHEN high AND e > 0 THEN e END), 0), 5) AS over, round(coalesce(avg(CASE WHEN high AND e < 0 THEN -e END), 0), 5) AS under, round(coalesce(avg(CASE WHEN high THEN abs(e) END), 0), 5) AS mae FROM e GROUP BY 1, 2",
+    "cv_long",
+    "hourly",
+)
+def threshold_errors(spark, sf):
+    high = fx.hourly(spark, sf).groupBy("unique_id").agg(F.avg("y").alias("y_th"))
+    return rounded(M.threshold_errors(cv(spark, sf), high), 5)
+
+
 @query(f"WITH s AS ({SCORES}) SELECT unique_id, metric, model, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.1), 5) AS lo, round(quantile_cont(value, 0.9), 5) AS hi FROM s GROUP BY ALL", "cv_long")
 def metric_interval(spark, sf):
     return rounded(M.metric_interval(scores(spark, sf)), 5)

@@ -97,6 +97,46 @@ def dynamic_regression(spark, sf):
     return H.with_truth(H.dynamic_regression(df, plan(spark, sf), 24), df)
 
 
+@query(None)
+def dynamic_regression_exog(spark, sf):
+    """With a covariate that is known ahead, one fit for all windows of a series, and 95 % bands."""
+    df = fx.hourly_panel(spark, sf)
+    return H.dynamic_regression(df, T.cv_plan(df, 24, n_windows=7, test_hours=168, max_fits=1), 24, exog=["temperature"], z=1.96)
+
+
+_PLAN = "p AS (SELECT unique_id, last - (168 - 24 * w) * INTERVAL 1 HOUR AS cutoff FROM (SELECT unique_id, max(ds) AS last FROM hourly GROUP BY 1), (SELECT unnest(generate_series(0, 6)) AS w))"
+
+
+@query(
+    f"WITH {_PLAN}, x AS (SELECT unique_id, ds, y, lag(y, 1) OVER w AS a, lag(y, 24) OVER w AS b FROM hourly WINDOW w AS (PARTITION BY unique_id ORDER BY ds))"
+    " SELECT x.unique_id, cutoff, count(*) AS n, round(sum(a), 3) AS one_lag1, round(sum(a * a), 1) AS lag1_lag1, round(sum(a * b), 1) AS lag1_lag24, round(sum(a * y), 1) AS lag1_y, round(sum(y * y), 1) AS yty"
+    " FROM x JOIN p ON p.unique_id = x.unique_id AND ds <= cutoff AND ds > cutoff - INTERVAL 504 HOUR WHERE b IS NOT NULL GROUP BY 1, 2",
+    "hourly",
+)
+def normal_equations(spark, sf):
+    """The sums that a dynamic regression solves, for two lags."""
+    rows, names = H.regression_rows(fx.hourly(spark, sf), (1, 24), k_day=0, k_week=0)
+    sums = H.normal_equations(rows, names, plan(spark, sf), 504)
+    at = lambda column, i, name, digits=1: F.round(F.get(column, F.lit(i)), digits).alias(name)
+    return sums.select("unique_id", "cutoff", "n", at("xtx", 1, "one_lag1", 3), at("xtx", 3, "lag1_lag1"), at("xtx", 4, "lag1_lag24"), at("xty", 1, "lag1_y"), F.round("yty", 1).alias("yty"))
+
+
+@query(None)
+def mstl_on_scale(spark, sf):
+    """MSTL forecasts on an arcsinh scale, and back."""
+    df = fx.hourly(spark, sf)
+    return H.with_truth(H.mstl_on_scale(df, plan(spark, sf), 24, "arcsinh10"), df)
+
+
+@query(None)
+def ets_forward(spark, sf):
+    """Smoothing parameters of the first window carried over all windows of a series."""
+    df = fx.hourly(spark, sf)
+    windows = plan(spark, sf)
+    fit = H.ets_fit(H.contexts(df, windows.where("window = 0"), 504))
+    return H.with_truth(H.ets_steps(H.ets_forward(H.contexts(df, windows, 504), fit), 24), df)
+
+
 @query(None)
 def order_search(spark, sf):
     return H.order_search(fx.hourly(spark, sf), plan(spark, sf), [[1], [1, 24], [1, 24, 25, 168]])
