@@ -49,6 +49,15 @@ def empty(edge):
     return edge.limit(0)
 
 
+MORE_SECRETS = {
+    "private_key": re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    "github": re.compile("gh[pousr]_[A-Za-z0-9]{36}"),
+    "slack": re.compile("xox[abprs]-[A-Za-z0-9-]{10,}"),
+    "google": re.compile("AIza[A-Za-z0-9_-]{35}"),
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+}
+
+
 def test_op1_spans(spark, texts, edge, empty):
     got = query(spark, "op1_secret_scan")
     rules = {
@@ -60,7 +69,9 @@ def test_op1_spans(spark, texts, edge, empty):
         spans = sorted((m.start(), k, m.end(), name) for k, (name, (rx, g, n)) in enumerate(rules.items()) for m in rx.finditer(text) if len(m[g]) >= n)
         want = ",".join(f"{name}:{a}:{b}" for a, _, b, name in spans)
         assert got[d]["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
-        assert got[d]["n_hex"] == sum(s[3] == "hex" for s in spans)
+        assert all(got[d][f"n_{name}"] == sum(s[3] == name for s in spans) for name in rules)
+        every = sorted([*spans, *((m.start(), 3 + k, m.end(), name) for k, (name, rx) in enumerate(MORE_SECRETS.items()) for m in rx.finditer(text))])
+        assert got[d]["spans"] == ",".join(f"{name}:{a}:{b}" for a, _, b, name in every)
     found = secret_scan.find_secrets(edge).collect()
     assert len(found) == len(EDGE) and sum(len(r["spans"]) for r in found) == 1
     assert secret_scan.find_secrets(empty).count() == 0
@@ -92,6 +103,19 @@ def test_op2_scores(spark, edge, empty):
     model = quality_classifier.train(edge, labels)
     scored = quality_classifier.score(edge, model).collect()
     assert len(scored) == len(EDGE) and all(0 <= r["score"] <= 1 for r in scored)
+    import zstandard
+
+    def size(dictionary, text):
+        made = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(made.compress(text[i : i + 2048])) for i in range(0, len(text), 2048))
+
+    for r, (_, t) in zip(sorted(scored, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)), sorted(EDGE, key=lambda x: (x[0] is None, x[0] or 0)), strict=True):
+        text = (t or "").encode()
+        good_size, bad_size = size(model.good, text), size(model.bad, text)
+        x = (bad_size - good_size) / (good_size + bad_size) if text else 0.0
+        w = model.weights
+        if r["doc_id"] is not None:  # texts of the null id come in any order
+            assert abs(r["score"] - 1 / (1 + np.exp(-(w[0] + w[1] * x + w[2] * x * min(1, len(text) / 2048))))) < 1e-9
     none = quality_classifier.train(empty, labels.limit(0))
     assert {r["score"] for r in quality_classifier.score(edge, none).collect()} == {0.5}
     assert quality_classifier.score(empty, none).count() == 0
@@ -484,20 +508,72 @@ def test_op10_records(spark):
         assert headers["WARC-Refers-To"] == r["refers_to"] and headers["WARC-Source-Payload-Digest"] == ids[r["refers_to"]]
         assert headers["HTTP-Content-Type"].startswith("text/html")
         assert headers["WARC-Block-Digest"] == warc.digest(bytes(r["block"])) and int(headers["Content-Length"]) == len(r["block"])
-        assert list(warc.parse_records(warc.serialize(list(headers.items()), bytes(r["block"])))) == [(list(headers.items()), bytes(r["block"]))]
+        assert warc.parse_record(warc.serialize(list(headers.items()), bytes(r["block"]))[5:]) == (list(headers.items()), bytes(r["block"]))
     texts = {bytes(r["block"]).decode() for r in out if r["key"] == 1}
     assert texts == {"One\ntwo words\nlink", "title: A & B\r\nlanguage: de\r\noutlink: /x\r\n"}
     assert warc.derivatives(source.limit(0)).count() == 0
 
 
+def test_op10_over_pages(spark):
+    """Every page of the table has its two records, linked, with the digests and the text that follow from it."""
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    rows = __spark_entry__.queries()["op10_warc"](spark, SF).collect()
+    assert Counter((r["page_id"], r["record_type"]) for r in rows) == {(p, k): 1 for p in pages for k in ("metadata", "conversion")}
+    for r in rows:
+        page = pages[r["page_id"]]
+        payload = (page["html"] or "").encode()
+        source = warc.record_id("response", str(r["page_id"]), " ".join((page["url"] or "").split()), warc.digest(payload))
+        headers = dict(x.split(": ", 1) for x in r["headers"].split("\r\n"))
+        assert (r["refers_to"], headers["WARC-Source-Payload-Digest"]) == (source, warc.digest(payload))
+        assert r["block_digest"] == warc.digest(r["content"].encode()) and r["content_length"] == len(r["content"].encode())
+        if r["record_type"] == "conversion":
+            assert "<script" not in r["content"] and "\n\n" not in r["content"]
+
+
+def test_op10_encodings_and_types(spark):
+    """Charsets, content and transfer encodings are undone; an image has no conversion; null and empty blocks are empty pages."""
+    import gzip
+
+    page = "<p>Größe</p>"
+    packed = gzip.compress(page.encode())
+    chunks = b"%x\r\n" % 5 + packed[:5] + b"\r\n" + b"%x\r\n" % (len(packed) - 5) + packed[5:] + b"\r\n0\r\n\r\n"
+    cases = {
+        "latin": (b"Content-Type: text/html; charset=ISO-8859-1", page.encode("latin-1"), "Größe"),
+        "meta": (b"Content-Type: text/html", b"<meta charset=latin1>" + page.encode("latin-1"), "Größe"),
+        "chunked": (b"Content-Type: text/html\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked", chunks, "Größe"),
+        "plain": (b"Content-Type: text/plain", b"a <b>\n\nc", "a <b>\n\nc"),
+        "broken": (b"Content-Type: text/html\r\nContent-Encoding: gzip", b"no gzip", ""),
+        "image": (b"Content-Type: image/png", b"\x89PNG", None),
+    }
+    rows = [(k, "response", f"<urn:{k}>", "u", None, [], bytearray(b"HTTP/1.1 200 OK\r\n" + h + b"\r\n\r\n" + p), 1) for k, (h, p, _) in cases.items()]
+    rows += [("null", "response", None, None, None, None, None, 1), ("other", "request", "x", "u", None, [], bytearray(b"GET"), 1), ("long", "response", "<urn:l>", "u", None, [], bytearray(b"HTTP/1.1 200 OK\r\n\r\n" + b"<p>word </p>" * 200_000), 1)]
+    records = spark.createDataFrame(rows, "key string, record_type string, record_id string, target_uri string, payload_digest string, headers array<struct<name:string,value:string>>, block binary, extra int")
+    out = {(r["key"], r["record_type"]): bytes(r["block"]).decode() for r in warc.derivatives(records).collect()}
+    assert {k for k, t in out if t == "metadata"} == {*cases, "null", "long"}
+    assert {k: v for (k, t), v in out.items() if t == "conversion" and k != "long"} == {k: t for k, (_, _, t) in cases.items() if t is not None} | {"null": ""}
+    assert out["long", "conversion"].split() == ["word"] * 200_000
+
+
 def test_op10_reads_files(spark, tmp_path):
     import gzip
 
-    one = warc.serialize([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("Content-Length", "5")], b"a\r\n\r\n")
+    one = warc.serialize([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:uuid:1>"), ("Content-Length", "7")], b"a\r\n\r\n\xff\n")
     (tmp_path / "x.warc").write_bytes(one * 2)
     (tmp_path / "y.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(one))
+    (tmp_path / "z.warc").write_bytes(b"")
     found = warc.read_records(spark, f"file://{tmp_path}/*").collect()
-    assert len(found) == 4 and {bytes(r["block"]) for r in found} == {b"a\r\n\r\n"}
+    assert len(found) == 4 and {(r["record_type"], r["record_id"], bytes(r["block"])) for r in found} == {("response", "<urn:uuid:1>", b"a\r\n\r\n\xff\n")}
+    # what is written is read back
+    pages = spark.createDataFrame([(1, "http://a/", "<p>one</p>"), (2, "http://b/", "")], "page_id long, url string, html string")
+    records = warc.responses(pages)
+    data = b"".join(bytes(r[0]) for r in records.select(warc.warc_bytes(records)).collect())
+    (tmp_path / "all").mkdir()
+    (tmp_path / "all" / "w.warc").write_bytes(data)
+    back = warc.read_records(spark, f"file://{tmp_path}/all")
+    assert {(r["record_id"], bytes(r["block"])) for r in back.collect()} == {(r["record_id"], bytes(r["block"])) for r in records.collect()}
+    (tmp_path / "all" / "bad.warc").write_bytes(one[:-9])
+    with pytest.raises(Exception, match="a WARC record of"):
+        warc.read_records(spark, f"file://{tmp_path}/all").collect()
 
 
 def test_pipeline_stages(spark, edge, empty):

@@ -18,14 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, Texts, Words, byte_set, text_chunks
+from .common import TO_LOWER, Texts, Words, byte_set, durable, text_chunks
 
 #: Bytes of words: digits, letters (A-Z are lower-cased first), anything beyond ASCII.
 MEMBER = byte_set("0123456789abcdefghijklmnopqrstuvwxyz", upper_half=True)
 SHINGLE = 3
 WINDOW = 10
-#: Distinct windows broadcast at a time; the items of further windows take another pass over the documents.
-BLOCK_WINDOWS = 500_000
+#: Distinct windows broadcast at a time, with ten words each at most some 30 MB, and their shingles' counts, 13 MB;
+#: the items of further windows take another pass over the documents.
+BLOCK_WINDOWS = 100_000
 _HIT_TYPE = "start int, stop int"
 
 
@@ -55,10 +56,10 @@ def item_windows(items: DataFrame, window: int, id_col: str, text_col: str) -> D
 class _Block:
     """Windows of one block, as they are broadcast: words' hashes, shingles and, once ordered, prefixes."""
 
-    def __init__(self, rows: list):
-        self.keys = [r["key"].encode() for r in rows]
-        self.ids = [r["ids"] for r in rows]
-        column = pa.array([r["key"] for r in rows], pa.large_string())
+    def __init__(self, rows: pa.Table):
+        self.keys = [k.encode() for k in rows["key"].to_pylist()]
+        self.ids = rows["ids"].to_pylist()
+        column = pa.array(rows["key"].to_pylist(), pa.large_string())
         self.hashes: list[np.ndarray] = []
         self.shingles: list[np.ndarray] = []
         for texts in text_chunks(column):
@@ -70,7 +71,7 @@ class _Block:
                 self.hashes.append(words.hash[a:b].copy())
                 self.shingles.append(by_size[k][a : b - k + 1].copy())
         self.sizes = sorted({min(SHINGLE, len(h)) for h in self.hashes})
-        self.all = np.unique(np.concatenate(self.shingles)) if rows else np.empty(0, np.uint64)
+        self.all = np.unique(np.concatenate(self.shingles)) if self.keys else np.empty(0, np.uint64)
         self.prefixes: dict[int, list[tuple[int, int]]] = {}
         self.prefix_keys = np.empty(0, np.uint64)
 
@@ -118,8 +119,9 @@ def _shingle_counts(docs: DataFrame, block) -> dict[int, int]:
         some = np.flatnonzero(totals)
         yield pa.record_batch([pa.array(b.all[some].view(np.int64)), pa.array(totals[some])], names=["shingle", "n"])
 
-    rows = docs.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).collect()
-    return {r["shingle"] & (1 << 64) - 1: r["n"] for r in rows}
+    # at most one row a shingle of the block
+    rows = docs.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(np.asarray(rows["shingle"]).view(np.uint64).tolist(), rows["n"].to_pylist(), strict=True))
 
 
 def _block_hits(docs: DataFrame, block, id_type: str) -> DataFrame:
@@ -183,19 +185,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     id_type = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
     windows = item_windows(items, window, item_id, item_text)
     n = windows.count()
-    if n > block_windows:
-        from .common import durable
-
-        windows = durable(windows, "windows")
     n_blocks = max(1, -(-n // block_windows))
-    texts = docs.select(F.col(text_col).alias("text"))
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.monotonically_increasing_id() if n_blocks > 1 else F.lit(0)).cast("bigint").alias("row"))
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("bigint").alias("row"))
+    if n_blocks > 1:
+        # rows are numbered once, so that every block and every repeated task means the same row
+        windows = durable(windows, "windows")
+        keyed = durable(keyed.withColumn("row", F.monotonically_increasing_id()), "documents")
+    texts = keyed.select("text")
     parts = []
     for b in range(n_blocks):
-        rows = windows.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == b).orderBy("key").collect()
+        rows = windows.where(F.pmod(F.xxhash64("key"), F.lit(n_blocks)) == b).orderBy("key").toArrow()
         block = _Block(rows)
         shared = spark.sparkContext.broadcast(block)
-        block.order(_shingle_counts(texts, shared) if rows else {})
+        block.order(_shingle_counts(texts, shared) if block.keys else {})
         parts.append(_block_hits(keyed, spark.sparkContext.broadcast(block), id_type))
     if n_blocks == 1:
         return parts[0].select(F.col("id").alias(id_col), "n_words", "hits", "items")

@@ -1,8 +1,9 @@
 """WARC derivative builder: responses become linked metadata and plain-text conversion records.
 
-Records are rows (type, id, headers, block); ``serialize`` and ``read_records`` turn them into WARC/1.1 bytes
+Records are rows (type, id, headers, block); ``warc_bytes`` and ``read_records`` turn them into WARC/1.1 bytes
 and back. A derivative keeps its source in WARC-Refers-To, with the source's target URI, date and payload
-digest as headers, and has digests of its own. Pages are handled where they lie, without a shuffle.
+digest as headers, and has digests of its own. Pages are handled where they lie, without a shuffle, and files
+are read record by record.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -67,18 +69,65 @@ def serialize(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return ("WARC/1.1" + CRLF + "".join(f"{k}: {v}{CRLF}" for k, v in headers) + CRLF).encode() + block + 2 * CRLF.encode()
 
 
-def parse_records(data: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """Headers and blocks of the records in uncompressed WARC bytes; ends at what is not a record."""
-    at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        lines = data[at:end].decode("utf-8", "replace").split(CRLF)[1:]
-        headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines)]
-        length = next((int(v) for k, v in headers if k.lower() == "content-length" and v.isdigit()), 0)
-        yield headers, data[end + 4 : end + 4 + length]
-        at = end + 4 + length + 4
+def parse_record(piece: bytes) -> tuple[list[tuple[str, str]], bytes]:
+    """Headers and block of one record, given from behind 'WARC/' up to the next record; raises if it is malformed."""
+    head, found, rest = piece.partition(b"\r\n\r\n")
+    lines = head.decode("utf-8", "replace").split(CRLF)
+    headers = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:])]
+    length = next((v for k, v in headers if k.lower() == "content-length"), "")
+    if not found or not length.isdigit():
+        raise ValueError(f"a WARC record without an end of headers or a Content-Length: {head[:80]!r}")
+    block, behind = rest[: int(length)], rest[int(length) :]
+    if len(block) < int(length) or behind.strip(b"\r\n"):
+        raise ValueError(f"a WARC record of {len(rest)} bytes, not {length}: {head[:80]!r}")
+    return headers, block
+
+
+#: Media types that have a plain-text conversion.
+HTML_TYPES, TEXT_TYPES = ("text/html", "application/xhtml+xml"), ("text/plain",)
+_META = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", re.I)
+
+
+def _dechunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; what follows a malformed chunk size is left out."""
+    out, at = [], 0
+    while (end := data.find(b"\r\n", at)) >= 0:
+        try:
+            size = int(data[at:end].split(b";")[0], 16)
+        except ValueError:
+            break
+        if not size:
+            break
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 4 + size
+    return b"".join(out)
+
+
+def body(headers: list[tuple[str, str]], payload: bytes) -> tuple[str, str]:
+    """Media type and decoded text of an HTTP response: transfer and content encodings undone, charset as declared.
+
+    A response without a type counts as HTML; bodies that cannot be inflated, and types without text, are ''.
+    """
+    named = {k.lower(): v for k, v in headers}
+    kind, _, rest = named.get("content-type", "text/html").partition(";")
+    kind = kind.strip().lower()
+    if kind not in HTML_TYPES + TEXT_TYPES:
+        return kind, ""
+    if "chunked" in named.get("transfer-encoding", "").lower():
+        payload = _dechunked(payload)
+    coding = named.get("content-encoding", "").strip().lower()
+    if coding in ("gzip", "x-gzip", "deflate"):
+        try:
+            payload = zlib.decompressobj(47 if coding != "deflate" or payload[:1] == b"\x78" else -15).decompress(payload)
+        except zlib.error:
+            payload = b""
+    declared = re.search(r"charset\s*=\s*[\"']?([\w:.-]+)", rest, re.I)
+    meta = None if declared else _META.search(payload[:4096])
+    charset = declared[1] if declared else meta[1].decode() if meta else "utf-8"
+    try:
+        return kind, payload.decode(charset, "replace")
+    except LookupError:
+        return kind, payload.decode("utf-8", "replace")
 
 
 #: Columns of a record; ``key`` names the row that it comes from.
@@ -125,8 +174,9 @@ def derivatives(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for each response in ``records``; other record types give none.
 
     Both refer to the response and carry its URI, date and payload digest (``WARC-Source-*``), and its HTTP
-    headers (``HTTP-*``); the conversion's block is the page's visible text. Responses that repeat are each
-    converted; null blocks count as empty; an empty table gives no records.
+    headers (``HTTP-*``). The conversion's block is the visible text of an HTML page, or a plain text as it is;
+    responses of other media types (images, say) have a metadata record only. Responses that repeat are each
+    converted; null blocks count as empty pages; an empty table gives no records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +186,18 @@ def derivatives(records: DataFrame) -> DataFrame:
                 rows, found = [], []
                 for r, (name, uri, of_payload, headers, block) in enumerate(zip(*(part.column(c).to_pylist() for c in range(1, 6)), strict=True)):
                     head, _, payload = (block or b"").partition(b"\r\n\r\n")
-                    page, uri = payload.decode("utf-8", "replace"), uri or ""
+                    fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split(CRLF)[1:])]
+                    (media, page), uri = body(fields, payload), uri or ""
                     date = next((h["value"] for h in headers or () if h["name"] == "WARC-Date"), DEFAULT_DATE)
                     source = [("WARC-Source-URI", uri), ("WARC-Source-Date", date), ("WARC-Source-Payload-Digest", of_payload or digest(payload))]
-                    for line in head.decode("utf-8", "replace").split(CRLF)[1:]:
-                        k, _, v = line.partition(":")
-                        source.append((f"HTTP-{k.strip()}", v.strip()))
-                    text = plain_text(page).encode()
-                    rows += [r, r]
-                    found.append(_record("metadata", record_id("metadata", name or ""), name, uri, date, "application/warc-fields", block_of(facts(page)), None, source))
+                    source += [(f"HTTP-{k}", v) for k, v in fields]
+                    facts_of = facts(page) if media in HTML_TYPES else []
+                    rows.append(r)
+                    found.append(_record("metadata", record_id("metadata", name or ""), name, uri, date, "application/warc-fields", block_of(facts_of), None, source))
+                    if media not in HTML_TYPES + TEXT_TYPES:
+                        continue
+                    text = (plain_text(page) if media in HTML_TYPES else page).encode()
+                    rows.append(r)
                     found.append(_record("conversion", record_id("conversion", name or ""), name, uri, date, "text/plain; charset=utf-8", text, text, source))
                 yield _batch(part.column(0), rows, found)
 
@@ -159,25 +212,26 @@ def warc_bytes(records: DataFrame) -> Column:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files (plain, or gzip as one or many members): ``key`` is the file, then the record's columns."""
-    import zlib
+    """Records of WARC files (plain, or gzip as one or many members): ``key`` is the file, then the record's columns.
 
-    def inflate(data: bytes) -> bytes:
-        out = []
-        while data[:2] == b"\x1f\x8b":
-            z = zlib.decompressobj(31)
-            out.append(z.decompress(data) + z.flush())
-            data = z.unused_data
-        return b"".join(out) or data
+    Spark's text source cuts files at the line that begins a record, so plain files are split over tasks and
+    memory is bounded by the longest record. Files without records give no rows, records that repeat are each
+    read. A malformed record raises, and so does one whose block holds a blank line followed by 'WARC/'.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                found = []
-                for headers, block in parse_records(inflate(batch.column(1)[r].as_py())):
+            for first in range(0, batch.num_rows, 200):
+                part, rows, found = batch.slice(first, 200), [], []
+                for r, piece in enumerate(part.column(1).to_pylist()):
+                    piece = piece.removeprefix(b"WARC/")  # the first record of a file
+                    if not piece.strip(b"\r\n"):
+                        continue
+                    headers, block = parse_record(piece)
                     h = {k.lower(): v for k, v in headers}
-                    found.append({"record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "refers_to": h.get("warc-refers-to"), "target_uri": h.get("warc-target-uri"), "block_digest": h.get("warc-block-digest"), "payload_digest": h.get("warc-payload-digest"), "content_length": len(block), "headers": [{"name": k, "value": v} for k, v in headers], "block": block})
-                yield _batch(batch.column(0), [r] * len(found), found)
+                    rows.append(r)
+                    found.append({n: h.get("warc-" + n.replace("_", "-")) for n in ("refers_to", "target_uri", "block_digest", "payload_digest")} | {"record_type": h.get("warc-type"), "record_id": h.get("warc-record-id"), "content_length": len(block), "headers": [{"name": k, "value": v} for k, v in headers], "block": block})
+                yield _batch(part.column(0), rows, found)
 
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("key"), "content")
-    return files.mapInArrow(run, f"key string, {RECORD}")
+    pieces = spark.read.option("lineSep", "\r\n\r\nWARC/").text(path).select(F.col("_metadata.file_path").alias("key"), F.col("value").cast("binary").alias("piece"))
+    return pieces.mapInArrow(run, f"key string, {RECORD}")
