@@ -128,24 +128,24 @@ def read_token_files(spark: SparkSession, path: str, first=None, last=None) -> D
     for bound, column, sign in ((first, "last_doc", 1), (last, "first_doc", -1)):
         if bound is not None:
             some = some.where(F.col(column) >= bound if sign > 0 else F.col(column) <= bound)
-    slices = F.transform(F.sequence(F.lit(0), F.size("docs") - 1), lambda i: F.substring("frames", F.get("offsets", i) + 1, F.get("offsets", i + 1) - F.get("offsets", i)))
-    rows = some.select("part", "dict_hash", F.explode(F.arrays_zip("docs", "starts", slices.alias("frame"))).alias("x"))
-    rows = rows.select("part", "dict_hash", F.col("x.docs").alias("doc"), F.col("x.starts").alias("at"), F.col("x.frame").alias("frame"))
-    if first is not None:
-        rows = rows.where(F.col("doc") >= first)
-    if last is not None:
-        rows = rows.where(F.col("doc") <= last)
-    rows = rows.join(F.broadcast(totals), "part").select("doc", (F.col("base") + F.col("at")).alias("start"), "dict_hash", "frame")
-    kind = rows.schema["doc"].dataType.simpleString()
+    rows = some.join(F.broadcast(totals), "part").select("base", "dict_hash", "docs", "offsets", "starts", "frames")
+    kind = rows.schema["docs"].dataType.elementType.simpleString()
     dictionaries = _dictionary(spark, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a batch holds no more shards than a split of the file, as Spark cuts them by bytes
         press = {h: _coder(zstandard.ZstdDecompressor, d) for h, d in dictionaries.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = [press[h].decompress(frame) for h, frame in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-                yield pa.record_batch([part.column(0), part.column(1), sizes, pa.array(ids, pa.binary())], names=["doc", "start", "n_tokens", "ids"])
+            for r in range(batch.num_rows):
+                names = batch.column(2)[r].values
+                base, digest = batch.column(0)[r].as_py(), batch.column(1)[r].as_py()
+                offsets, starts = np.array(batch.column(3)[r].values), np.array(batch.column(4)[r].values) + base
+                frames = memoryview(batch.column(5)[r].as_buffer())
+                wanted = [i for i, x in enumerate(names.to_pylist()) if (first is None or x is not None and x >= first) and (last is None or x is not None and x <= last)]
+                for at in range(0, len(wanted), 200):
+                    some = wanted[at : at + 200]
+                    ids = [press[digest].decompress(frames[offsets[i] : offsets[i + 1]]) for i in some]
+                    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+                    yield pa.record_batch([names.take(pa.array(some, pa.int32())), pa.array(starts[some]), pa.array(sizes), pa.array(ids, pa.binary())], names=["doc", "start", "n_tokens", "ids"])
 
     return rows.mapInArrow(read, f"doc {kind}, start bigint, n_tokens bigint, ids binary")
