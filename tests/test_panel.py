@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import backtest as T
 from tidemill.operators import decompose as E
+from tidemill.operators import explore as K
 from tidemill.operators import features as C
 from tidemill.operators import metrics as M
 from tidemill.operators import models as H
@@ -16,6 +17,7 @@ from tidemill.operators import panel as B
 from tidemill.operators import significance as J
 from tidemill.operators import transforms as D
 from tidemill.operators import trials as L
+from tidemill.sources import panel_io as P
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "unique_id string, ds timestamp_ntz, y double"
@@ -262,3 +264,83 @@ def test_resume_counts_whole_fit_groups(spark):
     plan = T.cv_plan(df, 24, n_windows=4, test_hours=96, max_fits=2)
     done = plan.where(F.col("window").isin(0, 1, 2))
     assert sorted(r["window"] for r in T.resume_windows(plan, done).collect()) == [2, 3]
+
+
+def test_acf_of_short_series_equals_sums(spark):
+    series = {"a": [3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0], "b": [2.0, 7.0], "c": [1.0]}
+    df = panel(spark, *[(i, list(enumerate(v))) for i, v in series.items()])
+    found = {(r["unique_id"], r["lag"]): r["acf"] for r in J.acf(df, ["unique_id"], ["ds"], "y", 4).collect()}
+    expected = {}
+    for i, v in series.items():
+        d = np.array(v) - np.mean(v)
+        for k in range(min(5, len(v))):
+            expected[i, k] = float(d[: len(d) - k] @ d[k:] / (d @ d)) if d @ d else None
+    assert found.keys() == expected.keys()
+    assert all(found[k] is None if v is None else abs(found[k] - v) < 1e-12 for k, v in expected.items())
+
+
+def test_kde_equals_sum_over_bins(spark):
+    y = np.random.default_rng(5).normal(size=200)
+    df = panel(spark, ("a", [(h, float(v)) for h, v in enumerate(y)]), ("flat", [(0, 1.0), (1, 1.0)]))
+    rows = J.kde(df, "y", 20, 50, ["unique_id"]).orderBy("k").collect()
+    assert {r["unique_id"] for r in rows} == {"a"} and len(rows) == 20  # a constant series has no density
+    step, h = (y.max() - y.min()) / 50, y.std(ddof=1) * 200**-0.2
+    centres = y.min() + (np.minimum((y - y.min()) // step, 49) + 0.5) * step
+    for r in rows:
+        assert abs(r["density"] - np.exp(-0.5 * ((r["x"] - centres) / h) ** 2).sum() / (200 * h * math.sqrt(2 * math.pi))) < 1e-9
+
+
+def test_kendall_equals_all_pairs(spark):
+    g = np.random.default_rng(6)
+    x, y = g.integers(0, 6, 60).astype(float), g.integers(0, 9, 60).astype(float)
+    rows = [("a", float(p), float(q)) for p, q in zip(x, y)] + [("a", None, 1.0), ("one", 1.0, 2.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)]
+    found = {r["unique_id"]: r["value"] for r in K.corr_matrix(spark.createDataFrame(rows, "unique_id string, x double, y double"), ["x", "y"], "kendall").collect()}
+    sx, sy = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    assert found.keys() == {"a", "flat"} and found["flat"] is None
+    assert abs(found["a"] - (sx * sy).sum() / math.sqrt(np.abs(sx).sum() * np.abs(sy).sum())) < 1e-12
+
+
+def test_robust_loess_equals_local_lines(spark):
+    g = np.random.default_rng(7)
+    v = np.sin(np.arange(90) / 9) + 0.1 * g.normal(size=90)
+    v[40] = 30.0
+    parts = panel(spark, ("a", [(h, float(x)) for h, x in enumerate(v)])).selectExpr("unique_id", "ds", "y", "0D AS trend", "y AS seasonal", "0D AS remainder")
+    found = values(E.smooth_seasonal_loess(parts, 21), "seasonal")
+    assert np.allclose(found, K._lowess(np.arange(90.0), v, 21 / 90), atol=1e-6)
+    plain = values(E.smooth_seasonal_loess(parts, 21, 0), "seasonal")
+    assert abs(plain[40]) > 1.5 > abs(found[40])  # the outlier no longer bends the line
+
+
+def test_bootstrap_takes_a_length_of_each_group(spark):
+    rows = [(i, "mae", "m", h, float((h * 7 + k) % 5)) for k, i in enumerate("ab") for h in range(11)]
+    diffs = spark.createDataFrame(rows, "unique_id string, metric string, model string, cutoff int, value double")
+    one = sorted(J.block_bootstrap_mean(diffs, 50, 4).collect())
+    table = diffs.select("unique_id", "metric", "model").distinct().withColumn("block", F.lit(4))
+    assert sorted(J.block_bootstrap_mean(diffs, 50, table).collect()) == one
+    assert J.block_bootstrap_mean(diffs, 20, J.optimal_block_length(diffs)).count() == 2
+    with pytest.raises(Exception, match="no block length"):
+        J.block_bootstrap_mean(diffs, 20, table.where("unique_id = 'a'")).collect()
+
+
+def test_summary_has_seconds_per_fit(spark):
+    summary = spark.createDataFrame([("a", "mae", "m", 1.0), ("b", "mae", "m", 2.0), ("a", "mae", "n", 3.0)], "unique_id string, metric string, model string, mean double")
+    summary = summary.selectExpr("*", "mean AS median", "0D AS std", "0D AS wrate")
+    runs = spark.createDataFrame([("a", "m", 4.0), ("b", "m", 8.0)], "unique_id string, model string, avg_el_per_fit double")
+    found = {(r["unique_id"], r["model"]): r["avg_el_per_fit"] for r in M.summary_table(summary, ["mae"], runs=runs).collect()}
+    assert found == {("a", "m"): 4.0, ("b", "m"): 8.0, ("a", "n"): None, ("Average", "m"): 6.0, ("Average", "n"): None}
+
+
+def test_resuming_compares_parameters(spark):
+    plan = spark.createDataFrame([("a", w, w // 2) for w in range(4)], "unique_id string, window int, fit_group int")
+    new, old = P.config_hash({"lags": [1, 24], "k": 2}), P.config_hash({"k": 3})
+    assert new == P.config_hash({"k": 2, "lags": [1, 24]})
+    done = spark.createDataFrame([("a", 0, new), ("a", 1, new), ("a", 2, old), ("a", 3, None)], "unique_id string, window int, config_hash string")
+    assert sorted(r["window"] for r in T.resume_windows(plan, done, new).collect()) == [2, 3]
+    cv = spark.createDataFrame([("a", "m", 1, 2)], "unique_id string, model string, cutoff int, ds int")
+    record = P.run_metadata(cv, 1, 2.5, {"k": 3}, "cpu").collect()[0]
+    assert (record["config"], record["config_hash"], record["device"], record["for_cv"]) == ('{"k": 3}', old, "cpu", True)
+
+
+def test_labels_are_bins_of_their_own(spark):
+    df = spark.createDataFrame([("x", 1), (None, 2), ("b", 3), ("x", 4)], "p string, number int")
+    assert {r["number"]: (r["bin"], r["label"]) for r in L.bin_param(df, "p").collect()} == {2: (0, None), 3: (1, "b"), 1: (2, "x"), 4: (2, "x")}

@@ -238,8 +238,13 @@ def context_window(df: DataFrame, cv: DataFrame, before: int, after: int) -> Dat
     return truth.join(cv.select(ID, DS, "cutoff", "model", "yhat"), [ID, DS], "left")
 
 
-def resume_windows(plan: DataFrame, done: DataFrame) -> DataFrame:
-    """Planned windows that are still to run: ``done`` (unique_id, window) counts only as whole fit groups."""
+def resume_windows(plan: DataFrame, done: DataFrame, config_hash: str | None = None) -> DataFrame:
+    """Planned windows that are still to run: ``done`` (unique_id, window) counts only as whole fit groups.
+
+    With ``config_hash``, ``done`` also holds a column of that name, and windows of other parameters (or of none) do not count.
+    """
+    if config_hash is not None:
+        done = done.where(F.col("config_hash") == config_hash)
     have = plan.join(done.select(ID, "window").distinct(), [ID, "window"], "left_semi").groupBy(ID, "fit_group").agg(F.count("*").alias("have"))
     want = plan.groupBy(ID, "fit_group").agg(F.count("*").alias("want"))
     finished = want.join(have, [ID, "fit_group"]).where("have = want").select(ID, "fit_group")

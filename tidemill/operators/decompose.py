@@ -147,26 +147,40 @@ def decompose_mstl(df: DataFrame, periods: Sequence[int] = (24, 168), windows: S
     return df.select(*keys, DS, F.col(col).cast("double").alias("y")).groupBy(*keys).applyInPandas(lambda f: run(f)[columns], schema)
 
 
-def smooth_seasonal_loess(parts: DataFrame, window: int) -> DataFrame:
-    """Smooth the seasonal part by tricube-weighted local lines over ``window`` rows; the remainder takes the rest."""
-    w = series_window()
-    half = window // 2
-    i, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(ID))
-    rows = parts.select("*", i.alias("__i"), n.alias("__n"))
+def _local_lines(rows: DataFrame, window: int) -> DataFrame:
+    """Adds ``__fit``: lines through ``window`` rows around each, weighted by distance (tricube) and by ``__r``."""
     # the frame reaches far enough at the edges, where the window is shifted inwards
-    near = F.collect_list(F.struct(F.col("__i").alias("i"), F.col("seasonal").alias("v"))).over(w.rowsBetween(-window, window))
-    rows = rows.withColumn("__w", near)
-    start = F.greatest(F.lit(1), F.least(F.col("__i") - half, F.col("__n") - window + 1))
+    near = F.collect_list(F.struct(F.col("__i").alias("i"), F.col("seasonal").alias("v"), F.col("__r").alias("r"))).over(series_window().rowsBetween(-window, window))
+    start = F.greatest(F.lit(1), F.least(F.col("__i") - window // 2, F.col("__n") - window + 1))
     inside = F.filter("__w", lambda x: (x["i"] >= start) & (x["i"] < start + window))
     far = F.greatest(F.col("__i") - start, F.least(start + window - 1, F.col("__n")) - F.col("__i"), F.lit(1)) * (1 + 1e-9)
     tri = lambda d: F.pow(1 - F.pow(F.abs(d) / far, F.lit(3.0)), F.lit(3.0))
-    rows = rows.withColumn("__w", F.transform(inside, lambda x: F.struct((x["i"] - F.col("__i")).cast("double").alias("d"), x["v"].alias("v"), tri(x["i"] - F.col("__i")).alias("w"))))
+    rows = rows.withColumn("__w", near)
+    rows = rows.withColumn("__w", F.transform(inside, lambda x: F.struct((x["i"] - F.col("__i")).cast("double").alias("d"), x["v"].alias("v"), (tri(x["i"] - F.col("__i")) * x["r"]).alias("w"))))
     total = lambda f: F.aggregate("__w", F.lit(0.0), lambda a, x: a + f(x))
     sums = {"s0": lambda x: x["w"], "s1": lambda x: x["w"] * x["d"], "s2": lambda x: x["w"] * x["d"] * x["d"], "b0": lambda x: x["w"] * x["v"], "b1": lambda x: x["w"] * x["d"] * x["v"]}
     rows = rows.withColumns({f"__{k}": total(f) for k, f in sums.items()})
     det = F.col("__s0") * F.col("__s2") - F.col("__s1") * F.col("__s1")
     fit = F.coalesce(F.try_divide(F.col("__b0") * F.col("__s2") - F.col("__b1") * F.col("__s1"), F.when(F.abs(det) > 1e-12, det)), F.try_divide("__b0", "__s0"))
-    smooth = rows.withColumn("seasonal", fit)
+    return rows.withColumn("__fit", F.when(F.col("__s0") > 1e-12, fit).otherwise(F.col("seasonal"))).drop("__w", *[f"__{k}" for k in sums])
+
+
+def smooth_seasonal_loess(parts: DataFrame, window: int, rounds: int = 3) -> DataFrame:
+    """Smooth the seasonal part by tricube-weighted local lines over ``window`` rows; the remainder takes the rest.
+
+    ``rounds`` more passes weigh rows down by the size of their residual (bisquare over six medians of the series); a row
+    whose whole window has no weight keeps its value.
+    """
+    series = Window.partitionBy(ID)
+    rows = parts.select("*", F.row_number().over(series_window()).alias("__i"), F.count("*").over(series).alias("__n"), F.lit(1.0).alias("__r"))
+    for left in range(rounds, -1, -1):
+        rows = _local_lines(rows, window)
+        if left:
+            rows = rows.withColumn("__e", F.abs(F.col("seasonal") - F.col("__fit")))
+            rows = rows.withColumn("__m", F.percentile("__e", F.lit(0.5)).over(series))
+            u = F.col("__e") / (6 * F.col("__m"))
+            rows = rows.withColumn("__r", F.when(~(F.col("__m") > 1e-12), 1.0).when(u < 1, F.pow(1 - u * u, F.lit(2.0))).otherwise(0.0)).drop("__fit", "__e", "__m")
+    smooth = rows.withColumn("seasonal", F.col("__fit"))
     return smooth.withColumn("remainder", F.col("y") - F.col("trend") - F.col("seasonal")).select(*parts.columns)
 
 

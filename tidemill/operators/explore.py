@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -50,6 +51,33 @@ def _long_pairs(df: DataFrame, cols: Sequence[str], f) -> DataFrame:
     return long.select(ID, parts[0].alias("a"), parts[1].alias("b"), "value")
 
 
+def _concordance(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Kendall's tau-b of two columns in n log n steps of search: discordant pairs are inversions of y in the order of x."""
+    ties = lambda *c: sum(n * (n - 1) // 2 for n in np.unique(np.column_stack(c), axis=0, return_counts=True)[1].tolist())
+    pairs, tx, ty = len(x) * (len(x) - 1) // 2, ties(x), ties(y)
+    seen: list[float] = []
+    discordant = 0
+    for i, v in enumerate(y[np.lexsort((y, x))].tolist()):
+        at = bisect_right(seen, v)
+        discordant += i - at
+        seen.insert(at, v)
+    both = (pairs - tx) * (pairs - ty)
+    return (pairs - tx - ty + ties(x, y) - 2 * discordant) / both**0.5 if both else None
+
+
+def _kendall(rows: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A task a series, as its rows must meet in order; series of one row have no pairs and give no rows."""
+    pairs = list(combinations(sorted(cols), 2))
+    schema = f"{ID} {dict(rows.dtypes)[ID]}, a string, b string, value double"
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        wanted = pairs if len(frame) > 1 else []
+        out = [(key[0], a, b, _concordance(frame[a].to_numpy(float), frame[b].to_numpy(float))) for a, b in wanted]
+        return pd.DataFrame(out, columns=[ID, "a", "b", "value"])
+
+    return rows.groupBy(ID).applyInPandas(run, schema)
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") -> DataFrame:
     """Correlation of each pair of columns within each series; ties get average ranks (spearman) or are left out (kendall tau-b)."""
     if method == "pearson":
@@ -61,13 +89,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], method: str = "pearson") ->
             ranks[c] = F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(ID, c)) - 1) / 2.0
         return _long_pairs(df.dropna(subset=list(cols)).select(ID, *[x.alias(c) for c, x in ranks.items()]), cols, F.corr)
     if method == "kendall":
-        # pairs of days within a series: for daily panels, whose length is a few thousand at most
-        rows = df.dropna(subset=list(cols)).select(ID, DS, *cols)
-        other = rows.toDF(ID, "__ds", *[f"__{c}" for c in cols])
-        both = rows.join(other, ID).where(F.col(DS) < F.col("__ds"))
-        sign = {c: F.signum(F.col(c) - F.col(f"__{c}")) for c in cols}
-        signs = both.select(ID, *[s.alias(c) for c, s in sign.items()])
-        return _long_pairs(signs, cols, lambda a, b: F.try_divide(F.sum(F.col(a) * F.col(b)), F.sqrt(F.sum(F.abs(a)) * F.sum(F.abs(b)))))
+        return _kendall(df.dropna(subset=list(cols)).select(ID, *cols), cols)
     raise ValueError(f"unknown method {method}")
 
 

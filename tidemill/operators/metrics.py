@@ -127,12 +127,18 @@ def cv_summary(scores: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def summary_table(summary: DataFrame, metrics: Sequence[str], top: int | None = None, by: str | None = None) -> DataFrame:
-    """One row a (unique_id, model) with ``<metric>_<stat>`` columns, 'Average' rows over series, ranked within each id."""
+def summary_table(summary: DataFrame, metrics: Sequence[str], top: int | None = None, by: str | None = None, runs: DataFrame | None = None) -> DataFrame:
+    """One row a (unique_id, model) with ``<metric>_<stat>`` columns, 'Average' rows over series, ranked within each id.
+
+    ``runs`` (unique_id, model, avg_el_per_fit; a row each, as ``run_metadata`` makes) adds the seconds of a fit; null where unknown.
+    """
     stats = ("mean", "median", "std", "wrate")
     aggs = [F.max(F.when(F.col("metric") == m, F.col(s))).alias(f"{m}_{s}") for m in metrics for s in stats]
     wide = summary.groupBy(ID, "model").agg(*aggs)
     names = [f"{m}_{s}" for m in metrics for s in stats]
+    if runs is not None:
+        wide = wide.join(runs.select(ID, "model", "avg_el_per_fit"), [ID, "model"], "left")
+        names.append("avg_el_per_fit")
     average = wide.groupBy("model").agg(*[F.avg(c).alias(c) for c in names]).select(F.lit("Average").alias(ID), "model", *names)
     order = by or f"{metrics[0]}_mean"
     ranked = wide.unionByName(average).withColumn("rank", F.row_number().over(Window.partitionBy(ID).orderBy(F.asc_nulls_last(F.round(order, 9)), "model")))

@@ -19,13 +19,17 @@ def residuals(cv: DataFrame) -> DataFrame:
 
 
 def acf(df: DataFrame, keys: list[str], order: list[str], value: str, max_lag: int) -> DataFrame:
-    """Biased autocorrelation at lags 0..max_lag and the band 1.96 / sqrt(n); rows pair up by their place in the series."""
+    """Biased autocorrelation at lags 0..max_lag and the band 1.96 / sqrt(n); rows pair up by their place in the series.
+
+    All lags share one window, and sums are taken per series before lags become rows; a series has lags below its length only.
+    """
     w = Window.partitionBy(*keys)
-    rows = df.select(*keys, F.row_number().over(w.orderBy(*order)).alias("i"), (F.col(value) - F.avg(value).over(w)).alias("d"), F.count("*").over(w).alias("n"))
-    ahead = rows.select(*keys, F.col("d").alias("d2"), F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), F.col("i").alias("j")).withColumn("i", F.col("j") - F.col("lag")).where("i >= 1").drop("j")
-    sums = rows.join(ahead, [*keys, "i"]).groupBy(*keys, "lag").agg(F.sum(F.col("d") * F.col("d2")).alias("c"), F.max("n").alias("n"))
-    zero = F.max(F.when(F.col("lag") == 0, F.col("c"))).over(Window.partitionBy(*keys))
-    return sums.select(*keys, "lag", F.try_divide(F.col("c"), zero).alias("acf"), (1.96 / F.sqrt("n")).alias("band"))
+    rows = df.select(*dict.fromkeys([*keys, *order]), (F.col(value) - F.avg(value).over(w)).alias("__d"), F.count("*").over(w).alias("__n"))
+    lags = range(max_lag + 1)
+    products = rows.select(*keys, "__n", *[(F.col("__d") * F.lead("__d", k).over(w.orderBy(*order))).alias(f"__c{k}") for k in lags])
+    sums = products.groupBy(*keys).agg(F.max("__n").alias("__n"), *[F.sum(f"__c{k}").alias(f"__c{k}") for k in lags])
+    long = sums.select(*keys, "__n", "__c0", F.posexplode(F.array(*[f"__c{k}" for k in lags])).alias("lag", "__c")).where("lag < __n")
+    return long.select(*keys, "lag", F.try_divide("__c", "__c0").alias("acf"), (1.96 / F.sqrt("__n")).alias("band"))
 
 
 def histogram(df: DataFrame, value: str = "residual", bins: int = 30, keys: list[str] = KEYS) -> DataFrame:
@@ -41,7 +45,7 @@ def histogram(df: DataFrame, value: str = "residual", bins: int = 30, keys: list
 def kde(df: DataFrame, value: str = "residual", points: int = 400, bins: int = 2000, keys: list[str] = KEYS) -> DataFrame:
     """Gaussian density (Scott's bandwidth) at ``points`` between the 0.5 and 99.5 percentiles.
 
-    Values are counted in ``bins`` fine bins first, so the grid meets bins and not rows.
+    Values are counted in ``bins`` fine bins first; the bins of a group are one array, which each point of its grid sums up.
     """
     stats = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.stddev_samp(value).alias("sd"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.percentile(value, F.lit(0.005)).alias("a"), F.percentile(value, F.lit(0.995)).alias("b")
@@ -50,10 +54,16 @@ def kde(df: DataFrame, value: str = "residual", points: int = 400, bins: int = 2
     stats = stats.where("h > 0 AND step > 0")
     bin_no = F.least(F.floor((F.col(value) - F.col("lo")) / F.col("step")), F.lit(bins - 1))
     counts = df.join(stats.select(*keys, "lo", "step"), keys).groupBy(*keys, bin_no.alias("bin")).agg(F.count("*").alias("c"))
-    grid = stats.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).withColumn("x", F.col("a") + F.col("k") * (F.col("b") - F.col("a")) / (points - 1))
-    z = (F.col("x") - (F.col("lo") + (F.col("bin") + 0.5) * F.col("step"))) / F.col("h")
-    dense = grid.join(counts, keys).groupBy(*keys, "k", "x").agg((F.sum(F.col("c") * F.exp(-0.5 * z * z)) / (F.first("n") * F.first("h") * math.sqrt(2 * math.pi))).alias("density"))
-    return dense
+    cells = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "c"))).alias("cells"))  # at most ``bins`` entries
+    at = lambda k: F.col("a") + k * (F.col("b") - F.col("a")) / (points - 1)
+
+    def density(x: Column) -> Column:
+        z = lambda cell: (x - (F.col("lo") + (cell["bin"] + 0.5) * F.col("step"))) / F.col("h")
+        total = F.aggregate("cells", F.lit(0.0), lambda t, cell: t + cell["c"] * F.exp(-0.5 * z(cell) * z(cell)))
+        return total / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
+
+    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda k: F.struct(k.alias("k"), at(k).alias("x"), density(at(k)).alias("density")))
+    return stats.join(cells, keys).select(*keys, F.inline(grid))
 
 
 def _pairs(rows: DataFrame, value: str) -> DataFrame:
@@ -130,9 +140,10 @@ def _draw(name: Column, bound: Column) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint"), bound)
 
 
-def block_bootstrap_mean(diffs: DataFrame, n_boot: int = 1000, block: int = 3, alpha: float = 0.05, value: str = "value", keys: list[str] = (ID, "metric", "model"), order: str = "cutoff", seed: str = "boot") -> DataFrame:
+def block_bootstrap_mean(diffs: DataFrame, n_boot: int = 1000, block: int | DataFrame = 3, alpha: float = 0.05, value: str = "value", keys: list[str] = (ID, "metric", "model"), order: str = "cutoff", seed: str = "boot") -> DataFrame:
     """Circular block bootstrap of the mean: percentile interval and p = P(|m* - m| >= |m|).
 
+    ``block`` is one length, or a table (keys, block) such as ``optimal_block_length`` makes; a group without one raises.
     Block totals come from prefix sums of the doubled series, so that a replicate has n / block rows, not n; its
     last block is cut to make n values.
     """
@@ -143,9 +154,16 @@ def block_bootstrap_mean(diffs: DataFrame, n_boot: int = 1000, block: int = 3, a
     prefix = doubled.select(*keys, F.col("i").cast("bigint").alias("i"), F.sum("v").over(w.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     prefix = prefix.unionByName(rows.select(*keys).distinct().select(*keys, F.lit(0).cast("bigint").alias("i"), F.lit(0.0).alias("s")))
     sizes = rows.groupBy(*keys).agg(F.max("n").alias("n"), F.avg("v").alias("mean"))
-    boots = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / block) - 1).cast("int"))).alias("k"))
+    if isinstance(block, DataFrame):
+        known = sizes.join(block.select(*keys, F.col("block").alias("__block")), keys, "left")
+        length = F.coalesce(F.col("__block"), F.raise_error(F.lit("a group has no block length")).cast("int"))
+        sizes = known.withColumn("__block", length)
+    else:
+        sizes = sizes.withColumn("__block", F.lit(block))
+    size = F.col("__block")
+    boots = sizes.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select("*", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / size) - 1).cast("int"))).alias("k"))
     name = F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in keys], F.col("b").cast("string"), F.col("k").cast("string"))
-    boots = boots.withColumn("start", _draw(name, F.col("n"))).withColumn("stop", F.col("start") + F.least(F.lit(block), F.col("n") - F.col("k") * block))
+    boots = boots.withColumn("start", _draw(name, F.col("n"))).withColumn("stop", F.col("start") + F.least(size, F.col("n") - F.col("k") * size))
     lo, hi = prefix.toDF(*keys, "start", "s0"), prefix.toDF(*keys, "stop", "s1")
     means = boots.join(lo, [*keys, "start"]).join(hi, [*keys, "stop"]).groupBy(*keys, "b").agg((F.sum(F.col("s1") - F.col("s0")) / F.first("n")).alias("m"), F.first("mean").alias("mean"))
     return means.groupBy(*keys).agg(

@@ -19,7 +19,7 @@ def trial_filter(trials: DataFrame, first: int | None = None, where: Column | No
     """The first n trials by number (running ones left out), a predicate, values that must all or must never occur."""
     out = trials.where("state != 'RUNNING'")
     if first is not None:
-        out = out.withColumn("__rn", F.row_number().over(Window.orderBy("number"))).where(F.col("__rn") <= first).drop("__rn")
+        out = out.orderBy("number").limit(first)
     if where is not None:
         out = out.where(where)
     for c, values in (include or {}).items():
@@ -56,8 +56,8 @@ def bin_edges(df: DataFrame, col: str, bins: int = 5, how: str = "quantile", edg
 def bin_param(df: DataFrame, col: str, bins: int = 5, how: str = "quantile", edges: Sequence[float] | None = None) -> DataFrame:
     """Adds ``bin`` (from 0) and ``label``; a column without two edges is one bin 'all'. Strings and flags are their own bins."""
     if dict(df.dtypes)[col] in ("string", "boolean"):
-        label = F.col(col).cast("string")
-        return df.withColumn("label", label).withColumn("bin", F.dense_rank().over(Window.orderBy(label)) - 1)
+        labels = df.select(F.col(col).cast("string").alias("__l")).distinct().withColumn("bin", F.dense_rank().over(Window.orderBy("__l")) - 1)
+        return df.withColumn("label", F.col(col).cast("string")).join(labels, F.col("label").eqNullSafe(F.col("__l")), "left").drop("__l")
     e = F.broadcast(bin_edges(df, col, bins, how, edges))
     joined = df.crossJoin(e)  # one row of edges
     x = F.col(col).cast("double")

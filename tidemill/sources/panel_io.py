@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +51,22 @@ def read_cv_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def run_metadata(cv: DataFrame, step: int, seconds: float | None = None) -> DataFrame:
-    """One record a (model, series): windows, step, test span and seconds a fit."""
+def config_hash(config: Mapping[str, object]) -> str:
+    """Digest of parameters that does not depend on their order."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()
+
+
+def run_metadata(cv: DataFrame, step: int, seconds: float | None = None, config: Mapping[str, object] | None = None, device: str | None = None, for_cv: bool = True) -> DataFrame:
+    """One record a (model, series): windows, step, test span and seconds a fit.
+
+    With ``config``, also the parameters as JSON, their digest for ``resume_windows``, the device, and whether the run is a backtest.
+    """
     g = cv.groupBy(ID, "model").agg(F.count_distinct("cutoff").alias("n_windows"), F.min("cutoff").alias("first_cutoff"), F.max(DS).alias("end_test"))
-    return g.select("*", F.lit(step).alias("step_size"), F.lit(seconds).cast("double").alias("avg_el_per_fit"))
+    out = g.select("*", F.lit(step).alias("step_size"), F.lit(seconds).cast("double").alias("avg_el_per_fit"))
+    if config is None:
+        return out
+    text = json.dumps(config, sort_keys=True, default=str)
+    return out.select("*", F.lit(text).alias("config"), F.lit(config_hash(config)).alias("config_hash"), F.lit(device).cast("string").alias("device"), F.lit(for_cv).alias("for_cv"))
 
 
 def check_metadata(records: DataFrame, group: str = ID) -> DataFrame:
