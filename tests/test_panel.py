@@ -344,3 +344,41 @@ def test_resuming_compares_parameters(spark):
 def test_labels_are_bins_of_their_own(spark):
     df = spark.createDataFrame([("x", 1), (None, 2), ("b", 3), ("x", 4)], "p string, number int")
     assert {r["number"]: (r["bin"], r["label"]) for r in L.bin_param(df, "p").collect()} == {2: (0, None), 3: (1, "b"), 1: (2, "x"), 4: (2, "x")}
+
+
+def test_few_numbers_are_categories_and_empty_bins_stay(spark):
+    few = spark.createDataFrame([(i, (i % 3) * 10) for i in range(9)] + [(9, None)], "number int, p int")
+    assert {(r["p"], r["bin"], r["label"]) for r in L.bin_param(few, "p").collect()} == {(0, 0, "0.0"), (10, 1, "10.0"), (20, 2, "20.0"), (None, None, None)}
+    gap = spark.createDataFrame([(i, float(i), x) for i, x in enumerate([0, 1, 2, 3, 4, 97, 98, 99, 100])], "number int, value double, p int")
+    binned, every = L.bin_param(gap, "p", 3, "uniform"), L.bin_list(gap, "p", 3, "uniform")
+    found = {r["bin"]: r for r in L.marginal_1d(binned, top_k=2, all_bins=every).collect()}
+    assert {b: (r["count"], r["contribution"]) for b, r in found.items()} == {0: (5, 1.0), 1: (0, 0.0), 2: (4, 0.0)}
+    assert (found[1]["mean"], found[1]["share"]) == (None, None) and found[1]["label"].startswith("(33.3")
+
+
+def test_running_best_over_blocks(spark):
+    rows = [(i, "COMPLETE" if i % 4 else "FAIL", None if i % 7 == 0 else float((i * 37) % 101)) for i in range(200)]
+    df = spark.createDataFrame(rows, "number int, state string, value double").repartition(7)
+    found, best, expected = {r["number"]: r["best"] for r in L.best_so_far(df, block=16).collect()}, None, {}
+    for i, state, v in rows:
+        if state == "COMPLETE":
+            best = v if best is None else best if v is None else min(best, v)
+            expected[i] = best
+    assert found == expected
+
+
+def test_boxcox_scan_takes_the_likeliest(spark):
+    rng = np.random.default_rng(3)
+    ys = {"a": np.exp(rng.normal(2, 0.5, 300)), "b": rng.normal(50, 3, 300), "c": rng.normal(5, 0.3, 300) ** 2, "e": np.full(5, 3.0)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in ys.items() for v in [*vs, -1.0]], "unique_id string, y double")
+    found = {r["unique_id"]: r["lambda"] for r in D.boxcox_lambda_loglik(df, step=0.001).collect()}
+
+    def ll(y, lam):
+        z = np.log(y) if lam == 0 else (y**lam - 1) / lam
+        return -len(y) / 2 * np.log(z.var()) + (lam - 1) * np.log(y).sum()
+
+    assert set(found) == set(ys)  # a constant series has a parameter, too
+    for k in "abc":
+        coarse = max((i * 0.1 for i in range(-10, 21)), key=lambda x: ll(ys[k], x))
+        near = [(round(coarse / 0.001) + j) * 0.001 for j in range(-100, 101)]
+        assert ll(ys[k], found[k]) >= max(ll(ys[k], x) for x in near) - 1e-5

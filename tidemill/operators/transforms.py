@@ -57,23 +57,30 @@ def _grid(lo: Column, hi: Column, step: float) -> Column:
     return F.transform(F.sequence(F.round(lo / step).cast("int"), F.round(hi / step).cast("int")), lambda k: k * step)
 
 
-def _loglik(df: DataFrame, grids: DataFrame, col: str) -> DataFrame:
-    """The grid point of greatest profile log-likelihood of each series; the least one among equals."""
-    points = df.where(F.col(col) > 0).join(grids, ID).select(ID, col, F.explode("grid").alias("lambda"))
-    z = transformed(F.col(col), "boxcox", F.col("lambda"))
-    fit = points.groupBy(ID, "lambda").agg((-F.count("*") / 2 * F.ln(F.var_pop(z)) + (F.col("lambda") - 1) * F.sum(F.ln(col))).alias("ll"))
-    return fit.groupBy(ID).agg(F.max_by("lambda", F.struct(F.round("ll", 6), -F.col("lambda"))).alias("lambda"))
+def _loglik(rows: DataFrame, col: str, grid: Sequence[Column], keys: Sequence[str] = ()) -> DataFrame:
+    """The grid point of greatest profile log-likelihood of each series; the least one among equals.
+
+    A column of the aggregate for every grid point, which may depend on ``keys``: no row is repeated.
+    """
+    sums = [F.var_pop(transformed(F.col(col), "boxcox", lam)).alias(f"__v{i}") for i, lam in enumerate(grid)]
+    g = rows.groupBy(ID, *keys).agg(F.count("*").alias("__n"), F.sum(F.ln(col)).alias("__s"), *sums)
+    # the logarithm of no variance is null and counts as least
+    ll = [-F.col("__n") / 2 * F.ln(f"__v{i}") + (lam - 1) * F.col("__s") for i, lam in enumerate(grid)]
+    best = F.array_max(F.array(*[F.struct(F.round(x, 6).alias("ll"), (-lam).alias("minus"), lam.alias("lambda")) for x, lam in zip(ll, grid)]))
+    return g.select(ID, best["lambda"].alias("lambda"))
 
 
-def boxcox_lambda_loglik(df: DataFrame, col: str = "y", lo: float = -1.0, hi: float = 2.0) -> DataFrame:
-    """Box-Cox parameter of each series by a grid scan: steps of 0.1, then of 0.01 around the best.
+def boxcox_lambda_loglik(df: DataFrame, col: str = "y", lo: float = -1.0, hi: float = 2.0, step: float = 0.01) -> DataFrame:
+    """Box-Cox parameter of each series by a grid scan: steps of 0.1, then of ``step`` around the best.
 
-    Each scan is one aggregate over the panel with a row for every grid point; non-positive values are left out.
+    Each scan is one aggregate over the panel; non-positive values are left out. Grid points are whole multiples of
+    their step, so that no error builds up.
     """
-    ids = df.select(ID).distinct()
-    coarse = _loglik(df, ids.withColumn("grid", _grid(F.lit(lo), F.lit(hi), 0.1)), col)
-    fine = coarse.select(ID, _grid(F.col("lambda") - 0.1, F.col("lambda") + 0.1, 0.01).alias("grid"))
-    return _loglik(df, fine, col)
+    positive = df.where(F.col(col) > 0)
+    coarse = _loglik(positive, col, [F.lit(k * 0.1) for k in range(round(lo / 0.1), round(hi / 0.1) + 1)])
+    around = coarse.select(ID, F.round(F.col("lambda") / step).cast("int").alias("__at"))
+    reach = round(0.1 / step)
+    return _loglik(positive.join(around, ID), col, [(F.col("__at") + k) * step for k in range(-reach, reach + 1)], ["__at"])
 
 
 def boxcox_lambda_guerrero(df: DataFrame, season: int = 365, col: str = "y", lo: float = -1.0, hi: float = 2.0, step: float = 0.05) -> DataFrame:

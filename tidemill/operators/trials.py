@@ -53,29 +53,59 @@ def bin_edges(df: DataFrame, col: str, bins: int = 5, how: str = "quantile", edg
     raise ValueError(f"unknown binning {how}")
 
 
+def _cuts(df: DataFrame, col: str, bins: int, how: str, edges: Sequence[float] | None) -> DataFrame:
+    """One row: ``edges``, and ``few``, the sorted values of a column that has at least two and at most ``bins`` of them (else empty)."""
+    e = bin_edges(df, col, bins, how, edges)
+    if how not in ("quantile", "uniform"):
+        return e.withColumn("few", F.array().cast("array<double>"))
+    x = F.col(col).cast("double").alias("x")
+    least = df.select(x).where("x IS NOT NULL").distinct().orderBy("x").limit(bins + 1)  # one more than may be categories
+    few = least.agg(F.array_sort(F.collect_list("x")).alias("few"))
+    return e.crossJoin(few.select(F.when(F.size("few").between(2, bins), F.col("few")).otherwise(F.array().cast("array<double>")).alias("few")))  # one row each
+
+
+def _cut_label(bin_: Column) -> Column:
+    """Label of a numeric bin from ``edges`` and ``few``."""
+    text = lambda v: F.round(v, 4).cast("string")
+    low, high = F.get("edges", bin_), F.get("edges", bin_ + 1)
+    interval = F.concat(F.when(bin_ == 0, "[").otherwise("("), text(low), F.lit(", "), text(high), F.lit("]"))
+    return F.when(F.size("few") > 0, F.get("few", bin_).cast("string")).when(F.size("edges") < 2, "all").otherwise(interval)
+
+
 def bin_param(df: DataFrame, col: str, bins: int = 5, how: str = "quantile", edges: Sequence[float] | None = None) -> DataFrame:
-    """Adds ``bin`` (from 0) and ``label``; a column without two edges is one bin 'all'. Strings and flags are their own bins."""
+    """Adds ``bin`` (from 0) and ``label``; a column without two edges is one bin 'all'.
+
+    Strings, flags, and numbers of at most ``bins`` values (under quantile and uniform) are their own bins. A null
+    number has no bin, unless all is one bin.
+    """
     if dict(df.dtypes)[col] in ("string", "boolean"):
         labels = df.select(F.col(col).cast("string").alias("__l")).distinct().withColumn("bin", F.dense_rank().over(Window.orderBy("__l")) - 1)
         return df.withColumn("label", F.col(col).cast("string")).join(labels, F.col("label").eqNullSafe(F.col("__l")), "left").drop("__l")
-    e = F.broadcast(bin_edges(df, col, bins, how, edges))
-    joined = df.crossJoin(e)  # one row of edges
     x = F.col(col).cast("double")
     if how == "unique":
+        joined = df.crossJoin(F.broadcast(bin_edges(df, col, bins, how, edges)))  # one row of edges
         number = F.array_position("edges", x) - 1
         return joined.withColumn("bin", number.cast("int")).withColumn("label", x.cast("string")).drop("edges")
-    number = F.when(F.size("edges") < 2, F.lit(0)).otherwise(_bins(F.col("edges"), x))
-    low, high = F.get("edges", F.col("bin")), F.get("edges", F.col("bin") + 1)
-    text = lambda v: F.round(v, 4).cast("string")
-    label = F.when(F.size("edges") < 2, "all").otherwise(F.concat(F.when(F.col("bin") == 0, "[").otherwise("("), text(low), F.lit(", "), text(high), F.lit("]")))
-    return joined.withColumn("bin", number).withColumn("label", label).drop("edges")
+    joined = df.crossJoin(F.broadcast(_cuts(df, col, bins, how, edges)))  # one row of edges
+    number = F.when(F.size("few") > 0, (F.array_position("few", x) - 1).cast("int")).when(F.size("edges") < 2, F.lit(0)).otherwise(_bins(F.col("edges"), x))
+    return joined.withColumn("bin", number).withColumn("label", _cut_label(F.col("bin"))).drop("edges", "few")
 
 
-def marginal_1d(binned: DataFrame, value: str = "value", top_k: int = 20, top_fraction: float = 0.1, min_count: int = 3) -> DataFrame:
+def bin_list(df: DataFrame, col: str, bins: int = 5, how: str = "quantile", edges: Sequence[float] | None = None) -> DataFrame:
+    """Every ``bin`` and ``label`` that ``bin_param`` may give, those without rows too."""
+    if dict(df.dtypes)[col] in ("string", "boolean") or how == "unique":
+        return bin_param(df, col, bins, how, edges).select("bin", "label").distinct()
+    n = F.when(F.size("few") > 0, F.size("few")).otherwise(F.greatest(F.size("edges") - 1, F.lit(1)))
+    cells = _cuts(df, col, bins, how, edges).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("bin"))
+    return cells.select("bin", _cut_label(F.col("bin")).alias("label"))
+
+
+def marginal_1d(binned: DataFrame, value: str = "value", top_k: int = 20, top_fraction: float = 0.1, min_count: int = 3, all_bins: DataFrame | None = None) -> DataFrame:
     """Per bin: count, mean, median, deviation (population), quartiles, and its part of the best trials (least values).
 
     ``share`` is the part of a bin's trials among the best fraction, ``contribution`` the bin's part of the best
-    ``top_k``; trials that tie with the last of the best count as best. Statistics of thin bins are null.
+    ``top_k``; trials that tie with the last of the best count as best. Statistics and share of thin bins are null.
+    With ``all_bins`` (from ``bin_list``) bins without trials have a count of 0.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy())
     rank = F.rank().over(Window.orderBy(value))
@@ -86,7 +116,13 @@ def marginal_1d(binned: DataFrame, value: str = "value", top_k: int = 20, top_fr
     stats = {"mean": F.avg(value), "median": F.percentile(value, F.lit(0.5)), "std": F.stddev_pop(value), "p25": F.percentile(value, F.lit(0.25)), "p75": F.percentile(value, F.lit(0.75))}
     g = ranked.groupBy("bin", "label").agg(F.count("*").alias("count"), *[F.when(thick, x).alias(c) for c, x in stats.items()], F.count_if(best_k).alias("__k"), F.count_if(best_f).alias("__f"))
     total = F.sum("__k").over(Window.partitionBy())
-    return g.select("bin", "label", "count", *stats, F.try_divide("__f", "count").alias("share"), F.try_divide(F.col("__k"), total).alias("contribution"))
+    share = F.when(F.col("count") >= min_count, F.try_divide("__f", "count"))
+    out = g.select("bin", "label", "count", *stats, share.alias("share"), F.try_divide(F.col("__k"), total).alias("contribution"))
+    if all_bins is None:
+        return out
+    known = all_bins.where("bin IS NOT NULL").select("bin", F.col("label").alias("__label"))
+    kept = known.join(out, "bin", "left").withColumn("label", F.coalesce("label", "__label")).drop("__label")
+    return kept.fillna(0, ["count"]).withColumn("contribution", F.coalesce("contribution", F.when(F.col("count") == 0, 0.0))).select(*out.columns)
 
 
 def marginal_2d(df: DataFrame, a: str, b: str, value: str = "value", bins: int = 4, how: str = "quantile") -> DataFrame:
@@ -198,10 +234,18 @@ def param_importance(trials: DataFrame, params: Sequence[str], value: str = "val
     return out.withColumn("importance", F.try_divide(F.col("eta2"), F.sum("eta2").over(Window.partitionBy())))  # a row a parameter
 
 
-def best_so_far(trials: DataFrame, value: str = "value") -> DataFrame:
-    """Running best value by trial number."""
-    w = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)  # a trial table is small
-    return trials.where("state = 'COMPLETE'").select("number", F.col(value).alias("value"), F.min(value).over(w).alias("best"))
+def best_so_far(trials: DataFrame, value: str = "value", block: int = 100_000) -> DataFrame:
+    """Running best value by trial number.
+
+    A running minimum inside blocks of ``block`` numbers, and the least value of all blocks before: only the block
+    minima, one row a block, meet in one task. Trials without a number come first.
+    """
+    done = trials.where("state = 'COMPLETE'").select("number", F.col(value).alias("value"), F.floor(F.col("number") / block).alias("__b"))
+    inside = Window.partitionBy("__b").orderBy("number").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    minima = done.groupBy("__b").agg(F.min("value").alias("__m")).select(F.col("__b").alias("__k"), F.min("__m").over(earlier).alias("__before"))
+    running = done.withColumn("__r", F.min("value").over(inside)).join(minima, F.col("__b").eqNullSafe(F.col("__k")), "left")
+    return running.select("number", "value", F.least("__r", "__before").alias("best"))
 
 
 def near_best_average(losses: DataFrame, width: int = 1) -> DataFrame:
@@ -227,9 +271,11 @@ def search_space_grid(spark: SparkSession, space: Mapping[str, Sequence]) -> Dat
     return out.withColumn("seed", _seed(text))
 
 
-def search_space_random(spark: SparkSession, n: int, space: Mapping[str, tuple], study: str = "study", base: int = 0) -> DataFrame:
-    """``n`` random configurations: ``space`` maps names to (kind, low, high), kind being int, float or log."""
-    rows = spark.range(n).withColumnRenamed("id", "number")
+def search_space_random(trials: DataFrame, space: Mapping[str, tuple], study: str = "study", base: int = 0) -> DataFrame:
+    """A random configuration for each ``number``: ``space`` maps names to (kind, low, high), kind being int, float or log.
+
+    Draws hash the number, so they do not depend on partitioning or on which other trials there are.
+    """
     columns = []
     for c, (kind, low, high) in space.items():
         name = F.concat_ws(":", F.lit(study), F.lit(c), F.col("number").cast("string"))
@@ -237,4 +283,4 @@ def search_space_random(spark: SparkSession, n: int, space: Mapping[str, tuple],
         x = F.exp(math.log(low) + u * (math.log(high) - math.log(low))) if kind == "log" else low + u * (high - low)
         columns.append((F.floor(low + u * (high - low + 1)) if kind == "int" else x).alias(c))
     seed = _seed(F.concat_ws(":", F.lit(study), F.col("number").cast("string"), F.lit(str(base))))
-    return rows.select("number", *columns, seed.alias("seed"))
+    return trials.select("number", *columns, seed.alias("seed"))

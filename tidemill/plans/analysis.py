@@ -217,7 +217,8 @@ def bin_param(spark, sf):
     "trials",
 )
 def marginal_1d(spark, sf):
-    return rounded(L.marginal_1d(L.bin_param(fx.trials(spark, sf), "params_size")).drop("label"), 4)
+    trials = fx.trials(spark, sf)
+    return rounded(L.marginal_1d(L.bin_param(trials, "params_size"), all_bins=L.bin_list(trials, "params_size")).drop("label"), 4)
 
 
 @query(
@@ -308,15 +309,17 @@ _U = "(CAST('0x' || substr(md5('study:{}:' || number), 1, 8) AS BIGINT) / 429496
 
 
 @query(
-    "WITH n AS (SELECT unnest(generate_series(0, (SELECT count(*) FROM part) - 1)) AS number) SELECT number, CAST(floor(1 + "
-    + _U.format("layers")
-    + " * 8) AS BIGINT) AS layers, round(0.1 + "
-    + _U.format("dropout")
-    + " * (0.5 - 0.1), 6) AS dropout, round(exp(ln(0.0001) + "
+    "WITH b AS (SELECT min(params_size) AS lo, max(params_size) AS hi, min(value) AS low, max(value) AS high FROM trials) SELECT number, CAST(floor(lo + "
+    + _U.format("size")
+    + " * (hi - lo + 1)) AS BIGINT) AS size, round(low + "
+    + _U.format("price")
+    + " * (high - low), 4) AS price, round(exp(ln(low) + "
     + _U.format("rate")
-    + " * (ln(0.1) - ln(0.0001))), 6) AS rate, CAST(CAST('0x' || substr(sha256('study:' || number || ':0'), 1, 16) AS UHUGEINT) % 2147483647 AS BIGINT) AS seed FROM n",
+    + " * (ln(high) - ln(low))), 4) AS rate, CAST(CAST('0x' || substr(sha256('study:' || number || ':0'), 1, 16) AS UHUGEINT) % 2147483647 AS BIGINT) AS seed FROM trials, b WHERE state = 'FAIL'",
+    "trials",
 )
 def search_space_random(spark, sf):
-    """As many random configurations as there are parts."""
-    n = fx.read(spark, sf, "part").count()
-    return rounded(L.search_space_random(spark, n, {"layers": ("int", 1, 8), "dropout": ("float", 0.1, 0.5), "rate": ("log", 0.0001, 0.1)}))
+    """New random configurations for the trials that failed, within the ranges of all trials."""
+    trials = fx.trials(spark, sf)
+    lo, hi, low, high = trials.agg(F.min("params_size"), F.max("params_size"), F.min("value"), F.max("value")).first()
+    return rounded(L.search_space_random(trials.where("state = 'FAIL'"), {"size": ("int", lo, hi), "price": ("float", low, high), "rate": ("log", low, high)}), 4)
