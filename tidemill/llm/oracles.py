@@ -76,3 +76,43 @@ a AS (SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(rep
   FROM c LEFT JOIN rep ON rep.doc_id = c.doc_id LEFT JOIN dc ON dc.doc_id = c.doc_id LEFT JOIN dw ON dw.doc_id = c.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (coalesce(char_distance, 0) > {limits.chars} OR coalesce(word_distance, 0) > {limits.words}) AS kept, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM a
 """
+
+
+def op11(k: int = 16, rounds: int = 3, dim: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """Lloyd's rounds in exact integers, written out; a centroid is a list."""
+    parts = [f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT *, sha256('{seed}:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL) ORDER BY h, v LIMIT {k})"""]
+    near = "SELECT r, vec_id, v.v, min({{'d': list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c}}) AS m FROM v, {c} c GROUP BY ALL"
+    for i in range(rounds):
+        parts.append(f"""n{i} AS ({near.format(c=f"c{i}")}),
+m{i} AS (SELECT c, list(x ORDER BY i) AS v FROM (SELECT c, i, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM (SELECT m.c AS c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM n{i}) GROUP BY 1, 2) GROUP BY 1),
+c{i + 1} AS (SELECT c0.c, coalesce(m.v, c0.v) AS v FROM c{i} c0 LEFT JOIN m{i} m ON m.c = c0.c)""")
+    parts.append(f"n AS ({near.format(c=f'c{rounds}')})")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM n JOIN c{rounds} c ON c.c = n.m.c"""
+
+
+#: Every pair of rows is compared, so this is exact; the query finds at least 0.99 of the links (see the README).
+OP12 = """
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT * FROM t WHERE label IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+link AS (SELECT a.r AS a, b.r AS b, b.vec_id AS id FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+root AS (SELECT reach.a, min(t.vec_id) AS id FROM reach JOIN t ON t.r = reach.b GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT t.vec_id, coalesce(n.n, 0) AS n_links, least(root.id, t.vec_id) AS component_id, least(root.id, t.vec_id) IS NOT DISTINCT FROM t.vec_id AS kept
+FROM t LEFT JOIN n ON n.a = t.r LEFT JOIN root ON root.a = t.r
+"""
+
+OP13 = """
+WITH t AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM t a JOIN t b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, id) AS w FROM s WHERE same) WHERE w <= 5),
+n AS (SELECT p.a, p.w, p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.a, p.w ORDER BY s.score DESC, s.id) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""

@@ -106,6 +106,25 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest", "content_length", headers.alias("headers"), F.col("block").cast("string").alias("content"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .clustering import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_duplicates
+
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -118,10 +137,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": op8_line_dedup,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_warc": op10_warc,
+        "op11_clustering": op11_clustering,
+        "op12_embedding_dedup": op12_embedding_dedup,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracles import OP3, OP8, op5
+    from .oracles import OP3, OP8, OP12, OP13, op5, op11
 
-    return {"op3_decontamination": OP3, "op5_quality_rules": op5(), "op8_line_dedup": OP8}
+    return {"op3_decontamination": OP3, "op5_quality_rules": op5(), "op8_line_dedup": OP8, "op11_clustering": op11(), "op12_embedding_dedup": OP12, "op13_hard_negatives": OP13}
