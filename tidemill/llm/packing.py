@@ -2,7 +2,7 @@
 
 Documents are tokenized where they lie; only piece lengths and checksums move on. Pieces are dealt into
 blocks of about ``BLOCK`` pieces by a hash, so no key decides a task's size. Every block is solved by
-``islands`` populations, which start from best fit in random order: a crossover injects whole well-filled bins
+``islands`` populations, which start from best fit in decreasing and in random order: a crossover injects whole well-filled bins
 of one parent into another, removes the documents that then occur twice, and places displaced documents by
 best fit. Between epochs each island
 sends its elite to the next island of its block, as rows through a shuffle. Bins that the blocks leave
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, free_name
 from .tokens import encoder, ids_crc32
 
 CAPACITY = 2048
@@ -116,21 +116,24 @@ def mutated(sizes: np.ndarray, bins: list[list[int]], rng: np.random.Generator,
     return kept
 
 
-def seed(sizes: np.ndarray, rng: np.random.Generator, capacity: int) -> list[list[int]]:
-    """A packing to start from: best fit in a random order."""
+def seed(sizes: np.ndarray, rng: np.random.Generator | None, capacity: int) -> list[list[int]]:
+    """A packing to start from: best fit in a random order, or of the largest first."""
     bins: list[list[int]] = []
-    best_fit(sizes, rng.permutation(len(sizes)).tolist(), bins, [], capacity, decreasing=False)
+    order = list(range(len(sizes))) if rng is None else rng.permutation(len(sizes)).tolist()
+    best_fit(sizes, order, bins, [], capacity, decreasing=rng is None)
     return bins
 
 
 def evolve(sizes: np.ndarray, elite: list[list[list[int]]], number: int, generations: int, capacity: int, population: int = POPULATION) -> list[list[int]]:
     """The best packing of an island after some generations, from ``elite`` packings and seeds.
 
-    It ends early only with as few bins as the total of the sizes needs. Parents are the better of two.
+    One of the seeds is best fit of the largest first, so no result takes more bins than that. It ends early only with
+    as few bins as the total of the sizes needs. Parents are the better of two.
     """
     rng = np.random.default_rng(number)
     least = -(-int(sizes.sum()) // capacity)
-    people = [list(p) for p in elite] + [seed(sizes, rng, capacity) for _ in range(population - len(elite))]
+    people = [list(p) for p in elite] or [seed(sizes, None, capacity)]
+    people += [seed(sizes, rng, capacity) for _ in range(population - len(people))]
     people = sorted(((fitness(_room(sizes, p, capacity)), i, p) for i, p in enumerate(people)), reverse=True)[:population]
     born = len(people)
     for _ in range(generations):
@@ -198,8 +201,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
     """Adds ``sequence_id`` and ``offset`` to ``pieces`` (a column ``length`` of 1..capacity; others are kept).
 
     Sequences hold at most ``capacity``; inside one, pieces lie without gaps from offset 0, longest first. Rows
-    that repeat are packed each, null ids like any other. An empty table stays empty.
+    that repeat are packed each, null ids like any other. Columns of any names are kept; where one is called like a new
+    one, the new one's name gets an underscore. An empty table stays empty.
     """
+    named = [*pieces.columns, free_name("sequence_id", pieces.columns)]
+    named.append(free_name("offset", named))
+    # names of one's own, so that none clashes with those of the packing
+    pieces = pieces.toDF(*[c if c == "length" else f"c{i}" for i, c in enumerate(pieces.columns)])
     columns = pieces.columns
     whole = pieces.where(F.col("length") == capacity).select(*columns, F.lit("w").alias("round"), F.monotonically_increasing_id().alias("block"), F.lit(0).cast("long").alias("bin"))
     rest = pieces.where(F.col("length") < capacity)
@@ -216,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
     # block numbers and bins are under 2**38 and 2**13 for the packed rounds
     number = F.when(rounds == 0, F.shiftleft("block", 2)).otherwise(F.shiftleft("block", 15) + F.shiftleft("bin", 2) + rounds)
     place = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *[c for c in columns if c != "length"])
-    return packed.withColumn("sequence_id", number).withColumn("offset", F.sum("length").over(place.rowsBetween(Window.unboundedPreceding, -1))).select(*columns, "sequence_id", F.coalesce("offset", F.lit(0).cast("long")).alias("offset"))
+    return packed.withColumn("sequence_id", number).withColumn("offset", F.sum("length").over(place.rowsBetween(Window.unboundedPreceding, -1))).select(*columns, "sequence_id", F.coalesce("offset", F.lit(0).cast("long"))).toDF(*named)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,8 @@ of the chain keys the candidates:
 The longer prefixes of the chain are checked one after the other, and only survivors meet the full Hamming
 check. For wide budgets, which unrelated texts meet by chance, fingerprints have further 64-bit words that
 are checked last, and texts whose numbers of distinct shingles differ too much for the similarity are never
-compared.
+compared. Where fingerprints only guess at a Jaccard similarity, their limits are loose and the shingles of both
+texts of a link are compared exactly.
 
 Equal fingerprints are one node. A key with many nodes is cut into blocks that meet pairwise in tasks of
 bounded size, and each task emits a spanning forest of the links it finds, never all pairs. In a crowded cell a
@@ -80,17 +81,22 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 class Likeness:
     """When two texts are linked: ``max_bits`` of the first word of their fingerprints, and ``all_bits`` of all ``words``.
 
-    ``size_ratio`` bounds how the numbers of distinct shingles may differ (0: no bound).
+    ``size_ratio`` bounds how the numbers of distinct shingles may differ (0: no bound). With ``jaccard`` a link holds
+    only if the sets of shingles are so similar; texts that differ in ``sure_bits`` at most hardly ever are not.
     """
 
     max_bits: int = MAX_BITS
     words: int = 1
     all_bits: int = MAX_BITS
     size_ratio: float = 0.0
+    jaccard: float = 0.0
+    sure_bits: int = 0
 
 
-#: A Jaccard similarity of 0.8 or more, as 256 bits tell it: at 0.8, 39 bits differ on average.
-FOUR_FIFTHS = Likeness(max_bits=14, words=4, all_bits=44, size_ratio=0.8)
+#: A Jaccard similarity of 0.8 or more. At 0.8, 39 of 256 bits differ on average, with a deviation of 6.
+FOUR_FIFTHS = Likeness(max_bits=14, words=4, all_bits=52, size_ratio=0.8, jaccard=0.8, sure_bits=24)
+#: Links of one text that are verified in one task at most.
+VERIFIED = 256
 
 
 def sketch(text: bytes, shingle: int, words: int) -> tuple[int, bytes, int]:
@@ -182,8 +188,8 @@ class Cell:
         self.fp, self.more, self.size, self.flip, self.side, self.chain, self.like = fp, more, size, flip, side, chain, like
         self.two_sides = side.min() != side.max()
 
-    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Which of the pairs are linked."""
+    def near(self, i: np.ndarray, j: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs differ in at most ``limit`` bits of all, and in how many."""
         good = np.arange(len(i))
         differ = self.fp[i] ^ self.fp[j]
         for mask, most in self.chain:
@@ -192,25 +198,53 @@ class Cell:
         i, j = i[good], j[good]
         keep = np.minimum(self.size[i], self.size[j]) >= self.like.size_ratio * np.maximum(self.size[i], self.size[j])
         total = np.bitwise_count(differ) + np.bitwise_count(self.more[i] ^ self.more[j]).sum(axis=1, dtype=np.int64)
-        return good[keep & (total <= self.like.all_bits)]
+        keep &= total <= limit
+        return good[keep], total[keep]
 
-    def links(self, rows: int = 128) -> list[tuple[int, int]]:
-        """Index pairs: a spanning forest of the links in the cell."""
+    def links(self) -> list[tuple[int, int]]:
+        """Index pairs: a spanning forest of the links in the cell, the closest pairs first if they are to be verified."""
         n = len(self.fp)
         # segments that are equal meet where nothing is flipped
         if n < 2 or self.flip.min() == self.flip.max() > 0:
             return []
-        forest, rest = _Forest(n), np.arange(n)
+        forest, like = _Forest(n), self.like
+        if not like.jaccard:
+            self._join(forest, like.all_bits)
+            return forest.links
+        self._join(forest, like.sure_bits)
+        labels, count = np.unique(forest.label, return_counts=True)
+        rest = np.flatnonzero(forest.label != labels[count.argmax()])
+        found = list(self._pairs(forest, rest, like.all_bits))
+        if found:
+            i, j, bits = (np.concatenate(x) for x in zip(*found, strict=True))
+            for k in np.argsort(bits, kind="stable"):
+                forest.join(int(i[k]), j[k : k + 1])
+        return forest.links
+
+    def _join(self, forest: _Forest, limit: int) -> None:
+        """Join all pairs within ``limit``."""
+        n, rest = len(self.fp), np.arange(len(self.fp))
         if n > PIVOT_CELL:
             for _ in range(PIVOTS):
                 i = int(rest[0])
                 others = np.flatnonzero(forest.label != forest.label[i])
-                forest.join(i, others[self.near(np.full(len(others), i), others)])
+                forest.join(i, others[self.near(np.full(len(others), i), others, limit)[0]])
                 labels, count = np.unique(forest.label, return_counts=True)
                 rest = np.flatnonzero(forest.label != labels[count.argmax()])
                 if not len(rest):
-                    return forest.links
+                    return
                 rest = np.roll(rest, -(len(rest) // 2))
+        for i, j, _ in self._pairs(forest, rest, limit):
+            by = np.argsort(i, kind="stable")
+            i, j = i[by], j[by]
+            cuts = np.flatnonzero(np.diff(i)) + 1
+            for x, y in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(i)]]), strict=True):
+                if y > x:
+                    forest.join(int(i[x]), j[x:y])
+
+    def _pairs(self, forest: _Forest, rest: np.ndarray, limit: int, rows: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of a node of ``rest`` with any other that are within ``limit`` and not joined yet, with their bits."""
+        n = len(self.fp)
         order = np.argsort(self.size, kind="stable")
         sizes, waits = self.size[order], np.zeros(n, bool)
         waits[rest] = True
@@ -229,15 +263,8 @@ class Cell:
             if self.two_sides:
                 keep &= self.side[i] != self.side[j]
             i, j = i[keep], j[keep]
-            good = self.near(i, j)
-            i, j = i[good], j[good]
-            by = np.argsort(i, kind="stable")
-            i, j = i[by], j[by]
-            cuts = np.flatnonzero(np.diff(i)) + 1
-            for x, y in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(i)]]), strict=True):
-                if y > x:
-                    forest.join(int(i[x]), j[x:y])
-        return forest.links
+            good, bits = self.near(i, j, limit)
+            yield i[good], j[good], bits
 
 
 def links(nodes: DataFrame, like: Likeness = Likeness(), block: int = BLOCK) -> DataFrame:
@@ -283,10 +310,50 @@ def links(nodes: DataFrame, like: Likeness = Likeness(), block: int = BLOCK) ->
         pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    ordered = cells.repartition("s", "key", "a", "b").sortWithinPartitions("s", "key", "a", "b")
+    # links to verify go to the least nodes of a cell, so that cells find the same ones
+    ordered = cells.repartition("s", "key", "a", "b").sortWithinPartitions("s", "key", "a", "b", *["node"] * bool(like.jaccard))
     return ordered.mapInArrow(run, "u bigint, v bigint")
 
 
+def verified(edges: DataFrame, texts: DataFrame, shingle: int, jaccard: float) -> DataFrame:
+    """Those of ``edges`` (``u``, ``v``) whose texts (``node``, ``text``) have a Jaccard similarity of ``jaccard`` of their shingles.
+
+    A text meets its partners in tasks of at most VERIFIED of them, so its shingles are sent once a task.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                sets = [np.unique(shingles(t or b"", shingle).astype(np.uint64)).tobytes() for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, mine = None, np.empty(0, np.uint64)
+        for batch in batches:
+            found = []
+            for u, v, data in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if v is None:
+                    own, mine = u, np.frombuffer(data, np.uint64)
+                    continue
+                assert own == u
+                other = np.frombuffer(data, np.uint64)
+                common = len(np.intersect1d(mine, other, assume_unique=True))
+                if common >= jaccard * (len(mine) + len(other) - common):
+                    found.append((u, v))
+            yield pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    edges = durable(edges, "candidates")
+    sets = durable(texts.mapInArrow(hashed, "node bigint, hashes binary"), "shingles")
+    salts = edges.groupBy("u").agg(F.ceil(F.count("*") / VERIFIED).alias("salts"))
+    dealt = edges.join(salts, "u").withColumn("salt", F.pmod(F.xxhash64("v"), "salts"))
+    partners = dealt.join(sets, F.col("v") == F.col("node")).select("u", "salt", "v", "hashes")
+    owners = dealt.select("u", "salt").distinct().join(sets, F.col("u") == F.col("node")).select("u", "salt", F.lit(None).cast("bigint").alias("v"), "hashes")
+    ordered = owners.unionByName(partners).repartition("u", "salt").sortWithinPartitions("u", "salt", F.asc_nulls_first("v"))
+    return ordered.select("u", "v", "hashes").mapInArrow(compared, "u bigint, v bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", like: Likeness = Likeness(), shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: id, ``fp`` and ``component_id``, the least id reachable by links.
 
@@ -298,8 +365,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = durable(fingerprints(docs, id_col, text_col, shingle, like.words), "fingerprints")
     nodes = prints.groupBy(*same).agg(F.min("id").alias("least"), F.count("*").alias("n"))
     nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = components(links(nodes, like, block))
-    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select(*same, "n", "component_id")
+    edges = links(nodes, like, block)
+    if like.jaccard:
+        edges = durable(edges, "links")
+        ends = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+        # a text for each node: that of its least id
+        wanted = nodes.join(ends, "node", "left_semi").select("node", "least")
+        ids = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        edges = verified(edges, ids.join(wanted, F.col("id").eqNullSafe(F.col("least"))).select("node", "text").dropDuplicates(["node"]), shingle, like.jaccard)
+    roots = components(edges)
+    named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumnRenamed("n", "rows")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    # one component may hold most of the nodes
+    named = join_counted(named, least, ["root"], nodes.count()).select(*same, F.col("rows").alias("n"), "component_id")
     return join_counted(prints, named, same, prints.count()).select(F.col("id").alias(id_col), "fp", "component_id")

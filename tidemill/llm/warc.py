@@ -14,6 +14,7 @@ import html
 import re
 import uuid
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,11 +26,14 @@ NAMESPACE = uuid.UUID("6f1c2a52-6a7a-5c0b-8a37-0d6b1a3f7f11")
 DEFAULT_DATE = "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg|iframe|head|nav)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: Comments and elements whose content is no markup: they end with the page if they are not closed.
+_RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+#: Elements that are not shown; of one that is not closed, only the tag goes.
+_HIDDEN = re.compile(r"<(/?)(template|noscript|svg|iframe|nav)\b[^>]*>", re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|\Z)", re.I | re.S)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_BREAK = re.compile(r"<(?:/?(?:p|div|article|section|header|footer|main|aside|h[1-6]|ul|ol|li|table|tr|td|th|thead|tbody|blockquote|pre|form|figure|dl|dt|dd)|br|hr)\b[^>]*>", re.I)
+_BREAK = re.compile(r"<(?:/?(?:p|div|article|section|header|footer|main|aside|h[1-6]|ul|ol|li|table|tr|td|th|thead|tbody|blockquote|pre|form|figure|dl|dt|dd|nav|svg|iframe|template|noscript)|br|hr)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[A-Za-z/!?][^>]*(?:>|\Z)")
 _BLANK = re.compile(r"[^\S\n]+")
 
@@ -43,9 +47,29 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, '|'.join(parts))}>"
 
 
+def _shown(page: str) -> str:
+    """The page without hidden elements."""
+    tags = list(_HIDDEN.finditer(page))
+    closed: dict[str, list[tuple[int, int]]] = {}
+    for m in tags:
+        if m[1]:
+            closed.setdefault(m[2].lower(), []).append(m.span())
+    out, at = [], 0
+    for m in tags:
+        ends = closed.get(m[2].lower(), [])
+        k = bisect_left(ends, m.span())
+        if not m[1] and m.start() >= at and k < len(ends):
+            out.append(page[at : m.start()])
+            at = ends[k][1]
+    return " ".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
-    """Visible text of an HTML page: one line a block, runs of blanks as one space, entities resolved."""
-    text = _TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page)))
+    """Visible text of an HTML page: one line a block, runs of blanks as one space, entities resolved.
+
+    Tags that HTML lets out, as </head>, and elements that are never closed lose no text but scripts, styles and titles.
+    """
+    text = _TAG.sub("", _BREAK.sub("\n", _shown(_RAW.sub(" ", page))))
     lines = (_BLANK.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -88,46 +112,67 @@ HTML_TYPES, TEXT_TYPES = ("text/html", "application/xhtml+xml"), ("text/plain",)
 _META = re.compile(rb"<meta\b[^>]*?\bcharset\s*=\s*[\"']?([A-Za-z0-9_:.-]+)", re.I)
 
 
-def _dechunked(data: bytes) -> bytes:
-    """The body of a chunked transfer; what follows a malformed chunk size is left out."""
+def _dechunked(data: bytes) -> tuple[bytes, bool]:
+    """The body of a chunked transfer, and whether it is well formed; what follows a bad chunk size stays as it is."""
     out, at = [], 0
     while (end := data.find(b"\r\n", at)) >= 0:
-        try:
-            size = int(data[at:end].split(b";")[0], 16)
-        except ValueError:
+        size = data[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]+", size):
             break
-        if not size:
+        n = int(size, 16)
+        if not n:
+            return b"".join(out), True
+        out.append(data[end + 2 : end + 2 + n])
+        at = end + 4 + n
+        if end + 2 + n > len(data):
+            return b"".join(out), False
+    return b"".join([*out, data[at:]]), False
+
+
+def _inflated(data: bytes, coding: str) -> bytes:
+    """gzip (of one or many members) or deflate undone; raises ``zlib.error``."""
+    out = []
+    while data:
+        bits = -15 if coding == "deflate" and data[:1] != b"\x78" else 47
+        z = zlib.decompressobj(bits)
+        out.append(z.decompress(data))
+        data = z.unused_data if coding != "deflate" else b""
+        if data[:2] != b"\x1f\x8b":
             break
-        out.append(data[end + 2 : end + 2 + size])
-        at = end + 4 + size
     return b"".join(out)
 
 
-def body(headers: list[tuple[str, str]], payload: bytes) -> tuple[str, str]:
-    """Media type and decoded text of an HTTP response: transfer and content encodings undone, charset as declared.
+def body(headers: list[tuple[str, str]], payload: bytes) -> tuple[str, str | None, list[str]]:
+    """Media type, decoded text and what could not be undone of an HTTP response.
 
-    A response without a type counts as HTML; bodies that cannot be inflated, and types without text, are ''.
+    Transfer and content encodings are undone from the last to the first, the charset is the declared one or UTF-8
+    where there is no such text encoding. A response without a type counts as HTML. The text is None for media types
+    without text and where an encoding is unknown (br, say), and '' where a known one is malformed.
     """
     named = {k.lower(): v for k, v in headers}
     kind, _, rest = named.get("content-type", "text/html").partition(";")
     kind = kind.strip().lower()
     if kind not in HTML_TYPES + TEXT_TYPES:
-        return kind, ""
+        return kind, None, []
+    problems = []
     if "chunked" in named.get("transfer-encoding", "").lower():
-        payload = _dechunked(payload)
-    coding = named.get("content-encoding", "").strip().lower()
-    if coding in ("gzip", "x-gzip", "deflate"):
+        payload, good = _dechunked(payload)
+        problems += [] if good else ["malformed chunked"]
+    codings = [c for c in re.split(r"[,\s]+", named.get("content-encoding", "").lower()) if c and c != "identity"]
+    for coding in reversed(codings):
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            return kind, None, [*problems, f"unknown {coding}"]
         try:
-            payload = zlib.decompressobj(47 if coding != "deflate" or payload[:1] == b"\x78" else -15).decompress(payload)
+            payload = _inflated(payload, coding)
         except zlib.error:
-            payload = b""
+            return kind, "", [*problems, f"malformed {coding}"]
     declared = re.search(r"charset\s*=\s*[\"']?([\w:.-]+)", rest, re.I)
     meta = None if declared else _META.search(payload[:4096])
     charset = declared[1] if declared else meta[1].decode() if meta else "utf-8"
     try:
-        return kind, payload.decode(charset, "replace")
-    except LookupError:
-        return kind, payload.decode("utf-8", "replace")
+        return kind, payload.decode(charset, "replace"), problems
+    except (LookupError, ValueError):  # no text encoding, or one that cannot decode at all
+        return kind, payload.decode("utf-8", "replace"), [*problems, f"unknown {charset}"]
 
 
 #: Columns of a record; ``key`` names the row that it comes from.
@@ -152,7 +197,8 @@ def _batch(keys: pa.Array, rows: list[int], records: list[dict]) -> pa.RecordBat
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DEFAULT_DATE) -> DataFrame:
     """Response records of fetched pages: column ``key`` (the page's id) and the record's columns.
 
-    The block is an HTTP response with the page as UTF-8 payload. Null pages and urls count as empty.
+    The block is an HTTP response with the page as UTF-8 payload. Null pages and urls count as empty. Pages that
+    repeat have a record each, with equal ids; an empty table gives no records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +221,10 @@ def derivatives(records: DataFrame) -> DataFrame:
 
     Both refer to the response and carry its URI, date and payload digest (``WARC-Source-*``), and its HTTP
     headers (``HTTP-*``). The conversion's block is the visible text of an HTML page, or a plain text as it is;
-    responses of other media types (images, say) have a metadata record only. Responses that repeat are each
-    converted; null blocks count as empty pages; an empty table gives no records.
+    responses of other media types (images, say), and those with an unknown content encoding, have a metadata record
+    only. Encodings and charsets that could not be undone are named in the metadata (``undecoded``). Responses that
+    repeat are each converted; null blocks count as empty pages; very long blocks are handled whole, one at a time;
+    an empty table gives no records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +235,14 @@ def derivatives(records: DataFrame) -> DataFrame:
                 for r, (name, uri, of_payload, headers, block) in enumerate(zip(*(part.column(c).to_pylist() for c in range(1, 6)), strict=True)):
                     head, _, payload = (block or b"").partition(b"\r\n\r\n")
                     fields = [(k.strip(), v.strip()) for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split(CRLF)[1:])]
-                    (media, page), uri = body(fields, payload), uri or ""
+                    (media, page, problems), uri = body(fields, payload), uri or ""
                     date = next((h["value"] for h in headers or () if h["name"] == "WARC-Date"), DEFAULT_DATE)
                     source = [("WARC-Source-URI", uri), ("WARC-Source-Date", date), ("WARC-Source-Payload-Digest", of_payload or digest(payload))]
                     source += [(f"HTTP-{k}", v) for k, v in fields]
-                    facts_of = facts(page) if media in HTML_TYPES else []
+                    facts_of = (facts(page or "") if media in HTML_TYPES else []) + [("undecoded", x) for x in problems]
                     rows.append(r)
                     found.append(_record("metadata", record_id("metadata", name or ""), name, uri, date, "application/warc-fields", block_of(facts_of), None, source))
-                    if media not in HTML_TYPES + TEXT_TYPES:
+                    if page is None:
                         continue
                     text = (plain_text(page) if media in HTML_TYPES else page).encode()
                     rows.append(r)
