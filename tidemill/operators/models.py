@@ -6,6 +6,7 @@ None is a clone of a library's maximum-likelihood fit: see the notes at each fun
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,17 @@ from .backtest import hours_between
 from .decompose import add_annual, mstl, remove_annual
 from .panel import DS, ID, hours, series_window
 from .transforms import transform_target
+from .window_sums import window_sums
 
 #: Smoothing candidates: level, trend and damping; no trend where beta is null.
 ALPHAS, BETAS, PHIS = (0.1, 0.3, 0.5, 0.8), (None, 0.05, 0.2), (1.0, 0.9)
 
 
+def z_of(level: float) -> float:
+    """Half width of a two-sided interval of ``level`` percent, in deviations."""
+    return NormalDist().inv_cdf(0.5 + level / 200)
+
+
 def relative(df: DataFrame, cutoffs: DataFrame, first: int, last: int) -> DataFrame:
     """Rows of ``df`` from ``first`` to ``last`` hours after each cutoff of their series: adds ``cutoff`` and ``step``.
 
@@ -61,7 +68,7 @@ def ets_fit(context: DataFrame) -> DataFrame:
     """Exponential smoothing without season: simple, linear and damped candidates on a small grid, best AICc.
 
     The recursion is the SQL function ``aggregate`` over the context array; every candidate of every series is a
-    row: unique_id, cutoff, alpha, beta (null without trend), phi, level, trend, aicc.
+    row: unique_id, cutoff, alpha, beta (null without trend), phi, level, trend, aicc, sigma2.
     """
     spark = context.sparkSession
     grid = [(a, b, p) for a in ALPHAS for b in BETAS for p in PHIS if b is not None or p == 1.0]
@@ -71,20 +78,21 @@ def ets_fit(context: DataFrame) -> DataFrame:
     n = (F.size("context") - 1).cast("double")
     k = F.when(F.col("beta").isNull(), 3.0).when(F.col("phi") == 1.0, 5.0).otherwise(6.0)
     aicc = n * F.ln(F.greatest(F.col("s.sse"), F.lit(1e-12)) / n) + 2 * k + 2 * k * (k + 1) / F.greatest(n - k - 1, F.lit(1.0))
-    best = fitted.withColumn("aicc", aicc).groupBy(ID, "cutoff").agg(F.min_by(F.struct("alpha", "beta", "phi", F.col("s.l").alias("level"), F.col("s.b").alias("trend"), "aicc"), F.struct("aicc", "alpha", "beta", "phi")).alias("m"))
+    best = fitted.withColumn("aicc", aicc).groupBy(ID, "cutoff").agg(F.min_by(F.struct("alpha", "beta", "phi", F.col("s.l").alias("level"), F.col("s.b").alias("trend"), "aicc", (F.col("s.sse") / F.greatest(n - k, F.lit(1.0))).alias("sigma2")), F.struct("aicc", "alpha", "beta", "phi")).alias("m"))
     return best.select(ID, "cutoff", "m.*")
 
 
 def ets_forward(context: DataFrame, fit: DataFrame) -> DataFrame:
     """States after other contexts under fixed parameters: ``fit`` has one row a series, with alpha, beta and phi.
 
-    Returns what ``ets_fit`` returns, without refitting, and ``levels``, the level after each value of the context.
+    Returns level and trend after each context without refitting, ``sigma2``, the mean squared error of one step over
+    the context (that of ``fit``, if it has one), and ``levels``, the level after each value of the context.
     """
-    params = fit.select(ID, "alpha", "beta", "phi")
+    given = "sigma2" in fit.columns
+    params = fit.select(ID, "alpha", "beta", "phi", *["sigma2"] * given)
     rows = context.where(F.size("context") >= 4).join(params, ID)
-    named = {c: F.col(c) for c in ("alpha", "beta", "phi")}
-    upto = F.transform(F.sequence(F.lit(2), F.size("context")), lambda n: n)
-    rows = rows.withColumn("s", _smoothing(named))
+    rows = rows.withColumn("s", _smoothing({c: F.col(c) for c in ("alpha", "beta", "phi")}))
+    sigma2 = F.col("sigma2") if given else F.col("s.sse") / (F.size("context") - 1)
     # levels follow from the recursion once more, which keeps its path
     first = F.struct(F.get("context", F.lit(0)).cast("double").alias("l"), F.when(F.col("beta").isNotNull(), F.get("context", F.lit(1)) - F.get("context", F.lit(0))).otherwise(0.0).cast("double").alias("b"), F.array(F.get("context", F.lit(0)).cast("double")).alias("path"))
 
@@ -94,29 +102,41 @@ def ets_forward(context: DataFrame, fit: DataFrame) -> DataFrame:
         level = guess + F.col("alpha") * e
         return F.struct(level.alias("l"), (F.col("phi") * s["b"] + F.col("alpha") * F.coalesce("beta", F.lit(0.0)) * e).alias("b"), F.array_append(s["path"], level).alias("path"))
 
-    levels = F.aggregate(upto, first, step, lambda s: s["path"])
-    return rows.select(ID, "cutoff", "alpha", "beta", "phi", F.col("s.l").alias("level"), F.col("s.b").alias("trend"), levels.alias("levels"))
+    levels = F.aggregate(F.sequence(F.lit(2), F.size("context")), first, step, lambda s: s["path"])
+    return rows.select(ID, "cutoff", "alpha", "beta", "phi", F.col("s.l").alias("level"), F.col("s.b").alias("trend"), sigma2.alias("sigma2"), levels.alias("levels"))
 
 
-def ets_steps(fit: DataFrame, horizon: int, name: str = "ETS") -> DataFrame:
-    """Forecasts from fitted states: unique_id, cutoff, step, yhat, model."""
-    h = F.col("step")
-    damped = F.when(F.col("phi") == 1.0, h.cast("double")).otherwise(F.col("phi") * (1 - F.pow("phi", h)) / (1 - F.when(F.col("phi") != 1.0, F.col("phi"))))
-    out = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
-    return out.select(ID, "cutoff", "step", (F.col("level") + damped * F.col("trend")).alias("yhat"), F.lit(name).alias("model"))
+def _damped(h: Column) -> Column:
+    """phi + phi ** 2 + ... + phi ** h."""
+    return F.when(F.col("phi") == 1.0, h.cast("double")).otherwise(F.col("phi") * (1 - F.pow("phi", h)) / (1 - F.when(F.col("phi") != 1.0, F.col("phi"))))
 
 
-def ets_trend(context: DataFrame, horizon: int, name: str = "ETS") -> DataFrame:
-    """Forecasts of the best smoothing candidate of each context: unique_id, cutoff, step, yhat, model."""
-    return ets_steps(ets_fit(context), horizon, name)
+def ets_variance(h: Column) -> Column:
+    """Variance of a forecast ``h`` steps ahead from alpha, beta, phi and sigma2, for additive errors.
 
+    An error moves the forecast j steps later by c(j) = alpha + alpha * beta * (phi + ... + phi ** j), so the variance is
+    sigma2 * (1 + c(1) ** 2 + ... + c(h - 1) ** 2).
+    """
+    trend = F.col("alpha") * F.coalesce("beta", F.lit(0.0))
+    past = F.when(h > 1, F.sequence(F.lit(1), h - 1)).otherwise(F.array().cast("array<int>"))
+    return F.col("sigma2") * F.aggregate(past, F.lit(1.0), lambda s, j: s + F.pow(F.col("alpha") + trend * _damped(j), F.lit(2)))
 
-def mstl_forecast(df: DataFrame, cutoffs: DataFrame, horizon: int, periods: Sequence[int] = (24, 168), windows: Sequence[int] = (11, 15), length: int = 504, name: str = "MSTL") -> DataFrame:
-    """Decompose the context of each (series, cutoff), smooth trend + remainder, repeat the last seasons.
 
-    Only the decomposition is Python, a row at a time; smoothing and seasons are expressions.
-    """
-    arrays = contexts(df, cutoffs, length)
+def ets_steps(fit: DataFrame, horizon: int, name: str = "ETS", levels: Sequence[int] = ()) -> DataFrame:
+    """Forecasts from fitted states: unique_id, cutoff, step, yhat, model, and ``lo-L`` and ``hi-L`` for each level in percent."""
+    out = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
+    yhat, sd = F.col("level") + _damped(F.col("step")) * F.col("trend"), F.sqrt(ets_variance(F.col("step"))) if levels else None
+    ends = [(yhat + sign * z_of(level) * sd).alias(f"{side}-{level}") for level in levels for side, sign in (("lo", -1), ("hi", 1))]
+    return out.select(ID, "cutoff", "step", yhat.alias("yhat"), F.lit(name).alias("model"), *ends)
+
+
+def ets_trend(context: DataFrame, horizon: int, name: str = "ETS", levels: Sequence[int] = ()) -> DataFrame:
+    """Forecasts of the best smoothing candidate of each context: unique_id, cutoff, step, yhat, model, and intervals (see ``ets_steps``)."""
+    return ets_steps(ets_fit(context), horizon, name, levels)
+
+
+def mstl_parts(df: DataFrame, cutoffs: DataFrame, horizon: int, periods: Sequence[int] = (24, 168), windows: Sequence[int] = (11, 15), length: int = 504) -> DataFrame:
+    """Of the context of each (series, cutoff): trend + remainder as ``context``, and the seasons ahead as ``season``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -130,24 +150,42 @@ def mstl_forecast(df: DataFrame, cutoffs: DataFrame, horizon: int, periods: Sequ
                 out.append((getattr(r, ID), r.cutoff, (y - sum(parts)).tolist(), np.asarray(ahead, float).tolist()))
             yield pd.DataFrame(out, columns=[ID, "cutoff", "context", "season"])
 
-    parts = arrays.mapInPandas(run, f"{ID} string, cutoff timestamp_ntz, context array<double>, season array<double>")
-    smooth = ets_trend(parts.select(ID, "cutoff", "context"), horizon, name)
+    return contexts(df, cutoffs, length).mapInPandas(run, f"{ID} string, cutoff timestamp_ntz, context array<double>, season array<double>")
+
+
+def mstl_steps(parts: DataFrame, fit: DataFrame, horizon: int, name: str = "MSTL", levels: Sequence[int] = ()) -> DataFrame:
+    """Forecasts of the smoothed trend + remainder (``fit``: its states) with the seasons of ``mstl_parts``; seasons move intervals as they are."""
+    smooth = ets_steps(fit, horizon, name, levels)
     seasons = parts.select(ID, "cutoff", F.posexplode("season").alias("i", "s")).withColumn("step", F.col("i") + 1)
-    return smooth.join(seasons, [ID, "cutoff", "step"]).select(ID, "cutoff", "step", (F.col("yhat") + F.col("s")).alias("yhat"), "model")
+    ends = [f"{side}-{level}" for level in levels for side in ("lo", "hi")]
+    return smooth.join(seasons, [ID, "cutoff", "step"]).select(ID, "cutoff", "step", (F.col("yhat") + F.col("s")).alias("yhat"), "model", *[(F.col(f"`{c}`") + F.col("s")).alias(c) for c in ends])
+
+
+def mstl_forecast(df: DataFrame, cutoffs: DataFrame, horizon: int, periods: Sequence[int] = (24, 168), windows: Sequence[int] = (11, 15), length: int = 504, name: str = "MSTL", levels: Sequence[int] = ()) -> DataFrame:
+    """Decompose the context of each (series, cutoff), smooth trend + remainder, repeat the last seasons.
+
+    Only the decomposition is Python, a row at a time; smoothing, its intervals and seasons are expressions.
+    """
+    parts = mstl_parts(df, cutoffs, horizon, periods, windows, length)
+    return mstl_steps(parts, ets_fit(parts.select(ID, "cutoff", "context")), horizon, name, levels)
 
 
 def mstl_on_scale(df: DataFrame, cutoffs: DataFrame, horizon: int, kind: str = "none", lambdas: DataFrame | None = None, season: DataFrame | None = None, **kw) -> DataFrame:
-    """``mstl_forecast`` on a transformed scale without the annual season, and back: unique_id, cutoff, step, yhat, model.
+    """``mstl_forecast`` on a transformed scale without the annual season, and back: unique_id, cutoff, step, yhat, model, intervals.
 
     The target is transformed (``kind``, ``lambdas``), the daily seasonal values of ``season`` (on that scale, from
-    days before the cutoffs) are subtracted; forecasts get the value of the day a year before added and are inverted.
+    days before the cutoffs) are subtracted; forecasts and the ends of intervals get the value of the day a year before
+    added and are inverted.
     """
     scaled = transform_target(df, kind, lambdas)
     found = mstl_forecast(scaled if season is None else remove_annual(scaled, season), cutoffs, horizon, **kw)
+    values = [c for c in found.columns if c not in (ID, "cutoff", "step", "model")]
     if season is not None:
         dated = found.withColumn(DS, F.col("cutoff") + hours(F.col("step")))
-        found = add_annual(dated, season, ["yhat"]).drop(DS)
-    return transform_target(found, kind, lambdas, "yhat", inverse=True)
+        found = add_annual(dated, season, values).drop(DS)
+    for c in values:
+        found = transform_target(found, kind, lambdas, c, inverse=True)
+    return found
 
 
 def regression_rows(df: DataFrame, lags: Sequence[int], exog: Sequence[str] = (), k_day: int = 2, k_week: int = 1) -> tuple[DataFrame, list[str]]:
@@ -166,12 +204,13 @@ def regression_rows(df: DataFrame, lags: Sequence[int], exog: Sequence[str] = ()
 def normal_equations(rows: DataFrame, names: Sequence[str], plan: DataFrame, input_size: int) -> DataFrame:
     """Sums of products of regressors over each training slice, one row per (unique_id, cutoff).
 
-    ``xtx`` is the upper triangle row by row, ``xty`` and ``yty`` go with it. Rows shrink to a few numbers a fit before
-    any Python sees them. Rows with a null do not count.
+    ``xtx`` is the upper triangle row by row, ``xty`` and ``yty`` go with it. They are differences of running sums (see
+    ``window_sums``), so long slices that overlap cost no more than short ones. Rows with a null do not count.
     """
-    whole = relative(rows, plan, 1 - input_size, 0).dropna(subset=["y", *names])
-    products = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
-    return whole.groupBy(ID, "cutoff").agg(F.array(*products).alias("xtx"), F.array(*[F.sum(F.col(a) * F.col("y")) for a in names]).alias("xty"), F.sum(F.col("y") * F.col("y")).alias("yty"), F.count("*").alias("n"))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    values = {f"a{i}": F.col(a) * F.col(b) for i, (a, b) in enumerate(pairs)} | {f"b{i}": F.col(a) * F.col("y") for i, a in enumerate(names)} | {"yy": F.col("y") * F.col("y"), "n": F.lit(1).cast("bigint")}
+    sums = window_sums(rows.dropna(subset=["y", *names]), values, plan, input_size)
+    return sums.select(ID, "cutoff", F.array(*[f"a{i}" for i in range(len(pairs))]).alias("xtx"), F.array(*[f"b{i}" for i in range(len(names))]).alias("xty"), F.col("yy").alias("yty"), "n")
 
 
 def _full(xtx: Sequence[float], k: int) -> np.ndarray:
@@ -181,8 +220,9 @@ def _full(xtx: Sequence[float], k: int) -> np.ndarray:
 
 
 def _solve(a: np.ndarray, xty: np.ndarray) -> np.ndarray:
-    k = len(xty)
-    return np.linalg.solve(a + np.eye(k) * 1e-8 * max(1.0, np.trace(a) / k), xty)
+    """Least squares from sums; regressors are scaled to length 1 first, so that the ridge for singular sums moves none by its unit."""
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+    return np.linalg.solve(a / np.outer(scale, scale) + np.eye(len(xty)) * 1e-11, xty / scale) / scale
 
 
 def dynamic_regression(df: DataFrame, plan: DataFrame, horizon: int, input_size: int = 504, lags: Sequence[int] = (1, 24, 25, 168), exog: Sequence[str] = (), name: str = "DynReg", z: float | None = None) -> DataFrame:

@@ -242,7 +242,10 @@ def evaluate(spark, sf):
     return rounded(M.evaluate(one, fx.hourly(spark, sf), insample=240), 5)
 
 
-@query(f"WITH s AS ({SCORES}) SELECT s.unique_id, s.cutoff, s.model, s.metric || '_pct_inc' AS metric, round(CASE WHEN s.model = 'Naive24h' THEN 0 ELSE (s.value - b.value) / nullif(b.value, 0) * 100 END, 4) AS value FROM s LEFT JOIN (SELECT * FROM s WHERE model = 'Naive24h') b ON b.unique_id = s.unique_id AND b.cutoff = s.cutoff AND b.metric = s.metric WHERE s.metric <> 'me'", "cv_long")
+_BESIDE = f"WITH s AS ({SCORES}), w AS (SELECT *, max(CASE WHEN model = 'Naive24h' THEN value END) OVER (PARTITION BY unique_id, cutoff, metric) AS base FROM s)"
+
+
+@query(f"{_BESIDE} SELECT unique_id, cutoff, model, metric || '_pct_inc' AS metric, round(CASE WHEN model = 'Naive24h' THEN 0 ELSE (value - base) / nullif(base, 0) * 100 END, 4) AS value FROM w WHERE metric <> 'me'", "cv_long")
 def pct_increase(spark, sf):
     return rounded(M.pct_increase(scores(spark, sf)), 4)
 
@@ -269,7 +272,7 @@ def summary_table(spark, sf):
     return rounded(M.summary_table(M.cv_summary(scores(spark, sf)), ["mae", "rmse"], top=2), 5)
 
 
-@query(f"WITH s AS ({SCORES}) SELECT s.unique_id, s.cutoff, s.metric, 'LD-' || s.model AS model, round(s.value - b.value, 5) AS value FROM s JOIN s b ON b.model = 'Naive24h' AND b.unique_id = s.unique_id AND b.cutoff = s.cutoff AND b.metric = s.metric WHERE s.model <> 'Naive24h'", "cv_long")
+@query(f"{_BESIDE} SELECT unique_id, cutoff, metric, 'LD-' || model AS model, round(value - base, 5) AS value FROM w WHERE model <> 'Naive24h'", "cv_long")
 def loss_diffs(spark, sf):
     return rounded(M.loss_diffs(scores(spark, sf)), 5)
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemill.operators import arima as G
 from tidemill.operators import backtest as T
 from tidemill.operators import decompose as E
 from tidemill.operators import models as H
 from tidemill.operators import panel as B
+from tidemill.operators import rolling as R
 from tidemill.sources import fixtures as fx
 from tidemill.sources import panel_io as A
 
@@ -121,6 +123,96 @@ def normal_equations(spark, sf):
     return sums.select("unique_id", "cutoff", "n", at("xtx", 1, "one_lag1", 3), at("xtx", 3, "lag1_lag1"), at("xtx", 4, "lag1_lag24"), at("xty", 1, "lag1_y"), F.round("yty", 1).alias("yty"))
 
 
+_W = "w AS (SELECT unique_id, ds, y - lag(y, 24) OVER o AS w FROM hourly WINDOW o AS (PARTITION BY unique_id ORDER BY ds)), x AS (SELECT *, lag(w) OVER (PARTITION BY unique_id ORDER BY ds) AS w1 FROM w)"
+
+
+@query(
+    f"WITH {_PLAN}, {_W}, f AS (SELECT x.unique_id, regr_slope(w, w1) AS b, regr_intercept(w, w1) AS a FROM x JOIN (SELECT unique_id, min(cutoff) AS cutoff FROM p GROUP BY 1) c ON c.unique_id = x.unique_id AND ds <= cutoff AND ds > cutoff - INTERVAL 504 HOUR WHERE w1 IS NOT NULL GROUP BY 1),"
+    " e AS (SELECT x.*, w - a - b * w1 AS e FROM x JOIN f ON f.unique_id = x.unique_id), z AS (SELECT *, lag(e) OVER (PARTITION BY unique_id ORDER BY ds) AS e1 FROM e)"
+    " SELECT z.unique_id, cutoff, count(*) AS n, round(sum(w1 * e1), 1) AS ar1_ma1, round(sum(e1 * e1), 1) AS ma1_ma1, round(sum(e1 * w), 1) AS ma1_y, round(sum(w * w), 1) AS yty"
+    " FROM z JOIN p ON p.unique_id = z.unique_id AND ds <= cutoff AND ds > cutoff - INTERVAL 504 HOUR WHERE e1 IS NOT NULL GROUP BY 1, 2",
+    "hourly",
+)
+def hannan_rissanen_sums(spark, sf):
+    """Sums of the second regression of order (1, 0, 1)(0, 1, 0): innovations of a first one are its moving-average terms."""
+    windows = plan(spark, sf)
+    rows, names = G.Sarima(G.Order(1, 1, 0, 0), long=(1,)).rows(fx.hourly(spark, sf), windows)
+    sums = H.normal_equations(rows, names, windows, 504)
+    at = lambda column, i, name: F.round(F.get(column, F.lit(i)), 1).alias(name)
+    return sums.select("unique_id", "cutoff", "n", at("xtx", 4, "ar1_ma1"), at("xtx", 5, "ma1_ma1"), at("xty", 2, "ma1_y"), F.round("yty", 1).alias("yty"))
+
+
+@query(None)
+def sarima(spark, sf):
+    """Order (1, 0, 0)(1, 1, 1) of season 24, one fit for all windows of a series, on an arcsinh scale, with intervals."""
+    df = fx.hourly(spark, sf)
+    return G.sarima(df, T.cv_plan(df, 24, n_windows=7, test_hours=168, max_fits=1), 24, levels=[80, 95], kind="arcsinh10")
+
+
+@query(None)
+def stepwise_orders(spark, sf):
+    df = fx.hourly(spark, sf)
+    return G.stepwise_orders(df, plan(spark, sf).where("window = 0"), G.Order(2, 1, 1, 1), current=G.Order())
+
+
+@query(None)
+def order_comparison(spark, sf):
+    """Criteria of the order that a stepwise search finds beside those of (1, 0, 0)(1, 1, 1)."""
+    df = fx.hourly(spark, sf)
+    return G.order_comparison(G.stepwise_orders(df, plan(spark, sf).where("window = 0"), G.Order(2, 1, 1, 1), current=G.Order()))
+
+
+_GROUPS = "g AS (SELECT *, row_number() OVER (PARTITION BY unique_id ORDER BY cutoff) - 1 AS w FROM p), gs AS (SELECT unique_id, cutoff, min(cutoff) OVER (PARTITION BY unique_id, w // 3) AS fit FROM g)"
+
+
+@query(
+    f"WITH {_PLAN}, {_GROUPS}, x AS (SELECT *, lag(y) OVER (PARTITION BY unique_id ORDER BY ds) AS y1 FROM hourly), f AS (SELECT x.unique_id, fit, regr_slope(y, y1) AS b, regr_intercept(y, y1) AS a FROM x JOIN (SELECT DISTINCT unique_id, fit FROM gs) c ON c.unique_id = x.unique_id AND ds <= fit AND ds > fit - INTERVAL 504 HOUR WHERE y1 IS NOT NULL GROUP BY 1, 2)"
+    " SELECT gs.unique_id, cutoff, t.ds, round(t.y, 6) AS y, 'SARIMA' AS model, round(a * (1 - power(b, h)) / (1 - b) + power(b, h) * c.y, 3) AS yhat"
+    " FROM gs JOIN f ON f.unique_id = gs.unique_id AND f.fit = gs.fit JOIN hourly c ON c.unique_id = gs.unique_id AND c.ds = cutoff, (SELECT unnest(generate_series(1, 24)) AS h) LEFT JOIN hourly t ON t.unique_id = gs.unique_id AND t.ds = cutoff + h * INTERVAL 1 HOUR",
+    "hourly",
+)
+def cv_backtest_refit(spark, sf):
+    """A first-order autoregression refitted every three windows, through the store; forecasts are geometric sums."""
+    df = fx.hourly(spark, sf)
+    model = R.sarima_model(G.Sarima(G.Order(1, 0, 0, 0, 0), long=(1,)))
+    found = R.cv_backtest(df, model, plan(spark, sf), 24, A.scratch_path(spark, "backtest"), refit=3)
+    return rounded(found, 3, y=6)
+
+
+@query(None)
+def cv_backtest_mstl(spark, sf):
+    """MSTL with the smoothing parameters of the first window, through the store."""
+    return R.cv_backtest(fx.hourly(spark, sf), R.mstl_model(), plan(spark, sf), 24, A.scratch_path(spark, "backtest"), refit=False)
+
+
+_HOLT = (
+    f"{_PLAN}, c AS (SELECT p.unique_id, cutoff, row_number() OVER (PARTITION BY p.unique_id, cutoff ORDER BY ds) AS i, y FROM p JOIN hourly h ON h.unique_id = p.unique_id AND ds <= cutoff AND ds > cutoff - INTERVAL 168 HOUR),"
+    " s AS (SELECT a.unique_id, a.cutoff, 1::BIGINT AS i, a.y AS l, b.y - a.y AS b, 0.0::DOUBLE AS sse FROM c a JOIN c b ON b.unique_id = a.unique_id AND b.cutoff = a.cutoff AND b.i = 2 WHERE a.i = 1"
+    " UNION ALL SELECT s.unique_id, s.cutoff, c.i, s.l + 0.9 * s.b + 0.3 * (c.y - s.l - 0.9 * s.b), 0.9 * s.b + 0.3 * 0.2 * (c.y - s.l - 0.9 * s.b), s.sse + power(c.y - s.l - 0.9 * s.b, 2) FROM s JOIN c ON c.unique_id = s.unique_id AND c.cutoff = s.cutoff AND c.i = s.i + 1)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_HOLT}, e AS (SELECT unique_id, cutoff, l, b, sse / 167 AS v FROM s WHERE i = 168), k AS (SELECT CAST(unnest(generate_series(1, 24)) AS INTEGER) AS step),"
+    " d AS (SELECT step, 0.9 * (1 - power(0.9, step)) / (1 - 0.9) AS d FROM k), q AS (SELECT k.step, 1 + coalesce(sum(power(0.3 + 0.3 * 0.2 * d.d, 2)), 0) AS q FROM k LEFT JOIN d ON d.step < k.step GROUP BY 1)"
+    " SELECT unique_id, cutoff, k.step, 'ETS' AS model, round(l + d * b, 4) AS yhat, round(l + d * b - 1.2815515655446004 * sqrt(v * q), 4) AS lo_80, round(l + d * b + 1.2815515655446004 * sqrt(v * q), 4) AS hi_80 FROM e, k, d, q WHERE d.step = k.step AND q.step = k.step",
+    "hourly",
+)
+def ets_levels(spark, sf):
+    """Forecasts of damped smoothing with given parameters and their 80 % intervals."""
+    windows = plan(spark, sf)
+    given = windows.select("unique_id").distinct().select("unique_id", F.lit(0.3).alias("alpha"), F.lit(0.2).alias("beta"), F.lit(0.9).alias("phi"))
+    found = H.ets_steps(H.ets_forward(H.contexts(fx.hourly(spark, sf), windows, 168), given), 24, levels=[80])
+    return rounded(found.withColumnsRenamed({"lo-80": "lo_80", "hi-80": "hi_80"}), 4)
+
+
+@query(None)
+def mstl_levels(spark, sf):
+    """MSTL forecasts with 80 and 95 % intervals, through an arcsinh scale and back."""
+    df = fx.hourly(spark, sf)
+    return H.mstl_on_scale(df, plan(spark, sf), 24, "arcsinh10", levels=[80, 95])
+
+
 @query(None)
 def mstl_on_scale(spark, sf):
     """MSTL forecasts on an arcsinh scale, and back."""

@@ -117,4 +117,6 @@ def with_panels(sql: str, *names: str) -> str:
     """``sql`` with the named panels (and what they use) in front; ``sql`` may itself begin with more CTEs."""
     head = ", ".join(f"{n} AS ({CTE[n]})" for n in _needed(list(names)))
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"

@@ -24,6 +24,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/tidemill-{name}-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in the shared folder: several jobs read it, and a lost executor costs its tasks only."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_panel_csv(spark: SparkSession, path: str, columns: list[str], id_pattern: str = r"(F[0-9]+)") -> DataFrame:
     """Semicolon-separated files, one a series: the first column is the time, the series' id comes from the path.
 
