@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import arima, rolling
+from tidemill.operators import arima, decompose, rolling
 from tidemill.operators import backtest as T
 from tidemill.operators import models as H
 from tidemill.operators.window_sums import window_sums
@@ -220,3 +220,22 @@ def test_a_halted_backtest_resumes(spark, long_panel, tmp_path):
     seconds = rolling.fit_seconds(spark, store).collect()
     assert sorted((r["n_fits"], r["n_windows"]) for r in seconds) == [(2, 6), (4, 6)] and all(r["avg_el_per_fit"] > 0 for r in seconds)
     assert rolling.backtest_results(long_panel, store).count() == 2 * len(want)
+
+
+def test_contexts_carry_seasons_on(spark):
+    """Two seasons over a context that begins in training and ends behind it; what should raise does."""
+    n, end = 100, 70
+    day, week = [5.0, 1.0, -6.0], [2.0, 0.0, -1.0, 4.0, -5.0]
+    df = hourly(spark, a=[h * 0.5 + day[h % 3] + week[h % 5] for h in range(n)])
+    parts = spark.createDataFrame([("a", at(h), day[h % 3], week[h % 5]) for h in range(end)], "unique_id string, ds timestamp_ntz, short double, long double")
+    ends = lambda *hs: spark.createDataFrame([("a", at(h)) for h in hs], "unique_id string, context_end timestamp_ntz")
+    seasons = {"short": 3, "long": 5}
+    got = {(r["context_end"], r["ds"]): r["y_trend_rem"] for r in decompose.context_trend(df, parts, ends(69, 75, 99), seasons, 20).collect()}
+    assert got.keys() == {(at(e), at(e - k)) for e in (69, 75, 99) for k in range(20)}
+    assert all(abs(v - (t - BEGIN).total_seconds() / 7200) < 1e-9 for (_, t), v in got.items())
+    with pytest.raises(Exception, match="a context ends before training does"):
+        decompose.context_trend(df, parts, ends(68), seasons, 5).collect()
+    with pytest.raises(Exception, match="a null or missing value"):
+        decompose.context_trend(df, parts, ends(101), seasons, 5).collect()
+    with pytest.raises(Exception, match="a null or missing value"):
+        decompose.context_trend(df, parts.where(F.col("ds") >= F.lit(at(67))), ends(75), seasons, 5).collect()

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from .panel import DS, ID, floor_to, series_window
 
 
@@ -213,3 +212,25 @@ def trend_plus_remainder(parts: DataFrame) -> DataFrame:
     return parts.select(ID, DS, F.when(x.isNull(), F.raise_error(F.lit("null in trend or remainder"))).otherwise(x).alias("y_trend_rem"))
 
 
+def context_trend(df: DataFrame, parts: DataFrame, ends: DataFrame, seasons: Mapping[str, int], length: int, unit_hours: int = 1, col: str = "y") -> DataFrame:
+    """``y_trend_rem`` of the last ``length`` rows of contexts that end after training, without a new decomposition.
+
+    ``parts`` is the decomposition of the training span, with a seasonal column for each of ``seasons`` (periods in
+    rows); ``ends`` has unique_id and ``context_end``. Up to the end of training a row's own seasonal values are taken
+    off, behind it those of the last period, repeated from there on. A context that ends before training does raises,
+    and so does a null, a missing row, or a history shorter than a period. Returns unique_id, context_end, ds, y_trend_rem.
+    """
+    step = lambda n: F.make_dt_interval(F.lit(0), n * unit_hours)
+    trained = parts.groupBy(ID).agg(F.max(DS).alias("__end"))
+    asked = ends.select(ID, "context_end").distinct().join(trained, ID, "left")
+    early = F.coalesce(F.col("context_end") < F.col("__end"), F.lit(True))
+    asked = asked.withColumn("context_end", F.when(early, F.raise_error(F.concat(F.lit("a context ends before training does, or without training: "), ID)).cast("timestamp_ntz")).otherwise(F.col("context_end")))
+    spread = asked.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn(DS, F.col("context_end") - step(F.col("__k")))
+    rows = spread.join(df.select(ID, DS, F.col(col).alias("__rest")), [ID, DS], "left")
+    behind = (F.unix_timestamp(F.col(DS).cast("timestamp")) - F.unix_timestamp(F.col("__end").cast("timestamp"))) / (3600 * unit_hours)
+    for name, period in seasons.items():
+        back = F.when(behind <= 0, F.col(DS)).otherwise(F.col("__end") - step((period - 1 - F.pmod(behind.cast("int") - 1, F.lit(period))).cast("int")))
+        values = parts.select(ID, F.col(DS).alias("__ref"), F.col(name).alias("__s"))
+        rows = rows.withColumn("__ref", back).join(values, [ID, "__ref"], "left").withColumn("__rest", F.col("__rest") - F.col("__s")).drop("__ref", "__s")
+    whole = F.when(F.col("__rest").isNull(), F.raise_error(F.concat(F.lit("a null or missing value in the context of "), ID)).cast("double")).otherwise(F.col("__rest"))
+    return rows.select(ID, "context_end", DS, whole.alias("y_trend_rem"))

@@ -77,6 +77,24 @@ def trend_plus_remainder(spark, sf):
     return rounded(E.trend_plus_remainder(E.decompose_classical(fx.daily(spark, sf))), 3)
 
 
+_ENDS = "(VALUES (TIMESTAMP '2000-12-31 00:00:00'), (TIMESTAMP '2001-01-20 00:00:00'), (TIMESTAMP '2001-07-15 00:00:00')) ends(e)"
+
+
+@query(
+    f"WITH td AS (SELECT * FROM daily WHERE ds < TIMESTAMP '2001-01-01'), {_CLASSICAL.format(t='td')}, last AS (SELECT unique_id, max(ds) AS t FROM parts GROUP BY 1),"
+    f" rows AS (SELECT d.unique_id, e AS context_end, d.ds, d.y, CASE WHEN d.ds <= t THEN d.ds ELSE t - (364 - (date_diff('day', t, d.ds) - 1) % 365) * INTERVAL 1 DAY END AS ref FROM daily d JOIN last ON last.unique_id = d.unique_id JOIN {_ENDS} ON d.ds <= e AND d.ds > e - INTERVAL 200 DAY)"
+    " SELECT rows.unique_id, context_end, rows.ds, round(rows.y - seasonal, 3) AS y_trend_rem FROM rows JOIN parts ON parts.unique_id = rows.unique_id AND parts.ds = rows.ref",
+    "daily",
+)
+def context_trend(spark, sf):
+    """Contexts of 200 days at the end of training and up to half a year behind it, with the seasons of the training span."""
+    df = fx.daily(spark, sf)
+    parts = E.decompose_classical(df.where(F.col("ds") < B.timestamp("2001-01-01 00:00:00")))
+    days = F.array(*[B.timestamp(f"{d} 00:00:00") for d in ("2000-12-31", "2001-01-20", "2001-07-15")])
+    ends = df.select("unique_id").distinct().select("unique_id", F.explode(days).alias("context_end"))
+    return rounded(E.context_trend(df, parts, ends, {"seasonal": 365}, 200, 24), 3)
+
+
 def plan(spark, sf):
     return T.cv_plan(fx.hourly(spark, sf), 24, n_windows=7, test_hours=168)
 
