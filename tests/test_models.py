@@ -239,3 +239,18 @@ def test_contexts_carry_seasons_on(spark):
         decompose.context_trend(df, parts, ends(101), seasons, 5).collect()
     with pytest.raises(Exception, match="a null or missing value"):
         decompose.context_trend(df, parts.where(F.col("ds") >= F.lit(at(67))), ends(75), seasons, 5).collect()
+
+
+@pytest.mark.parametrize("horizon", [24, 168])
+@pytest.mark.parametrize("learner", H.LEARNERS)
+def test_models_of_samples_see_nothing_behind_the_cutoff(spark, horizon, learner):
+    """Values behind the first cutoff change no forecast from it; a lag shorter than the horizon is no feature."""
+    rng = np.random.default_rng(4)
+    series = {i: 20 + 5 * np.sin(np.arange(700) * 2 * np.pi / 24 + k) + rng.normal(0, 0.3, 700) for k, i in enumerate("ab")}
+    df = hourly(spark, **series).cache()
+    first = F.lit(at(699 - horizon)).cast("timestamp_ntz")
+    spoilt = df.withColumn("y", F.when(F.col("ds") > first, F.col("y") * 3 + 7).otherwise(F.col("y")))
+    one, other = ({(r["unique_id"], r["ds"]): (r["y"], r["yhat"]) for r in H.direct_from_samples(d, first, 1, horizon, (24, 168), learner=learner).collect()} for d in (df, spoilt))
+    assert one.keys() == other.keys() and len(one) == 2 * horizon
+    assert all(math.isclose(one[k][1], other[k][1], rel_tol=1e-9) for k in one)
+    assert np.mean([abs(y - x) for y, x in one.values()]) < 1.5

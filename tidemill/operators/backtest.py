@@ -113,6 +113,23 @@ def safe_lags(lags: Sequence[int], horizon: int) -> list[int]:
     return [k for k in lags if k >= horizon]
 
 
+def decoder_samples(df: DataFrame, past: Sequence[str], future: Sequence[str], lags: Sequence[int], t_in: int, t_out: int, stride: int = 1, target: str = "y", last: int = 24) -> DataFrame:
+    """``sliding_samples`` with what a decoder may know: ``last_<target>``, the last values up to the cutoff, and ``future_lag<k>``.
+
+    Only lags that are safe at every step of the horizon are given (see ``safe_lags``). Samples begin where every lag of
+    their series is known.
+    """
+    w = series_window()
+    safe = safe_lags(lags, t_out)
+    rows = df.withColumns({f"lag{k}": F.lag(target, k).over(w) for k in safe} | {"__rn": F.row_number().over(w)})
+    rows = rows.where(F.col("__rn") > max([0, *safe])).drop("__rn")
+    samples = sliding_samples(rows, past, [*future, *(f"lag{k}" for k in safe)], t_in, t_out, stride, target)
+    if last <= t_in and target in past:
+        return samples.withColumn(f"last_{target}", F.slice(f"past_{target}", t_in - last + 1, last))
+    tails = df.select(ID, F.col(DS).alias("cutoff"), F.collect_list(target).over(w.rowsBetween(-(last - 1), 0)).alias(f"last_{target}"))
+    return samples.join(tails.where(F.size(f"last_{target}") == last), [ID, "cutoff"])
+
+
 def slice_with_history(df: DataFrame, start: Column, end: Column, t_in: int) -> DataFrame:
     """Rows from ``t_in`` hours before ``start`` to ``end``."""
     return df.where(F.col(DS).between(start - hours(t_in), end))

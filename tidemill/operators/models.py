@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .backtest import hours_between
+from .backtest import decoder_samples, hours_between, safe_lags
 from .decompose import add_annual, mstl, remove_annual
 from .panel import DS, ID, hours, series_window
 from .transforms import transform_target
@@ -325,6 +325,35 @@ def direct_multihorizon(df: DataFrame, first_cutoff, n_windows: int, horizon: in
     return model.transform(test).select(ID, "cutoff", DS, "y", F.lit(name).alias("model"), "yhat")
 
 
+LEARNERS = ("linear", "trees")
+
+
+def direct_from_samples(df: DataFrame, first_cutoff: Column, n_windows: int, horizon: int = 24, lags: Sequence[int] = (24, 48, 168), exog: Sequence[str] = (), learner: str = "linear", season: int = 24, name: str = "Direct") -> DataFrame:
+    """One model for all steps of all series from the samples of ``decoder_samples``: unique_id, cutoff, ds, y, model, yhat.
+
+    A sample is exploded by step; features are the last three values, the mean of the last season, its value at the
+    same place of the season, the safe lags and ``exog`` (known ahead) at the step, and the step. ``learner`` is
+    'linear' or 'trees' (gradient boosting). It learns from steps up to the first cutoff, so no later value is seen.
+    """
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, LinearRegression
+
+    if learner not in LEARNERS:
+        raise ValueError(f"unknown learner {learner}")
+    samples = decoder_samples(df.select(ID, DS, "y", *exog), ["y"], exog, lags, season, horizon, last=season)
+    safe = [f"lag{k}" for k in safe_lags(lags, horizon)]
+    ends = {f"l{k}": F.element_at("last_y", -k) for k in (1, 2, 3)} | {"m": F.aggregate("last_y", F.lit(0.0), lambda a, x: a + x) / season}
+    steps = samples.select(ID, "cutoff", *[x.alias(n) for n, x in ends.items()], "last_y", *[f"future_{c}" for c in (*exog, *safe)], F.posexplode("future_y").alias("i", "y"))
+    at_step = {c: F.get(f"future_{c}", F.col("i")).cast("double") for c in (*exog, *safe)} | {"season_ago": F.get("last_y", F.pmod("i", F.lit(season))), "step": F.col("i") + 1}
+    rows = steps.select(ID, "cutoff", *ends, *[x.alias(n) for n, x in at_step.items()], (F.col("cutoff") + hours(F.col("i") + 1)).alias(DS), F.col("y").cast("double").alias("y"))
+    vectors = VectorAssembler(inputCols=[*ends, *at_step], outputCol="features").transform(rows)
+    kind = LinearRegression(regParam=1e-3) if learner == "linear" else GBTRegressor(maxIter=10, maxDepth=4, seed=1)
+    model = kind.setLabelCol("y").setPredictionCol("yhat").fit(vectors.where(F.col(DS) <= first_cutoff))
+    k = hours_between(first_cutoff, F.col("cutoff"))
+    test = vectors.where((k >= 0) & (k % horizon == 0) & (k / horizon < n_windows))
+    return model.transform(test).select(ID, "cutoff", DS, "y", F.lit(name).alias("model"), "yhat")
+
+
 def with_truth(forecasts: DataFrame, df: DataFrame) -> DataFrame:
     """Forecast steps as (unique_id, cutoff, ds, y, model, yhat)."""
     dated = forecasts.withColumn(DS, F.col("cutoff") + hours(F.col("step")))

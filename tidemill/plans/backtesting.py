@@ -81,6 +81,18 @@ def sliding_samples(spark, sf):
     return out.select("unique_id", "cutoff", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("past_y", "future_temperature", "future_y")])
 
 
+@query(
+    "WITH l AS (SELECT unique_id, ds, round(y, 4) AS y, lag(round(y, 4), 48) OVER w AS lag48, row_number() OVER w AS rn FROM hourly_panel WINDOW w AS (PARTITION BY unique_id ORDER BY ds)),"
+    " s AS (SELECT unique_id, ds AS cutoff, row_number() OVER w AS rn, list(y) OVER (w ROWS BETWEEN 47 PRECEDING AND CURRENT ROW) AS a, list(y) OVER (w ROWS BETWEEN 23 PRECEDING AND CURRENT ROW) AS b, list(lag48) OVER (w ROWS BETWEEN 1 FOLLOWING AND 36 FOLLOWING) AS c, list(y) OVER (w ROWS BETWEEN 1 FOLLOWING AND 36 FOLLOWING) AS d FROM l WHERE rn > 48 WINDOW w AS (PARTITION BY unique_id ORDER BY ds))"
+    " SELECT unique_id, cutoff, array_to_string(b, ',') AS last_y, array_to_string(c, ',') AS future_lag48, array_to_string(d, ',') AS future_y FROM s WHERE len(a) = 48 AND len(d) = 36 AND (rn - 48) % 12 = 0",
+    "hourly_panel",
+)
+def decoder_samples(spark, sf):
+    """Of the lags 24 and 48 only the second is safe over 36 hours."""
+    out = T.decoder_samples(rounded(fx.hourly_panel(spark, sf), 4), ["y"], [], [24, 48], 48, 36, 12)
+    return out.select("unique_id", "cutoff", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("last_y", "future_lag48", "future_y")])
+
+
 @query("SELECT unique_id, ds, round(y, 6) AS y FROM hourly WHERE ds BETWEEN TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 48 HOUR AND TIMESTAMP '2024-01-22 23:00:00'", "hourly")
 def slice_with_history(spark, sf):
     return rounded(T.slice_with_history(fx.hourly(spark, sf), B.timestamp("2024-01-20 00:00:00"), B.timestamp("2024-01-22 23:00:00"), 48))

@@ -257,6 +257,12 @@ def direct_multihorizon(spark, sf):
     return H.direct_multihorizon(fx.hourly(spark, sf), B.timestamp(FIRST), 7)
 
 
+@query(None)
+def direct_from_samples(spark, sf):
+    """Gradient-boosted trees over the samples of a decoder, with a covariate that is known ahead."""
+    return H.direct_from_samples(fx.hourly_panel(spark, sf), B.timestamp(FIRST), 7, exog=["temperature"], learner="trees")
+
+
 @query("SELECT unique_id, model, count(DISTINCT cutoff) AS n_windows, min(cutoff) AS first_cutoff, max(ds) AS end_test, 24 AS step_size, CAST(NULL AS DOUBLE) AS avg_el_per_fit FROM cv_long GROUP BY 1, 2", "cv_long")
 def run_metadata(spark, sf):
     return A.run_metadata(cv(spark, sf), 24)
