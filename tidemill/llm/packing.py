@@ -2,7 +2,7 @@
 
 Documents are tokenized where they lie; only piece lengths and checksums move on. Pieces are dealt into
 blocks of about ``BLOCK`` pieces by a hash, so no key decides a task's size. Every block is solved by
-``islands`` populations, which start from best fit in decreasing and in random order: a crossover injects whole well-filled bins
+``islands`` populations, which start from best fit in random order: a crossover injects whole well-filled bins
 of one parent into another, removes the documents that then occur twice, and places displaced documents by
 best fit. Between epochs each island
 sends its elite to the next island of its block, as rows through a shuffle. Bins that the blocks leave
@@ -127,13 +127,16 @@ def seed(sizes: np.ndarray, rng: np.random.Generator | None, capacity: int) -> l
 def evolve(sizes: np.ndarray, elite: list[list[list[int]]], number: int, generations: int, capacity: int, population: int = POPULATION) -> list[list[int]]:
     """The best packing of an island after some generations, from ``elite`` packings and seeds.
 
-    One of the seeds is best fit of the largest first, so no result takes more bins than that. It ends early only with
-    as few bins as the total of the sizes needs. Parents are the better of two.
+    Best fit of the largest first is the result if no packing takes fewer bins; it is no parent, as a population that
+    holds it settles near it. Evolution ends early only with as few bins as the total of the sizes needs. Parents are
+    the better of two.
     """
     rng = np.random.default_rng(number)
     least = -(-int(sizes.sum()) // capacity)
-    people = [list(p) for p in elite] or [seed(sizes, None, capacity)]
-    people += [seed(sizes, rng, capacity) for _ in range(population - len(people))]
+    plain = seed(sizes, None, capacity)
+    if len(plain) <= least:
+        return plain
+    people = [list(p) for p in elite] + [seed(sizes, rng, capacity) for _ in range(population - len(elite))]
     people = sorted(((fitness(_room(sizes, p, capacity)), i, p) for i, p in enumerate(people)), reverse=True)[:population]
     born = len(people)
     for _ in range(generations):
@@ -146,7 +149,7 @@ def evolve(sizes: np.ndarray, elite: list[list[list[int]]], number: int, generat
             born += 1
             people[-1] = (score, born, child)
             people.sort(reverse=True)
-    return people[0][2]
+    return min(people[0][2], plain, key=len)
 
 
 def _numbered(bins: list[list[int]], n: int) -> np.ndarray:
@@ -217,9 +220,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
     # bins are few pieces each, and hash evenly: no hot key
     first = first.join(fill, ["block", "bin"])
     closed = first.where(F.col("filled") >= FULL * capacity).select(*columns, F.lit("a").alias("round"), "block", "bin")
-    left = durable(first.where(F.col("filled") < FULL * capacity).select(*columns), "unfilled")
-    again = _pack(left, max(1, -(-left.count() // block)), capacity, "again", islands, epochs, generations)
-    packed = whole.unionByName(closed).unionByName(again.withColumn("round", F.lit("b")))
+    left = durable(first.where(F.col("filled") < FULL * capacity).select(*columns, "block", "bin"), "unfilled")
+    again = _pack(left.select(*columns), max(1, -(-left.count() // block)), capacity, "again", islands, epochs, generations)
+    # what was opened stays as it was if packing it once more gains nothing
+    bins = [x.select("block", "bin").distinct().count() for x in (left, again)]
+    rest = again.withColumn("round", F.lit("b")) if bins[1] < bins[0] else left.withColumn("round", F.lit("a"))
+    packed = whole.unionByName(closed).unionByName(rest)
     rounds = F.when(F.col("round") == "w", 0).when(F.col("round") == "a", 1).otherwise(2).cast("long")
     # block numbers and bins are under 2**38 and 2**13 for the packed rounds
     number = F.when(rounds == 0, F.shiftleft("block", 2)).otherwise(F.shiftleft("block", 15) + F.shiftleft("bin", 2) + rounds)

@@ -188,7 +188,11 @@ class Cell:
         self.fp, self.more, self.size, self.flip, self.side, self.chain, self.like = fp, more, size, flip, side, chain, like
         self.two_sides = side.min() != side.max()
 
-    def near(self, i: np.ndarray, j: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs are linked."""
+        return self.within(i, j, self.like.all_bits)[0]
+
+    def within(self, i: np.ndarray, j: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         """Which of the pairs differ in at most ``limit`` bits of all, and in how many."""
         good = np.arange(len(i))
         differ = self.fp[i] ^ self.fp[j]
@@ -228,7 +232,7 @@ class Cell:
             for _ in range(PIVOTS):
                 i = int(rest[0])
                 others = np.flatnonzero(forest.label != forest.label[i])
-                forest.join(i, others[self.near(np.full(len(others), i), others, limit)[0]])
+                forest.join(i, others[self.within(np.full(len(others), i), others, limit)[0]])
                 labels, count = np.unique(forest.label, return_counts=True)
                 rest = np.flatnonzero(forest.label != labels[count.argmax()])
                 if not len(rest):
@@ -263,7 +267,7 @@ class Cell:
             if self.two_sides:
                 keep &= self.side[i] != self.side[j]
             i, j = i[keep], j[keep]
-            good, bits = self.near(i, j, limit)
+            good, bits = self.within(i, j, limit)
             yield i[good], j[good], bits
 
 
