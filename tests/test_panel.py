@@ -1,7 +1,9 @@
 """Hand-made frames: nulls, ties, gaps, constant series, leap days, leaks."""
 
 import datetime as dt
+import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -367,6 +369,27 @@ def test_running_best_over_blocks(spark):
     assert found == expected
 
 
+def test_region_bootstrap_broadcasts_no_draws(spark, capsys):
+    rows = [(i * 3 - 700, float((i * 37) % 101) if i % 11 else None, i % 5) for i in range(1000)]
+    df = spark.createDataFrame(rows, "number int, value double, p int").repartition(7)
+    sides = {s: [v for _, v, p in rows if v is not None and (p == 1) == (s == 1)] for s in (0, 1)}
+
+    def mean(side, b):
+        values = sides[side]
+        names = [f"region:{side}:{b}:{k}" for k in range(len(values))]
+        return sum(values[int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % len(values)] for name in names) / len(values)
+
+    inside, outside = ([mean(s, b) for b in range(100)] for s in (1, 0))
+    point = [sum(sides[s]) / len(sides[s]) for s in (1, 0)]
+    expected = [point[0], *np.quantile(inside, [0.025, 0.975]), point[0] - point[1], *np.quantile(np.subtract(inside, outside), [0.025, 0.975])]
+    found = L.region_bootstrap(df, F.col("p") == 1, n_boot=100)
+    assert list(found.collect()[0]) == pytest.approx(expected)
+    found.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in plan and re.search(r"ShuffledHashJoin \[side#\d+, i#\d+L\]", plan)
+    assert list(L.region_bootstrap(df, F.col("p") == 1, n_boot=100, block=16).collect()[0]) == pytest.approx(expected)
+
+
 def test_boxcox_scan_takes_the_likeliest(spark):
     rng = np.random.default_rng(3)
     ys = {"a": np.exp(rng.normal(2, 0.5, 300)), "b": rng.normal(50, 3, 300), "c": rng.normal(5, 0.3, 300) ** 2, "e": np.full(5, 3.0)}

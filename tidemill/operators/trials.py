@@ -198,25 +198,42 @@ def best_epoch_counts(losses: DataFrame) -> DataFrame:
 
 
 def _draw(name: Column, bound: Column) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint"), bound)
+    """A number from 0 to bound - 1 by hashing a name; never null, or a join would hash once more for its null check."""
+    return F.coalesce(F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint"), bound), F.lit(0).cast("bigint"))
 
 
-def region_bootstrap(trials: DataFrame, region: Column, value: str = "value", n_boot: int = 200, alpha: float = 0.05, seed: str = "region") -> DataFrame:
+def _positions(rows: DataFrame, key: str, order: str, block: int) -> DataFrame:
+    """Adds the size ``n`` of the row's group and its place ``i`` from 0 in numeric order; nulls come first.
+
+    Rows are ranked inside blocks of ``block`` numbers; only the counts of blocks, one row a block, meet in a group's task.
+    """
+    rows = rows.withColumn("__b", F.floor(F.col(order) / block))
+    group = Window.partitionBy(key)
+    earlier = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(key, "__b").agg(F.count("*").alias("__c"))
+    counts = counts.select(F.col(key).alias("__key"), F.col("__b").alias("__k"), F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__before"), F.sum("__c").over(group).alias("n"))
+    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(key, "__b").orderBy(order)) - 1)
+    placed = ranked.join(counts, (F.col(key) == F.col("__key")) & F.col("__b").eqNullSafe(F.col("__k")))
+    return placed.select(*[c for c in rows.columns if c != "__b"], "n", (F.col("__before") + F.col("__r")).alias("i"))
+
+
+def region_bootstrap(trials: DataFrame, region: Column, value: str = "value", n_boot: int = 200, alpha: float = 0.05, seed: str = "region", block: int = 1_000) -> DataFrame:
     """Mean of a region and its difference to the rest, each with an interval from independent resamples.
 
-    Draws hash the names of replicate and draw, so results do not depend on partitioning.
+    Draws hash the names of replicate and draw, so results do not depend on partitioning. Each row makes the ``n_boot`` draws
+    of its own place. They meet the values in a shuffle: Spark takes exploded rows for as small as what they came from, and
+    would broadcast them.
     """
     side = trials.where(F.col(value).isNotNull()).select(F.when(region, 1).otherwise(0).alias("side"), "number", F.col(value).alias("v"))
-    w = Window.partitionBy("side")
-    rows = side.select("side", (F.row_number().over(w.orderBy("number")) - 1).cast("bigint").alias("i"), "v")
-    sizes = rows.groupBy("side").agg(F.count("*").alias("n"), F.avg("v").alias("m"))
-    draws = sizes.select("side", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).select("*", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("k"))
+    rows = _positions(side, "side", "number", block)
+    draws = rows.select("side", "n", F.col("i").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
     name = F.concat_ws(":", F.lit(seed), F.col("side").cast("string"), F.col("b").cast("string"), F.col("k").cast("string"))
-    means = draws.withColumn("i", _draw(name, F.col("n"))).join(rows, ["side", "i"]).groupBy("b").agg(F.avg(F.when(F.col("side") == 1, F.col("v"))).alias("inside"), F.avg(F.when(F.col("side") == 0, F.col("v"))).alias("outside"))
+    draws = draws.select("side", "b", _draw(name, F.col("n")).alias("i"))
+    means = draws.join(rows.select("side", "i", "v").hint("shuffle_hash"), ["side", "i"]).groupBy("b").agg(F.avg(F.when(F.col("side") == 1, F.col("v"))).alias("inside"), F.avg(F.when(F.col("side") == 0, F.col("v"))).alias("outside"))
     means = means.withColumn("diff", F.col("inside") - F.col("outside"))
     q = lambda c, p: F.percentile(c, F.lit(p))
     ci = means.agg(q("inside", alpha / 2).alias("mean_lo"), q("inside", 1 - alpha / 2).alias("mean_hi"), q("diff", alpha / 2).alias("diff_lo"), q("diff", 1 - alpha / 2).alias("diff_hi"))
-    point = sizes.agg(F.max(F.when(F.col("side") == 1, F.col("m"))).alias("mean"), F.max(F.when(F.col("side") == 0, F.col("m"))).alias("__o"))
+    point = side.agg(F.avg(F.when(F.col("side") == 1, F.col("v"))).alias("mean"), F.avg(F.when(F.col("side") == 0, F.col("v"))).alias("__o"))
     return point.crossJoin(ci).select("mean", "mean_lo", "mean_hi", (F.col("mean") - F.col("__o")).alias("diff"), "diff_lo", "diff_hi")  # one row each
 
 
