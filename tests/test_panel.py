@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators import backtest as T
 from tidemill.operators import decompose as E
+from tidemill.operators import draws as G
 from tidemill.operators import explore as K
 from tidemill.operators import features as C
 from tidemill.operators import metrics as M
@@ -19,6 +20,7 @@ from tidemill.operators import panel as B
 from tidemill.operators import significance as J
 from tidemill.operators import transforms as D
 from tidemill.operators import trials as L
+from tidemill.plans.queries import queries
 from tidemill.sources import panel_io as P
 
 T0 = dt.datetime(2024, 1, 1)
@@ -390,6 +392,38 @@ def test_region_bootstrap_broadcasts_no_draws(spark, capsys):
     assert list(L.region_bootstrap(df, F.col("p") == 1, n_boot=100, block=16).collect()[0]) == pytest.approx(expected)
 
 
+def _hashed(name):
+    return int(hashlib.md5(name.encode()).hexdigest()[:8], 16)
+
+
+def test_draws_hash_the_names_of_replicate_and_draw():
+    values = np.random.default_rng(5).normal(50, 9, 1234)
+    for prefix in ("region:1", "", *("x" * n for n in range(36, 58)), "\u00e9" * 80):  # names of one, two and three blocks of MD5
+        expected = [sum(values[_hashed(f"{prefix}:{b}:{k}") % 1234] for k in range(1234)) for b in range(98, 102)]
+        assert G.drawn_sums(prefix, range(98, 102), 1234, values) == pytest.approx(expected)
+    parts = [G.drawn_sums(prefix, range(98, 102), 1234, values[i : i + 500], i) for i in (0, 500, 1000)]
+    assert sum(parts) == pytest.approx(expected)
+
+
+def test_region_bootstrap_adds_up_segments(spark, monkeypatch):
+    df = spark.createDataFrame([(i, float((i * 37) % 101), i % 5) for i in range(1000)], "number int, value double, p int").repartition(7)
+    whole = list(L.region_bootstrap(df, F.col("p") == 1, n_boot=70).collect()[0])
+    for name, size in (("CHUNK", 16), ("SEGMENT", 144), ("REPLICATES", 40)):
+        monkeypatch.setattr(L, name, size)
+    assert list(L.region_bootstrap(df, F.col("p") == 1, n_boot=70).collect()[0]) == pytest.approx(whole)
+    assert list(L.region_bootstrap(df, F.col("p") < 9, n_boot=70).collect()[0])[3:] == [None] * 3  # nothing outside
+
+
+def test_region_bootstrap_query_draws_the_reference_s_replicates(spark, tmp_path):
+    rows = [(i, 900.0 + (i * 37) % 101 + i / 7, i % 25 + 1, f"Brand#{i % 3}", "PROMO") for i in range(30)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_retailprice double, p_size int, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    sides = {s: [v for _, v, size, _, _ in rows if (size <= 10) == (s == 1)] for s in (0, 1)}
+    means = {s: [sum(vs[_hashed(f"region:{s}:{b}:{k}") % len(vs)] for k in range(len(vs))) / len(vs) for b in range(10_000)] for s, vs in sides.items()}
+    point = [sum(sides[s]) / len(sides[s]) for s in (1, 0)]
+    expected = [point[0], *np.quantile(means[1], [0.025, 0.975]), point[0] - point[1], *np.quantile(np.subtract(means[1], means[0]), [0.025, 0.975])]
+    assert list(queries()["region_bootstrap"](spark, str(tmp_path)).collect()[0]) == pytest.approx(expected, abs=6e-5)
+
+
 def test_boxcox_scan_takes_the_likeliest(spark):
     rng = np.random.default_rng(3)
     ys = {"a": np.exp(rng.normal(2, 0.5, 300)), "b": rng.normal(50, 3, 300), "c": rng.normal(5, 0.3, 300) ** 2, "e": np.full(5, 3.0)}

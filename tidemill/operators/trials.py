@@ -5,9 +5,16 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .draws import drawn_sums
+
+#: Of a bootstrap: places whose values share a row, values that a unit of work holds at most (32 MB), and its replicates.
+CHUNK, SEGMENT, REPLICATES = 1 << 14, 1 << 22, 200
+
 
 def trials_table(trials: DataFrame, losses: DataFrame, states: Sequence[str] = ("COMPLETE",), objective: str = "objective") -> DataFrame:
     """Trials of given states with ``last_epoch`` (last reported epoch + 1) and the value under the objective's name."""
@@ -197,11 +204,6 @@ def best_epoch_counts(losses: DataFrame) -> DataFrame:
     return grid.join(counts, "best_epoch", "left").select("best_epoch", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "median")
 
 
-def _draw(name: Column, bound: Column) -> Column:
-    """A number from 0 to bound - 1 by hashing a name; never null, or a join would hash once more for its null check."""
-    return F.coalesce(F.pmod(F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint"), bound), F.lit(0).cast("bigint"))
-
-
 def _positions(rows: DataFrame, key: str, order: str, block: int) -> DataFrame:
     """Adds the size ``n`` of the row's group and its place ``i`` from 0 in numeric order; nulls come first.
 
@@ -217,19 +219,30 @@ def _positions(rows: DataFrame, key: str, order: str, block: int) -> DataFrame:
     return placed.select(*[c for c in rows.columns if c != "__b"], "n", (F.col("__before") + F.col("__r")).alias("i"))
 
 
-def region_bootstrap(trials: DataFrame, region: Column, value: str = "value", n_boot: int = 200, alpha: float = 0.05, seed: str = "region", block: int = 1_000) -> DataFrame:
+def region_bootstrap(trials: DataFrame, region: Column, value: str = "value", n_boot: int = 2_000, alpha: float = 0.05, seed: str = "region", block: int = 1_000) -> DataFrame:
     """Mean of a region and its difference to the rest, each with an interval from independent resamples.
 
-    Draws hash the names of replicate and draw, so results do not depend on partitioning. Each row makes the ``n_boot`` draws
-    of its own place. They meet the values in a shuffle: Spark takes exploded rows for as small as what they came from, and
-    would broadcast them.
+    Draws hash the names of replicate and draw, so results do not depend on partitioning. A unit of work is a side's
+    ``REPLICATES`` replicates; the side's values come to it by a shuffle, packed into rows of ``CHUNK`` places, and its draws
+    are made and added up where the values are: no draw is moved. A unit holds ``SEGMENT`` values at most; a side with more
+    has units for each segment, which make the draws again and add up those that meet their segment.
     """
-    side = trials.where(F.col(value).isNotNull()).select(F.when(region, 1).otherwise(0).alias("side"), "number", F.col(value).alias("v"))
-    rows = _positions(side, "side", "number", block)
-    draws = rows.select("side", "n", F.col("i").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
-    name = F.concat_ws(":", F.lit(seed), F.col("side").cast("string"), F.col("b").cast("string"), F.col("k").cast("string"))
-    draws = draws.select("side", "b", _draw(name, F.col("n")).alias("i"))
-    means = draws.join(rows.select("side", "i", "v").hint("shuffle_hash"), ["side", "i"]).groupBy("b").agg(F.avg(F.when(F.col("side") == 1, F.col("v"))).alias("inside"), F.avg(F.when(F.col("side") == 0, F.col("v"))).alias("outside"))
+    side = trials.where(F.col(value).isNotNull()).select(F.when(region, 1).otherwise(0).alias("side"), "number", F.col(value).cast("double").alias("v"))
+    start = lambda c, size: (F.col(c) - F.col(c) % size).cast("bigint")
+    rows = _positions(side, "side", "number", block).groupBy("side", start("i", CHUNK).alias("first"))
+    values = rows.agg(F.array_sort(F.collect_list(F.struct("i", "v"))).getField("v").alias("values")).withColumnRenamed("first", "i")
+    chunks = side.groupBy("side").agg(F.count("*").alias("n")).select("side", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(CHUNK).cast("bigint"))).alias("i"))
+    units = chunks.select("*", start("i", SEGMENT).alias("segment"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1), F.lit(REPLICATES))).alias("b"))
+    met = units.join(values.hint("shuffle_hash"), ["side", "i"]).repartition(2 * math.ceil(n_boot / REPLICATES), "side", "segment", "b")
+
+    def draw(unit: pd.DataFrame) -> pd.DataFrame:
+        s, n, first, b = (int(unit[c].iloc[0]) for c in ("side", "n", "segment", "b"))
+        replicates = range(b, min(b + REPLICATES, n_boot))
+        sums = drawn_sums(f"{seed}:{s}", replicates, n, np.concatenate(unit.sort_values("i")["values"].to_list()), first)
+        return pd.DataFrame({"side": s, "b": replicates, "m": sums / n})
+
+    parts = met.groupBy("side", "segment", "b").applyInPandas(draw, "side int, b int, m double")
+    means = parts.groupBy("b").agg(F.sum(F.when(F.col("side") == 1, F.col("m"))).alias("inside"), F.sum(F.when(F.col("side") == 0, F.col("m"))).alias("outside"))
     means = means.withColumn("diff", F.col("inside") - F.col("outside"))
     q = lambda c, p: F.percentile(c, F.lit(p))
     ci = means.agg(q("inside", alpha / 2).alias("mean_lo"), q("inside", 1 - alpha / 2).alias("mean_hi"), q("diff", alpha / 2).alias("diff_lo"), q("diff", 1 - alpha / 2).alias("diff_hi"))

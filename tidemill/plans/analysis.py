@@ -263,13 +263,13 @@ def best_epoch_counts(spark, sf):
 
 @query(
     "WITH i AS (SELECT side, row_number() OVER (PARTITION BY side ORDER BY number) - 1 AS i, value AS v, count(*) OVER (PARTITION BY side) AS n FROM (SELECT *, CASE WHEN params_size <= 10 THEN 1 ELSE 0 END AS side FROM trials)),"
-    f" d AS (SELECT i.side, i.n, b, i.i AS k, {_HASH.format(chr(39) + 'region:' + chr(39) + ' || i.side || ' + chr(39) + ':' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || i.i')} % i.n AS j FROM i CROSS JOIN (SELECT unnest(generate_series(0, 49)) AS b)),"
+    f" d AS (SELECT i.side, i.n, b, i.i AS k, {_HASH.format(chr(39) + 'region:' + chr(39) + ' || i.side || ' + chr(39) + ':' + chr(39) + ' || b || ' + chr(39) + ':' + chr(39) + ' || i.i')} % i.n AS j FROM i CROSS JOIN (SELECT unnest(generate_series(0, 9999)) AS b)),"
     " m AS (SELECT b, avg(CASE WHEN d.side = 1 THEN v END) AS x, avg(CASE WHEN d.side = 1 THEN v END) - avg(CASE WHEN d.side = 0 THEN v END) AS y FROM d JOIN i ON i.side = d.side AND i.i = d.j GROUP BY 1)"
     " SELECT round((SELECT avg(v) FROM i WHERE side = 1), 4) AS mean, round(quantile_cont(x, 0.025), 4) AS mean_lo, round(quantile_cont(x, 0.975), 4) AS mean_hi, round((SELECT avg(v) FROM i WHERE side = 1) - (SELECT avg(v) FROM i WHERE side = 0), 4) AS diff, round(quantile_cont(y, 0.025), 4) AS diff_lo, round(quantile_cont(y, 0.975), 4) AS diff_hi FROM m",
     "trials",
 )
 def region_bootstrap(spark, sf):
-    return rounded(L.region_bootstrap(fx.trials(spark, sf), F.col("params_size") <= 10, n_boot=50), 4)
+    return rounded(L.region_bootstrap(fx.trials(spark, sf), F.col("params_size") <= 10, n_boot=10_000), 4)
 
 
 _ETA = "SELECT '{p}' AS param, (sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / nullif(sum(s2) - pow(sum(n * m), 2) / sum(n), 0) AS eta2 FROM (SELECT count(*) AS n, avg(value) AS m, sum(value * value) AS s2 FROM {t} GROUP BY bin)"
